@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -20,6 +20,15 @@ DIGITS_ONLY = r"^\p{Nd}+$"
 WORD_PATTERN = r"(?U)\b\w\w+\b"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once per row.
+
+    An expression named inside the lambda of an array function is otherwise worked out again for every
+    element, because the optimizer puts it in the place of its name.
+    """
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def strip(text: Column) -> Column:
     """Remove leading and trailing white space of every kind; ``trim`` alone removes only spaces."""
     return F.trim(text, F.lit(WHITESPACE))
@@ -108,11 +117,15 @@ def ngrams(tokens: Column, n: int) -> Column:
     """Runs of ``n`` neighbouring tokens, joined by a space."""
     if n == 1:
         return tokens
-    last = F.size(tokens) - n + 1
-    starts = F.when(last >= 1, F.sequence(F.lit(1), F.greatest(last, F.lit(1)))).otherwise(
-        F.array().cast("array<int>")
-    )
-    return F.transform(starts, lambda start: F.array_join(F.slice(tokens, start, n), " "))
+
+    def joined(words: Column) -> Column:
+        last = F.size(words) - n + 1
+        starts = F.when(last >= 1, F.sequence(F.lit(1), F.greatest(last, F.lit(1)))).otherwise(
+            F.array().cast("array<int>")
+        )
+        return F.transform(starts, lambda start: F.array_join(F.slice(words, start, n), " "))
+
+    return let(tokens, joined)
 
 
 def vocab_tokens(text: Column, words: Sequence[str] = (), ngram_range: tuple[int, int] = (1, 1)) -> Column:
@@ -121,5 +134,6 @@ def vocab_tokens(text: Column, words: Sequence[str] = (), ngram_range: tuple[int
     if words:
         tokens = F.filter(tokens, lambda token: ~token.isin(list(words)))
     low, high = ngram_range
-    grams = [ngrams(tokens, n) for n in range(low, high + 1)]
-    return grams[0] if len(grams) == 1 else F.concat(*grams)
+    if low == high:
+        return ngrams(tokens, low)
+    return let(tokens, lambda found: F.concat(*[ngrams(found, n) for n in range(low, high + 1)]))

@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import os
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from typing import Any
 
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusmill.functions.text import index_tokens
+from corpusmill.functions.text import index_tokens, let
 from corpusmill.operators.filters import FilterTerm, Resolver, filter_documents
 from corpusmill.operators.keywords import highlight
 
@@ -71,28 +71,26 @@ def inverted_index(df: DataFrame, id_col: str, text: str) -> DataFrame:
 
     A document's tokens are sorted and cut into runs of equal tokens within its own row.
     """
-    tokens = F.col("_tokens")
-    per_doc = df.select(id_col, F.sort_array(index_tokens(F.col(text))).alias("_tokens"))
-    starts = F.filter(
-        F.sequence(F.lit(1), F.size(tokens)),
-        lambda i: (i == 1) | (F.element_at(tokens, i) != F.element_at(tokens, F.greatest(i - 1, F.lit(1)))),
-    )
-    runs = per_doc.select(id_col, "_tokens", starts.alias("_starts"), F.size("_tokens").cast("bigint").alias("doc_len"))
-    ends = F.concat(F.slice("_starts", 2, F.size("_starts")), F.array((F.size("_tokens") + 1)))
-    exploded = runs.select(
-        id_col,
-        "doc_len",
-        F.explode(
-            F.zip_with(
-                "_starts",
-                ends,
-                lambda start, end: F.struct(
-                    F.element_at(F.col("_tokens"), start).alias("token"), (end - start).cast("bigint").alias("tf")
-                ),
+
+    def starts(tokens: Column) -> Column:
+        changes = lambda i: (i == 0) | (F.get(tokens, i) != F.get(tokens, i - 1))
+        return F.filter(F.sequence(F.lit(0), F.size(tokens) - 1), changes)
+
+    def runs(tokens: Column) -> Column:
+        size = F.size(tokens)
+
+        def cut(first: Column) -> Column:
+            ends = F.concat(F.slice(first, 2, F.size(first)), F.array(size))
+            run = lambda start, end: F.struct(
+                F.get(tokens, start).alias("token"), (end - start).cast("bigint").alias("tf"), size.cast("bigint").alias("doc_len")
             )
-        ).alias("_run"),
-    )
-    return exploded.select(F.col("_run.token").alias("token"), id_col, F.col("_run.tf").alias("tf"), "doc_len")
+            return F.zip_with(first, ends, run)
+
+        return let(starts(tokens), cut)
+
+    counted = let(F.sort_array(index_tokens(F.col(text))), runs)
+    exploded = df.select(id_col, F.explode(counted).alias("_run"))
+    return exploded.select(F.col("_run.token").alias("token"), id_col, F.col("_run.tf").alias("tf"), F.col("_run.doc_len").alias("doc_len"))
 
 
 def corpus_totals(df: DataFrame, text: str) -> DataFrame:
@@ -139,6 +137,10 @@ def _part(model: Model, tf: Column, length: Column, mean_len: Column) -> Column:
     return tf * (model.k1 + 1) / (tf + shape * model.k1)
 
 
+def _is_term(term: str) -> Callable[[Column], Column]:
+    return lambda token: token == term
+
+
 def _counted(df: DataFrame, text: str, terms: Sequence[str]) -> DataFrame:
     """Add the document length and the count of every query term in the document."""
     tokens = df.withColumn("_all", index_tokens(F.col(text)))
@@ -147,7 +149,7 @@ def _counted(df: DataFrame, text: str, terms: Sequence[str]) -> DataFrame:
         *df.columns,
         F.size("_all").alias("_len"),
         *[
-            F.size(F.filter("_hits", lambda token, term=term: token == term)).alias(f"_tf{i}")
+            F.size(F.filter("_hits", _is_term(term))).alias(f"_tf{i}")
             for i, term in enumerate(terms)
         ],
     )

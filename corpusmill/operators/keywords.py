@@ -16,7 +16,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.functions.text import strip
+from corpusmill.functions.text import let, strip
 
 # Dictionaries up to this many keywords are matched by one regular expression.
 PATTERN_LIMIT = 400
@@ -168,19 +168,19 @@ def highlight(df: DataFrame, raw: str, query: Sequence[str], prefixes: Sequence[
 def _word_windows(df: DataFrame, id_col: str, text: str, width: Column, extra: str) -> DataFrame:
     """Every word start of every text with the ``width`` characters from there: (id, lo, window)."""
     word = f"[{_class_of(extra)}]"
-    chars = df.select(id_col, F.split(F.col(text), "").alias("_chars"), width.alias("_width"))
-    flags = chars.withColumn("_is", F.transform("_chars", lambda c: c.rlike(f"^{word}$")))
-    starts = F.filter(
-        F.sequence(F.lit(1), F.size("_chars")),
-        lambda i: F.element_at(F.col("_is"), i) & ~((i > 1) & F.element_at(F.col("_is"), F.greatest(i - 1, F.lit(1)))),
-    )
-    windows = F.transform(
-        starts,
-        lambda i: F.struct((i - 1).alias("lo"), F.array_join(F.slice("_chars", i, F.col("_width")), "").alias("window")),
-    )
-    return flags.where(F.size("_chars") > 0).select(id_col, F.explode(windows).alias("_w")).select(
-        id_col, F.col("_w.lo").alias("lo"), F.col("_w.window").alias("window")
+
+    def windows(chars: Column) -> Column:
+        # A word begins at a word character that does not follow another one.
+        starts = lambda flags: F.filter(
+            F.sequence(F.lit(0), F.size(flags) - 1), lambda i: F.get(flags, i) & ~((i > 0) & F.coalesce(F.get(flags, i - 1), F.lit(False)))
+        )
+        cut = lambda i: F.struct(i.alias("lo"), F.array_join(F.slice(chars, i + 1, F.col("_width")), "").alias("window"))
+        return F.transform(let(F.transform(chars, lambda c: c.rlike(f"^{word}$")), starts), cut)
+
+    exploded = df.where(F.length(text) > 0).withColumn("_width", width).select(
+        id_col, F.explode(let(F.split(F.col(text), ""), windows)).alias("_w")
     )
+    return exploded.select(id_col, F.col("_w.lo").alias("lo"), F.col("_w.window").alias("window"))
 
 
 def _leftmost_longest(candidates: DataFrame, id_col: str, last_sort: Sequence[str] = ()) -> DataFrame:

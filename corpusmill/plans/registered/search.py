@@ -145,7 +145,7 @@ _BATCH = (
 
 @query(
     "query_batch",
-    f"WITH {_BATCH} SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, round(score, 6) AS score "
+    f"WITH {_BATCH} SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, round(score, 6) AS score "
     "FROM s QUALIFY rank <= 10",
 )
 def query_batch(t: Tables):

@@ -15,7 +15,7 @@ _SCORES = (
     "g AS (SELECT topic_id, sum(n) AS total FROM c GROUP BY 1), a AS (SELECT word, sum(n) AS everywhere FROM c GROUP BY 1), "
     "scores AS (SELECT topic_id, word, n, n / total * ln((SELECT count(*) FROM appeals)::DOUBLE / everywhere) AS score FROM c JOIN g USING (topic_id) JOIN a USING (word))"
 )
-_BEST = "best AS (SELECT topic_id, word, score, row_number() OVER (PARTITION BY topic_id ORDER BY score DESC, word) AS rank FROM scores QUALIFY rank <= 5)"
+_BEST = "best AS (SELECT topic_id, word, score, CAST(row_number() OVER (PARTITION BY topic_id ORDER BY score DESC, word) AS INTEGER) AS rank FROM scores QUALIFY rank <= 5)"
 _INFO = (
     "sizes AS (SELECT topic_id, count(*) AS size FROM appeals GROUP BY 1), "
     "info AS (SELECT topic_id, size, topic_id || '_' || string_agg(word, '_' ORDER BY rank) AS name FROM sizes JOIN best USING (topic_id) WHERE rank <= 4 GROUP BY 1, 2)"

@@ -9,6 +9,7 @@ from corpusmill.operators import topics as T
 from corpusmill.operators import vectors as N
 from corpusmill.plans.registered.registry import Tables, query, r6
 
+
 def dot_sql(x: str, y: str) -> str:
     return f"list_sum(list_transform(list_zip({x}, {y}), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE)))"
 
@@ -31,7 +32,7 @@ def _with_query(t: Tables):
     return t.embeddings.withColumn("q", _query_vector(t))
 
 
-@query("l2_normalize", f"SELECT vec_id, round(embedding[1] * 3 / ({_NORM} * 3), 6) AS first, round(embedding[64] * 3 / ({_NORM} * 3), 6) AS last FROM embeddings")
+@query("l2_normalize", f"SELECT vec_id, round(CAST(embedding[1] AS DOUBLE) * 3 / ({_NORM} * 3), 6) AS first, round(CAST(embedding[64] AS DOUBLE) * 3 / ({_NORM} * 3), 6) AS last FROM embeddings")
 def l2_normalize(t: Tables):
     tripled = F.transform("embedding", lambda a: a.cast("double") * 3)
     v = t.embeddings.select("vec_id", V.l2_normalize(tripled).alias("v"))
@@ -89,7 +90,7 @@ def vector_top_k_l2(t: Tables):
     "vector_top_k_batch",
     f"WITH p AS (SELECT a.vec_id AS query_id, e.vec_id, {dot_sql('e.embedding', 'a.embedding')} / (sqrt({dot_sql('e.embedding', 'e.embedding')}) "
     f"* sqrt({dot_sql('a.embedding', 'a.embedding')})) AS s FROM embeddings a, embeddings e) "
-    "SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS rank, vec_id, round(s, 6) AS score FROM p QUALIFY rank <= 5",
+    "SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS INTEGER) AS rank, vec_id, round(s, 6) AS score FROM p QUALIFY rank <= 5",
 )
 def vector_top_k_batch(t: Tables):
     queries = t.embeddings.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("v"))
