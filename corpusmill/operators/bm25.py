@@ -32,6 +32,15 @@ BATCH_TERM_LIMIT = 20_000
 BATCH_QUERY_LIMIT = 2_000
 
 
+# Scores that agree to this many places are ties, decided by id: equal texts must not be ordered by
+# the rounding of their sums.
+TIE_PLACES = 9
+
+
+def _best_first(score: str, id_col: str) -> list[Column]:
+    return [F.round(score, TIE_PLACES).desc(), F.col(id_col)]
+
+
 @dataclass(frozen=True)
 class Okapi:
     k1: float = 1.5
@@ -214,7 +223,7 @@ def top_k(
 
     The filters come after the ranking, so fewer than k rows may come back.
     """
-    best = score(df, text, query, model).orderBy(F.col("score").desc(), id_col).limit(k)
+    best = score(df, text, query, model).orderBy(*_best_first("score", id_col)).limit(k)
     if topics:
         best = best.where(F.col(topic_col).isin(list(topics)))
     if start is not None:
@@ -251,7 +260,7 @@ def search(
         found = found.where(F.size(F.array_intersect(tokens, wanted)) == len(terms))
     else:
         found = found.where(F.arrays_overlap(tokens, wanted))
-    return score(found, text, query, model, corpus=df).orderBy(F.col("score").desc(), id_col).limit(k)
+    return score(found, text, query, model, corpus=df).orderBy(*_best_first("score", id_col)).limit(k)
 
 
 # --- many queries at once -------------------------------------------------------------------------
@@ -292,7 +301,7 @@ def _batch_inside_scan(
         entry = np.arange(len(source)) - np.repeat(np.cumsum(fan) - fan, fan) + first_entry[term[source]]
         target = doc[source] * queries + entry_query[entry]
         flat = np.bincount(target, weights=part[source] * entry_weight[entry], minlength=len(lengths) * queries)
-        return flat.reshape(len(lengths), queries)
+        return np.round(flat, TIE_PLACES).reshape(len(lengths), queries)
 
     def best_per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept_q, kept_d, kept_s = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
@@ -382,7 +391,7 @@ def search_batch(
             scored = _batch_inside_scan(found, id_col, text, sample, mean_len, model, k, query_id)
     else:
         scored = _batch_by_join(found, id_col, text, weighed, totals.select("mean_len").scalar(), model, query_id)
-    best = Window.partitionBy(query_id).orderBy(F.col("score").desc(), F.col(id_col))
+    best = Window.partitionBy(query_id).orderBy(*_best_first("score", id_col))
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(
         query_id, "rank", id_col, "score"
     )

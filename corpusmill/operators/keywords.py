@@ -16,7 +16,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.functions.text import let, strip
+from corpusmill.functions.text import let, ngrams, strip
+from corpusmill.session import cut_lineage
 
 # Dictionaries up to this many keywords are matched by one regular expression.
 PATTERN_LIMIT = 400
@@ -183,12 +184,12 @@ def _word_windows(df: DataFrame, id_col: str, text: str, width: Column, extra: s
     return exploded.select(id_col, F.col("_w.lo").alias("lo"), F.col("_w.window").alias("window"))
 
 
-def _leftmost_longest(candidates: DataFrame, id_col: str, last_sort: Sequence[str] = ()) -> DataFrame:
+def _leftmost_longest(candidates: DataFrame, id_col: str) -> DataFrame:
     """Of overlapping candidates of one text keep the leftmost, then the longest.
 
     One group is the candidates of one text, bounded by its length.
     """
-    rank = F.struct("lo", (-F.col("hi")).alias("neg_hi"), *last_sort, "clean_name")
+    rank = F.struct("lo", (-F.col("hi")).alias("neg_hi"), "clean_name")
     grouped = candidates.groupBy(id_col).agg(F.array_sort(F.collect_list(rank)).alias("_all"))
     empty = F.array().cast("array<struct<clean_name:string,lo:int,hi:int>>")
 
@@ -280,13 +281,13 @@ def replace_by_join(df: DataFrame, id_col: str, text: str, entries: DataFrame, c
 # --- fuzzy matching -------------------------------------------------------------------------------
 
 
-def _segment(length: Column, number: int, parts: int) -> tuple[Column, Column]:
+def _segment(length: Column, number: Column, parts: int) -> tuple[Column, Column]:
     """Start (0-based) and size of one of ``parts`` nearly equal segments of a string."""
     base = F.floor(length / parts).cast("int")
-    longer = (length - base * parts).cast("int")
-    start = base * number + F.greatest(F.lit(number) - (F.lit(parts) - longer), F.lit(0))
-    size = base + F.when(F.lit(number) >= F.lit(parts) - longer, 1).otherwise(0)
-    return start, size
+    first_longer = F.lit(parts) - (length - base * parts)
+    start = base * number + F.greatest(number - first_longer, F.lit(0))
+    size = base + F.when(number >= first_longer, 1).otherwise(0)
+    return start.cast("int"), size.cast("int")
 
 
 def _word_cost(left: Column, right: Column) -> Column:
@@ -303,53 +304,57 @@ def similar_grams(grams: DataFrame, entries: DataFrame, max_cost: int) -> DataFr
     (words, keyword length, segment number, segment), and only these pairs are measured.
     """
     parts = max_cost + 1
-    words = lambda c: F.size(F.split(c, " "))
-    kw_length = F.length("keyword")
-    kw_segments = []
-    for number in range(parts):
-        start, size = _segment(kw_length, number, parts)
-        kw_segments.append(F.struct(F.lit(number).alias("no"), F.substr(F.col("keyword"), start + 1, size).alias("seg")))
-    keyed = entries.select(
-        "keyword", "clean_name", words(F.col("keyword")).alias("_words"), kw_length.alias("_len"),
-        F.explode(F.array(*kw_segments)).alias("_s"),
-    ).select("keyword", "clean_name", "_words", "_len", F.col("_s.no").alias("_no"), F.col("_s.seg").alias("_seg"))
-    probes = []
-    for change in range(-max_cost, max_cost + 1):
-        length = F.length("gram") + change
-        for number in range(parts):
-            start, size = _segment(length, number, parts)
-            for move in range(-max_cost, max_cost + 1):
-                begin = start + move
-                probe = F.struct(length.alias("len"), F.lit(number).alias("no"), F.substr(F.col("gram"), begin + 1, size).alias("seg"))
-                usable = (length > 0) & (begin >= 0) & (begin + size <= F.length("gram"))
-                probes.append(F.when(usable, probe))
-    probed = grams.select("gram", words(F.col("gram")).alias("_words"), F.explode(F.array_distinct(F.array_compact(F.array(*probes)))).alias("_p"))
-    probed = probed.select("gram", "_words", F.col("_p.len").alias("_len"), F.col("_p.no").alias("_no"), F.col("_p.seg").alias("_seg"))
-    pairs = probed.join(keyed, ["_words", "_len", "_no", "_seg"]).select("gram", "keyword", "clean_name")
-    cost = _word_cost(F.col("gram"), F.col("keyword"))
-    return pairs.withColumn("cost", cost).where(F.col("cost") <= max_cost).distinct()
-
-
-def keyword_fuzzy(df: DataFrame, id_col: str, text: str, entries: DataFrame, max_cost: int = 1, max_words: int = 3) -> DataFrame:
-    """(id, spans): hits within ``max_cost`` edits of a keyword of at most ``max_words`` words.
-
-    Each word of the text is compared with the word of the keyword in its place. The distinct word
-    runs of the corpus are compared once, however often they occur.
+    moves = range(-max_cost, max_cost + 1)
+    words = lambda name: F.size(F.split(name, " ")).alias("_words")
+    numbers = F.explode(F.array(*[F.lit(n) for n in range(parts)])).alias("_no")
+    keyed = entries.select("keyword", "clean_name", words("keyword"), F.length("keyword").alias("_len"), numbers)
+    start, size = _segment(F.col("_len"), F.col("_no"), parts)
+    keyed = keyed.withColumn("_seg", F.substr(F.col("keyword"), start + 1, size))
+    places = [F.struct(F.lit(c).alias("change"), F.lit(n).alias("no"), F.lit(m).alias("move")) for c in moves for n in range(parts) for m in moves]
+    probed = grams.select("gram", words("gram"), F.explode(F.array(*places)).alias("_p")).select(
+        "gram", "_words", (F.length("gram") + F.col("_p.change")).alias("_len"), F.col("_p.no").alias("_no"), F.col("_p.move").alias("_move")
+    )
+    start, size = _segment(F.col("_len"), F.col("_no"), parts)
+    begin = start + F.col("_move")
+    fits = (F.col("_len") > 0) & (begin >= 0) & (begin + size <= F.length("gram"))
+    probed = probed.where(fits).withColumn("_seg", F.substr(F.col("gram"), begin + 1, size))
+    pairs = probed.join(keyed, ["_words", "_len", "_no", "_seg"]).select("gram", "keyword", "clean_name").distinct()
+    return pairs.withColumn("cost", _word_cost(F.col("gram"), F.col("keyword"))).where(F.col("cost") <= max_cost)
+
+
+def _word_grams(text: Column, max_words: int) -> Column:
+    """Runs of up to ``max_words`` words with one space between them, lowered."""
+    word = f"[{WORD_CHARACTERS}]+"
+    stretches = F.regexp_extract_all(F.lower(text), F.lit(f"{word}(?: {word})*"), F.lit(0))
+    if max_words == 1:
+        return F.regexp_extract_all(F.lower(text), F.lit(word), F.lit(0))
+
+    def cut(words: Column) -> Column:
+        return F.concat(*[ngrams(words, n) for n in range(1, max_words + 1)])
+
+    return F.flatten(F.transform(stretches, lambda stretch: let(F.split(stretch, " "), cut)))
+
+
+def keyword_fuzzy(
+    df: DataFrame,
+    id_col: str,
+    text: str,
+    entries: DataFrame,
+    max_cost: int = 1,
+    max_words: int = 3,
+    pattern_limit: int = PATTERN_LIMIT,
+) -> DataFrame:
+    """(id, hit_no, clean_name, lo, hi): hits within ``max_cost`` edits of a keyword.
+
+    Each word of the text is compared with the word of the keyword in its place; keywords have at most
+    ``max_words`` words. The distinct word runs of the corpus are compared once, however often they
+    occur. Those that match become a dictionary, which is then matched exactly. Of several keywords
+    near one run the nearest counts, then the first by name.
     """
-    too_long = entries.where(F.size(F.split("keyword", " ")) > max_words)
-    if too_long.limit(1).count():
-        raise ValueError(f"keywords of more than {max_words} words: raise max_words")
     keyed = entries.select(F.lower("keyword").alias("keyword"), "clean_name")
-    # Wide enough for every run that can match; a cut word at the end is longer than any keyword.
-    width = keyed.agg(F.coalesce(F.max(F.length("keyword")), F.lit(0))).scalar() + (max_cost + 2)
-    windows = _word_windows(df, id_col, text, width, "").withColumn("window", F.lower("window"))
-    word = f"[{WORD_CHARACTERS}]+"
-    runs = F.array(
-        *[F.regexp_extract("window", "^" + word + f"(?: {word}){{{n}}}(?![{WORD_CHARACTERS}])", 0) for n in range(max_words)]
-    )
-    grams = windows.select(id_col, "lo", F.explode(F.array_distinct(runs)).alias("gram")).where(F.col("gram") != "")
-    matched = similar_grams(grams.select("gram").distinct(), keyed, max_cost)
-    hits = grams.join(matched, "gram").select(
-        id_col, "lo", (F.col("lo") + F.length("gram")).alias("hi"), "cost", "clean_name"
-    )
-    return _leftmost_longest(hits, id_col, ["cost"])
+    if keyed.where(F.size(F.split("keyword", " ")) > max_words).limit(1).count():
+        raise ValueError(f"keywords of more than {max_words} words: raise max_words")
+    grams = df.select(F.explode(F.array_distinct(_word_grams(F.col(text), max_words))).alias("gram")).distinct()
+    near = similar_grams(grams, keyed, max_cost)
+    best = near.groupBy(F.col("gram").alias("keyword")).agg(F.min_by("clean_name", F.struct("cost", "keyword")).alias("clean_name"))
+    return keyword_spans(df, id_col, text, cut_lineage(best), pattern_limit=pattern_limit)

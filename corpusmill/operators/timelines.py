@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.functions.text import DIGITS_ONLY, index_tokens, sentences
+from corpusmill.functions.text import DIGITS_ONLY, index_tokens, let, sentences
 from corpusmill.session import cut_lineage, small_side
 
 # Size of the ranked list and the similarity above which two words count as one.
@@ -24,6 +24,36 @@ HEAD = 256
 # --- ranked words ---------------------------------------------------------------------------------
 
 
+def _word_counts(df: DataFrame, text: str, window: int) -> DataFrame:
+    """(kind, a, b, n): words, words by sentence number, neighbours (left, right), sentences.
+
+    One scan and one shuffle count all four; equal rows are added up before the shuffle.
+    """
+
+    def entry(kind: str, a: Column, b: Column | None = None) -> Column:
+        second = F.lit(None) if b is None else b
+        return F.struct(F.lit(kind).alias("kind"), a.alias("a"), second.cast("string").alias("b"))
+
+    def pairs(words: Column, apart: int) -> Column:
+        rest = F.greatest(F.size(words) - apart, F.lit(0))
+        return F.zip_with(F.slice(words, 1, rest), F.slice(words, apart + 1, rest), lambda a, b: entry("pair", a, b))
+
+    def entries(words: Column) -> Column:
+        number = F.col("sentence")
+        return F.concat(
+            F.array(entry("sentence", F.lit(""))),
+            F.transform(words, lambda w: entry("word", w)),
+            F.transform(F.array_distinct(words), lambda w: entry("place", w, number)),
+            *[pairs(words, apart) for apart in range(1, window + 1)],
+        )
+
+    parts = df.select(F.posexplode(sentences(F.lower(text))).alias("sentence", "_s"))
+    words = F.regexp_extract_all("_s", F.lit(WORDS), F.lit(0))
+    rows = let(words, lambda found: F.when(F.size(found) > 0, entries(found)))
+    exploded = parts.select(F.explode(rows).alias("_e")).select("_e.kind", "_e.a", "_e.b")
+    return exploded.groupBy("kind", "a", "b").agg(F.count(F.lit(1)).alias("n"))
+
+
 def word_features(df: DataFrame, text: str, stopwords: Sequence[str] = (), window: int = 2) -> DataFrame:
     """(word, tf, relatedness, position, spread, score) of the words of all texts; small scores are good.
 
@@ -31,40 +61,26 @@ def word_features(df: DataFrame, text: str, stopwords: Sequence[str] = (), windo
     a word occurs, in how many sentences, how early in its text, and how varied its neighbours are.
     Texts are lowered, so the feature about capital letters is 0.
     """
-    parts = df.select(F.posexplode(sentences(F.lower(text))).alias("sentence", "_s"))
-    tokens = parts.select("sentence", F.regexp_extract_all("_s", F.lit(WORDS), F.lit(0)).alias("_w")).where(F.size("_w") > 0)
+    counted = cut_lineage(_word_counts(df, text, window))
     ranked = ~F.col("word").rlike(DIGITS_ONLY)
     if stopwords:
         ranked = ranked & ~F.col("word").isin(list(stopwords))
 
-    frequency = tokens.select(F.explode("_w").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("tf"))
-    # How many sentences at each place hold the word; places are bounded by the longest text.
-    places = tokens.select("sentence", F.explode(F.array_distinct("_w")).alias("word")).groupBy("word", "sentence").agg(
-        F.count(F.lit(1)).alias("_n")
-    )
-    where = places.groupBy("word").agg(
-        F.sum("_n").alias("in_sentences"), F.percentile("sentence", F.lit(0.5), F.col("_n")).alias("_median")
-    )
-    pairs = F.flatten(
-        F.array(
-            *[
-                F.zip_with(
-                    F.slice("_w", 1, F.greatest(F.size("_w") - d, F.lit(0))),
-                    F.slice("_w", d + 1, F.greatest(F.size("_w") - d, F.lit(0))),
-                    lambda a, b: F.struct(a.alias("left"), b.alias("right")),
-                )
-                for d in range(1, window + 1)
-            ]
-        )
+    frequency = counted.where("kind = 'word'").select(F.col("a").alias("word"), F.col("n").alias("tf"))
+    # Places in a text are bounded by the longest text.
+    place = F.col("b").cast("int")
+    where = counted.where("kind = 'place'").groupBy(F.col("a").alias("word")).agg(
+        F.sum("n").alias("in_sentences"), F.percentile(place, F.lit(0.5), F.col("n")).alias("_median")
     )
-    near = tokens.select(F.explode(pairs).alias("_p")).groupBy("_p.left", "_p.right").agg(F.count(F.lit(1)).alias("_n"))
-    rights = near.groupBy(F.col("left").alias("word")).agg((F.count(F.lit(1)) / F.sum("_n")).alias("_right"))
-    lefts = near.groupBy(F.col("right").alias("word")).agg((F.count(F.lit(1)) / F.sum("_n")).alias("_left"))
+    near = counted.where("kind = 'pair'")
+    variety = F.count(F.lit(1)) / F.sum("n")
+    rights = near.groupBy(F.col("a").alias("word")).agg(variety.alias("_right"))
+    lefts = near.groupBy(F.col("b").alias("word")).agg(variety.alias("_left"))
+    sentence_count = counted.where("kind = 'sentence'").agg(F.sum("n")).scalar()
 
     numbers = frequency.where(ranked).agg(
         F.struct(F.avg("tf").alias("mean"), F.stddev_pop("tf").alias("std"), F.max("tf").alias("top"))
     ).scalar()
-    sentence_count = tokens.agg(F.count(F.lit(1))).scalar()
     joined = (
         frequency.where(ranked)
         .join(where, "word")

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import vocab_tokens
+from corpusmill.session import cut_lineage
 
 # Accepted range of the cluster count, and the count used outside it.
 MIN_CLUSTERS, MAX_CLUSTERS, DEFAULT_CLUSTERS = 1, 29, 7
@@ -128,6 +129,7 @@ def topic_similarity(scores: DataFrame, topic: str, topics: int = MAX_CLUSTERS)
     Each task adds its words into one topics x topics matrix and passes that on, so the shuffle does
     not grow with the vocabulary. The number of topics is checked; it is that of the clustering.
     """
+    scores = cut_lineage(scores.select(topic, "word", "score"))
     names = [row[0] for row in scores.select(topic).distinct().orderBy(topic).limit(topics + 1).collect()]
     if len(names) > topics:
         raise ValueError(f"more than {topics} topics")

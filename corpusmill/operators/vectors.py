@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from corpusmill.functions import vectors as V
 from corpusmill.operators.filters import FilterTerm, Resolver, filter_documents
 
+# Scores that agree to this many places are ties, decided by id.
+TIE_PLACES = 9
 # Numbers (queries x dimensions) sent to the tasks at a time.
 BATCH_CELLS = 4_000_000
 
@@ -40,7 +42,8 @@ def vector_top_k(
     else:
         target = V.literal_vector(query)
     raw = V.similarity(similarity, F.col(vector), target)
-    nearest = F.col("_raw").asc() if similarity == "l2" else F.col("_raw").desc()
+    rounded = F.round("_raw", TIE_PLACES)
+    nearest = rounded.asc() if similarity == "l2" else rounded.desc()
     best = found.withColumn("_raw", raw).orderBy(nearest, id_col).limit(k)
     score = V.scale_score(F.col("_raw"), similarity) if scale else F.col("_raw")
     dropped = ["_raw", "_query"] + ([] if return_embedding else [vector])
@@ -69,6 +72,7 @@ def _block_top_k(
                     scores = np.divide(scores, norms, out=np.zeros_like(scores), where=norms != 0)
                 elif similarity == "l2":
                     scores = (rows**2).sum(1)[:, None] - 2 * scores + (size**2)[None, :]
+                scores = np.round(scores, TIE_PLACES)
                 doc, query = np.nonzero(sign * scores >= floor)
                 kept_q = np.concatenate([kept_q, query])
                 kept_d = np.concatenate([kept_d, docs[doc]])

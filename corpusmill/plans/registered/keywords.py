@@ -80,7 +80,7 @@ def keyword_lookup(t: Tables):
     f"SELECT doc_id, hit_no, {_CLEAN_SQL} AS clean_name FROM u",
 )
 def keyword_extract(t: Tables):
-    return K.keyword_extract(t.documents, "doc_id", "text", K.dictionary(PAIRS))
+    return K.keyword_extract(t.texts, "doc_id", "text", K.dictionary(PAIRS))
 
 
 @query(
@@ -98,7 +98,7 @@ def keyword_boundaries(t: Tables):
 
 @query("keyword_spans")
 def keyword_spans(t: Tables):
-    found = K.keyword_spans(t.documents, "doc_id", "text", _entries(t))
+    found = K.keyword_spans(t.texts, "doc_id", "text", _entries(t))
     return found.select("doc_id", "hit_no", "clean_name", "lo", "hi")
 
 
@@ -109,9 +109,9 @@ def keyword_spans(t: Tables):
 )
 def keyword_spans_cut(t: Tables):
     """The text between the ends of every span is the hit itself."""
-    found = K.keyword_spans(t.documents, "doc_id", "text", _entries(t))
+    found = K.keyword_spans(t.texts, "doc_id", "text", _entries(t))
     cut = F.substr(F.col("text"), F.col("lo") + 1, F.col("hi") - F.col("lo"))
-    return found.join(t.documents, "doc_id").select("doc_id", "hit_no", cut.alias("cut"))
+    return found.join(t.texts, "doc_id").select("doc_id", "hit_no", cut.alias("cut"))
 
 
 @query(
@@ -120,7 +120,7 @@ def keyword_spans_cut(t: Tables):
 )
 def keyword_replace(t: Tables):
     words = K.dictionary([(k, "word") for k in ("with the", "thin", "the", "on", "la")])
-    return K.keyword_replace(t.documents, "doc_id", "text", words).select("doc_id", F.md5("text").alias("digest"))
+    return K.keyword_replace(t.texts, "doc_id", "text", words).select("doc_id", F.md5("text").alias("digest"))
 
 
 _FUZZY = ["thin", "with", "ention", "oredat", "eauenaux", "shwould"]
@@ -137,9 +137,8 @@ _FUZZY = ["thin", "with", "ention", "oredat", "eauenaux", "shwould"]
 )
 def keyword_fuzzy(t: Tables):
     entries = t.spark.createDataFrame([(w, w) for w in _FUZZY], "keyword string, clean_name string")
-    found = K.keyword_fuzzy(t.documents, "doc_id", "text", entries, max_cost=1, max_words=1)
-    hits = found.select("doc_id", F.explode("spans.clean_name").alias("clean_name"))
-    return hits.groupBy("doc_id", "clean_name").agg(F.count(F.lit(1)).alias("hits"))
+    found = K.keyword_fuzzy(t.texts, "doc_id", "text", entries, max_cost=1, max_words=1)
+    return found.groupBy("doc_id", "clean_name").agg(F.count(F.lit(1)).alias("hits"))
 
 
 @query("highlight_hits")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import WHITESPACE
+from corpusmill.session import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -26,6 +27,11 @@ class Tables:
     def documents(self) -> DataFrame:
         return self.read("documents")
 
+    @property
+    def texts(self) -> DataFrame:
+        """The documents, over all cores also where the file is one split: for work on the words."""
+        return spread(self.documents, "doc_id")
+
     @property
     def events(self) -> DataFrame:
         return self.read("events")
@@ -43,7 +49,7 @@ class Tables:
         """Documents with a time and a topic number."""
         events = self.events.select(F.col("event_id").alias("doc_id"), "ts")
         topic = F.expr("substr(source, 4)").cast("int")
-        return self.documents.join(events, "doc_id").select("doc_id", "text", "ts", topic.alias("topic_id"), "lang", "source")
+        return self.texts.join(events, "doc_id").select("doc_id", "text", "ts", topic.alias("topic_id"), "lang", "source")
 
     @property
     def with_meta(self) -> DataFrame:

@@ -35,7 +35,7 @@ _SCORED = (
 
 @query("inverted_index", f"WITH {_CORPUS} SELECT token, doc_id, tf, dl AS doc_len FROM post JOIN lens USING (doc_id)")
 def inverted_index(t: Tables):
-    return B.inverted_index(t.documents, "doc_id", "text").select("token", "doc_id", "tf", "doc_len")
+    return B.inverted_index(t.texts, "doc_id", "text").select("token", "doc_id", "tf", "doc_len")
 
 
 @query(
@@ -44,8 +44,8 @@ def inverted_index(t: Tables):
     "(SELECT count(*) FROM freq) AS vocabulary, (SELECT max(df) FROM freq) AS top_df FROM lens",
 )
 def corpus_stats(t: Tables):
-    frequency = B.document_frequency(t.documents, "text").agg(F.count(F.lit(1)).alias("vocabulary"), F.max("df").alias("top_df"))
-    totals = B.corpus_totals(t.documents, "text")
+    frequency = B.document_frequency(t.texts, "text").agg(F.count(F.lit(1)).alias("vocabulary"), F.max("df").alias("top_df"))
+    totals = B.corpus_totals(t.texts, "text")
     vocabulary = frequency.select(F.struct("vocabulary", "top_df")).scalar()
     return totals.withColumn("_v", vocabulary).select(
         "doc_count", "token_count", r6(F.col("mean_len")).alias("mean_len"), F.col("_v.vocabulary"), F.col("_v.top_df")
@@ -54,19 +54,19 @@ def corpus_stats(t: Tables):
 
 @query("idf_okapi", f"WITH {_CORPUS}, {_OKAPI} SELECT token, df, round(idf, 6) AS idf FROM idf")
 def idf_okapi(t: Tables):
-    n = B.corpus_totals(t.documents, "text").select(F.col("doc_count").cast("double")).scalar()
-    return B.idf_okapi(B.document_frequency(t.documents, "text"), n).withColumn("idf", r6(F.col("idf")))
+    n = B.corpus_totals(t.texts, "text").select(F.col("doc_count").cast("double")).scalar()
+    return B.idf_okapi(B.document_frequency(t.texts, "text"), n).withColumn("idf", r6(F.col("idf")))
 
 
 @query("idf_bm25l", f"WITH {_CORPUS} SELECT token, df, round(ln(n + 1) - ln(df + 0.5), 6) AS idf FROM freq, tot")
 def idf_bm25l(t: Tables):
-    n = B.corpus_totals(t.documents, "text").select(F.col("doc_count").cast("double")).scalar()
-    return B.idf_plus(B.document_frequency(t.documents, "text"), n).withColumn("idf", r6(F.col("idf")))
+    n = B.corpus_totals(t.texts, "text").select(F.col("doc_count").cast("double")).scalar()
+    return B.idf_plus(B.document_frequency(t.texts, "text"), n).withColumn("idf", r6(F.col("idf")))
 
 
 @query("bm25_okapi_score", f"WITH {_CORPUS}, {_QUERY}, {_OKAPI}, {_SCORED} SELECT doc_id, round(score, 6) AS score FROM scored")
 def bm25_okapi_score(t: Tables):
-    return B.score(t.documents, "text", TERMS).select("doc_id", r6(F.col("score")).alias("score"))
+    return B.score(t.texts, "text", TERMS).select("doc_id", r6(F.col("score")).alias("score"))
 
 
 @query(
@@ -77,13 +77,13 @@ def bm25_okapi_score(t: Tables):
     "SELECT doc_id, round(sum(w * idf * 2.5 * c / (1.5 + c)), 6) AS score FROM g GROUP BY doc_id",
 )
 def bm25l_score(t: Tables):
-    return B.score(t.documents, "text", TERMS, B.Plus()).select("doc_id", r6(F.col("score")).alias("score"))
+    return B.score(t.texts, "text", TERMS, B.Plus()).select("doc_id", r6(F.col("score")).alias("score"))
 
 
 @query(
     "bm25_top_k",
     f"WITH {APPEALS_SQL}, {_CORPUS}, {_QUERY}, {_OKAPI}, {_SCORED}, "
-    "best AS (SELECT * FROM scored ORDER BY score DESC, doc_id LIMIT 100) "
+    "best AS (SELECT * FROM scored ORDER BY round(score, 9) DESC, doc_id LIMIT 100) "
     f"SELECT doc_id, topic_id, {iso_sql('ts')} AS ts, round(score, 6) AS score FROM best JOIN appeals USING (doc_id) "
     "WHERE topic_id IN (1, 2, 3, 5, 8, 13) AND ts >= TIMESTAMP '2024-01-01 02:00:00' AND ts <= TIMESTAMP '2024-01-28 00:00:00'",
 )
@@ -100,7 +100,7 @@ def bm25_top_k(t: Tables):
 )
 def bm25_stored_index(t: Tables):
     folder = scratch_folder(t.spark, "index")
-    B.save_index(B.build_index(t.documents, "doc_id", "text"), folder)
+    B.save_index(B.build_index(t.texts, "doc_id", "text"), folder)
     stored = B.load_index(t.spark, folder, "doc_id")
     return B.score_with_index(stored, TERMS).select("doc_id", r6(F.col("score")).alias("score"))
 
@@ -114,26 +114,26 @@ _PROBABILISTIC = (
 @query(
     "search_prefilter",
     f"WITH {_CORPUS}, {_QUERY}, {_PROBABILISTIC} SELECT doc_id, round(score, 6) AS score FROM sums JOIN documents USING (doc_id) "
-    "WHERE lang = 'en' AND n_chars > 300 ORDER BY sums.score DESC, doc_id LIMIT 50",
+    "WHERE lang = 'en' AND n_chars > 300 ORDER BY round(sums.score, 9) DESC, doc_id LIMIT 50",
 )
 def search_prefilter(t: Tables):
-    found = B.search(t.documents, "doc_id", "text", TERMS, {"lang": "en", "n_chars": {"$gt": 300}}, 50)
+    found = B.search(t.texts, "doc_id", "text", TERMS, {"lang": "en", "n_chars": {"$gt": 300}}, 50)
     return found.select("doc_id", r6(F.col("score")).alias("score"))
 
 
 @query(
     "search_all_terms",
     f"WITH {_CORPUS}, q AS (SELECT unnest(['the', 'with', 'that']) AS token, 1 AS w), {_PROBABILISTIC} "
-    "SELECT doc_id, round(score, 6) AS score FROM sums WHERE terms = 3 ORDER BY sums.score DESC, doc_id LIMIT 50",
+    "SELECT doc_id, round(score, 6) AS score FROM sums WHERE terms = 3 ORDER BY round(sums.score, 9) DESC, doc_id LIMIT 50",
 )
 def search_all_terms(t: Tables):
-    found = B.search(t.documents, "doc_id", "text", ["the", "with", "that"], None, 50, all_terms=True)
+    found = B.search(t.texts, "doc_id", "text", ["the", "with", "that"], None, 50, all_terms=True)
     return found.select("doc_id", r6(F.col("score")).alias("score"))
 
 
 @query("filter_only_query", "SELECT doc_id, lang, source FROM documents WHERE source IN ('src2', 'src4') ORDER BY doc_id LIMIT 40")
 def filter_only_query(t: Tables):
-    return B.search(t.documents, "doc_id", "text", None, {"source": ["src2", "src4"]}, 40).select("doc_id", "lang", "source")
+    return B.search(t.texts, "doc_id", "text", None, {"source": ["src2", "src4"]}, 40).select("doc_id", "lang", "source")
 
 
 _BATCH = (
@@ -145,11 +145,11 @@ _BATCH = (
 
 @query(
     "query_batch",
-    f"WITH {_BATCH} SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, round(score, 6) AS score "
+    f"WITH {_BATCH} SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY round(s.score, 9) DESC, doc_id) AS INTEGER) AS rank, doc_id, round(score, 6) AS score "
     "FROM s QUALIFY rank <= 10",
 )
 def query_batch(t: Tables):
-    found = B.search_batch(t.documents, "doc_id", "text", t.read("benchmark"), "item_id", "text", 10, {"lang": ["en", "fr"]})
+    found = B.search_batch(t.texts, "doc_id", "text", t.read("benchmark"), "item_id", "text", 10, {"lang": ["en", "fr"]})
     return found.select("item_id", "rank", "doc_id", r6(F.col("score")).alias("score"))
 
 

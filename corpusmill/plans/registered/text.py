@@ -39,7 +39,7 @@ def kept_sql(expression: str) -> str:
     "SELECT doc_id, len(tk) AS n, len(list_distinct(tk)) AS distinct_n, md5(array_to_string(tk, '|')) AS digest FROM t",
 )
 def tokenize(t: Tables):
-    tokens = t.documents.select("doc_id", X.tokenize(F.col("text")).alias("tk"))
+    tokens = t.texts.select("doc_id", X.tokenize(F.col("text")).alias("tk"))
     return tokens.select(
         "doc_id",
         F.size("tk").cast("bigint").alias("n"),
@@ -50,7 +50,7 @@ def tokenize(t: Tables):
 
 @query("strip_stopwords", f"SELECT doc_id, {kept_sql('text')} AS text FROM documents")
 def strip_stopwords(t: Tables):
-    return t.documents.select("doc_id", X.strip_stopwords(F.col("text"), STOPWORDS).alias("text"))
+    return t.texts.select("doc_id", X.strip_stopwords(F.col("text"), STOPWORDS).alias("text"))
 
 
 @query(
@@ -62,7 +62,7 @@ def strip_stopwords(t: Tables):
     "AND NOT regexp_full_match(x, '\\p{Nd}+')], ' ') AS text FROM a",
 )
 def clean_stopper(t: Tables):
-    return t.documents.select("doc_id", X.clean_stopper(F.col("text"), [" ", "."], STOPWORDS).alias("text"))
+    return t.texts.select("doc_id", X.clean_stopper(F.col("text"), [" ", "."], STOPWORDS).alias("text"))
 
 
 _SEPARATED = "replace(replace(text, ':', ' '), ',', ' ')"
@@ -70,7 +70,7 @@ _SEPARATED = "replace(replace(text, ':', ' '), ',', ' ')"
 
 @query("clean_silo", f"SELECT doc_id, {kept_sql(_SEPARATED)} AS silo FROM documents")
 def clean_silo(t: Tables):
-    return t.documents.select("doc_id", X.clean_silo(F.col("text"), [":", ",", " "], STOPWORDS).alias("silo"))
+    return t.texts.select("doc_id", X.clean_silo(F.col("text"), [":", ",", " "], STOPWORDS).alias("silo"))
 
 
 @query(
@@ -79,7 +79,7 @@ def clean_silo(t: Tables):
 )
 def replace_map(t: Tables):
     items = X.replace_map(F.split("text", " ", -1), {"th": "z", "ze": "the"})
-    return t.documents.select("doc_id", F.md5(F.array_join(items, " ")).alias("digest"))
+    return t.texts.select("doc_id", F.md5(F.array_join(items, " ")).alias("digest"))
 
 
 @query(
@@ -111,7 +111,7 @@ def parse_dates(t: Tables):
 def vocab_tokens(t: Tables):
     text = F.col("text")
     one, two = X.vocab_tokens(text, STOPWORDS), X.vocab_tokens(text, STOPWORDS, (2, 2))
-    d = t.documents.select("doc_id", one.alias("one"), two.alias("two"))
+    d = t.texts.select("doc_id", one.alias("one"), two.alias("two"))
     pairs = F.transform("two", lambda p: F.replace(p, F.lit(" "), F.lit("_")))
     return d.select(
         "doc_id",
@@ -129,7 +129,7 @@ def vocab_tokens(t: Tables):
     "SELECT doc_id, CAST(generate_subscripts(p, 1) - 1 AS INTEGER) AS chunk_no, unnest(p) AS chunk FROM k",
 )
 def sentence_chunks_query(t: Tables):
-    return sentence_chunks(t.documents, "doc_id", "text")
+    return sentence_chunks(t.texts, "doc_id", "text")
 
 
 @query(
@@ -139,7 +139,7 @@ def sentence_chunks_query(t: Tables):
     "SELECT row_number() OVER (ORDER BY doc_id, pos) - 1 AS paragraph_id, doc_id, content, lang FROM u",
 )
 def paragraphs(t: Tables):
-    return A.paragraphs(t.documents, "doc_id", "text", ["lang"])
+    return A.paragraphs(t.texts, "doc_id", "text", ["lang"])
 
 
 # --- row sets -------------------------------------------------------------------------------------
@@ -151,7 +151,7 @@ def paragraphs(t: Tables):
     "SELECT doc_id, lang, md5(silo) AS digest FROM s QUALIFY row_number() OVER (PARTITION BY silo ORDER BY doc_id DESC) = 1",
 )
 def dedup_keep_last(t: Tables):
-    cleaned = t.documents.select("doc_id", "lang", X.clean_silo(F.col("text"), [":"], STOPWORDS).alias("silo"))
+    cleaned = t.texts.select("doc_id", "lang", X.clean_silo(F.col("text"), [":"], STOPWORDS).alias("silo"))
     return A.dedup_keep_last(cleaned, "silo", "doc_id").select("doc_id", "lang", F.md5("silo").alias("digest"))
 
 
@@ -191,7 +191,7 @@ def docs_per_topic(t: Tables):
     "SELECT word, n, round(n / max(n) OVER (), 6) AS relative FROM c",
 )
 def word_frequencies(t: Tables):
-    return A.word_frequencies(t.documents, "text", STOPWORDS).withColumn("relative", r6(F.col("relative")))
+    return A.word_frequencies(t.texts, "text", STOPWORDS).withColumn("relative", r6(F.col("relative")))
 
 
 @query(
@@ -206,4 +206,4 @@ def word_frequencies(t: Tables):
 )
 def remove_listed(t: Tables):
     words = t.read("benchmark").select(F.explode(X.vocab_tokens(F.col("text"))).alias("word"))
-    return remove_listed_words(t.documents, "doc_id", "text", words).select("doc_id", F.md5("text").alias("digest"))
+    return remove_listed_words(t.texts, "doc_id", "text", words).select("doc_id", F.md5("text").alias("digest"))

@@ -86,13 +86,13 @@ _FEATURES = (
     f"WITH {_FEATURES} SELECT word, tf, round(rel, 6) AS relatedness, round(pos, 6) AS position, round(spread, 6) AS spread, round(h / (tf * (h + 1)), 6) AS score FROM h",
 )
 def keyword_rank(t: Tables):
-    f = L.word_features(t.documents, "text", STOPWORDS)
+    f = L.word_features(t.texts, "text", STOPWORDS)
     return f.select("word", "tf", *[r6(F.col(c)).alias(c) for c in ("relatedness", "position", "spread", "score")])
 
 
 @query("keyword_rank_distinct")
 def keyword_rank_distinct(t: Tables):
-    best = L.keyword_rank(L.word_features(t.documents, "text", STOPWORDS))
+    best = L.keyword_rank(L.word_features(t.texts, "text", STOPWORDS))
     return t.spark.createDataFrame([(i + 1, w, s) for i, (w, s) in enumerate(best)], "rank int, word string, score double")
 
 

@@ -110,7 +110,7 @@ def topic_similarity(t: Tables):
 def text_features(t: Tables):
     from pyspark.ml.functions import vector_to_array
 
-    featured = T.text_features(t.documents, "text", STOPWORDS)
+    featured = T.text_features(t.texts, "text", STOPWORDS)
     v = vector_to_array("features")
     return featured.select("doc_id", F.size(F.filter(v, lambda x: x != 0)).alias("filled"), F.round(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x), 6).alias("squared"))
 

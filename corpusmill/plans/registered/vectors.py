@@ -70,7 +70,7 @@ def scale_score(t: Tables):
 @query(
     "vector_top_k",
     f"WITH {_Q} SELECT vec_id, label, round(({_COS} + 1) / 2, 6) AS score FROM embeddings, q WHERE label IN (1, 2, 3, 4) "
-    f"ORDER BY {_COS} DESC, vec_id LIMIT 20",
+    f"ORDER BY round({_COS}, 9) DESC, vec_id LIMIT 20",
 )
 def vector_top_k(t: Tables):
     found = N.vector_top_k(t.embeddings, "vec_id", "embedding", _query_vector(t), 20, "cosine", {"label": [1, 2, 3, 4]})
@@ -79,7 +79,7 @@ def vector_top_k(t: Tables):
 
 @query(
     "vector_top_k_l2",
-    f"WITH {_Q} SELECT vec_id, round({l2_sql('embedding', 'qv')}, 6) AS score FROM embeddings, q ORDER BY {l2_sql('embedding', 'qv')}, vec_id LIMIT 20",
+    f"WITH {_Q} SELECT vec_id, round({l2_sql('embedding', 'qv')}, 6) AS score FROM embeddings, q ORDER BY round({l2_sql('embedding', 'qv')}, 9), vec_id LIMIT 20",
 )
 def vector_top_k_l2(t: Tables):
     found = N.vector_top_k(t.embeddings, "vec_id", "embedding", _query_vector(t), 20, "l2", scale=False)
@@ -90,7 +90,7 @@ def vector_top_k_l2(t: Tables):
     "vector_top_k_batch",
     f"WITH p AS (SELECT a.vec_id AS query_id, e.vec_id, {dot_sql('e.embedding', 'a.embedding')} / (sqrt({dot_sql('e.embedding', 'e.embedding')}) "
     f"* sqrt({dot_sql('a.embedding', 'a.embedding')})) AS s FROM embeddings a, embeddings e) "
-    "SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS INTEGER) AS rank, vec_id, round(s, 6) AS score FROM p QUALIFY rank <= 5",
+    "SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, vec_id) AS INTEGER) AS rank, vec_id, round(s, 6) AS score FROM p QUALIFY rank <= 5",
 )
 def vector_top_k_batch(t: Tables):
     queries = t.embeddings.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("v"))

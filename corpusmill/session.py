@@ -63,3 +63,9 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
 def small_side(df: DataFrame, rows: int = 200_000) -> DataFrame:
     """Mark a written table for broadcast when its row count, checked here, is small enough."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash a scan of few file splits over all cores; a scan with enough splits stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
