@@ -130,7 +130,7 @@ def test_highlight(spark):
     row = K.highlight(df, "t", ["hello"], ["client:", "operator:"]).first()
     assert row["marked_text"] == "\nclient: hello \noperator: the hello"
     marks = [tuple(m) for m in row["highlight"]]
-    assert marks == [(1, 8, 1), (10, 15, None), (17, 26, 2), (32, 37, None)] or marks[0] == (1, 8, 1)
+    assert [color for _, _, color in marks] == [1, None, 2, None]
     text = row["marked_text"]
     assert [text[lo:hi] for lo, hi, _ in marks] == ["client:", "hello", "operator:", "hello"]
 
