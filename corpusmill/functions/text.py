@@ -14,7 +14,6 @@ WHITESPACE = (
 )
 # ASCII punctuation.
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-PUNCTUATION_CLASS = r"[!-/:-@\[-`{-~]"
 DIGITS_ONLY = r"^\p{Nd}+$"
 # Fixed value: words of two or more letters or digits, over all scripts.
 WORD_PATTERN = r"(?U)\b\w\w+\b"
@@ -57,13 +56,19 @@ def index_tokens(text: Column, separators: Sequence[str] = ("_", " ")) -> Column
     return F.transform(tokenize(text, separators), strip)
 
 
+# Nothing but digits once punctuation and outer white space are gone; fails at the first letter.
+_EDGE = r"[!-/:-@\[-`{-~\s\x1c-\x1f\x85\p{Z}]*"
+BARE_DIGITS = "^" + _EDGE + r"\p{Nd}[\p{Nd}!-/:-@\[-`{-~]*" + _EDGE + "$"
+
+
+def bare_word(token: Column) -> Column:
+    """The token without punctuation and outer white space, lowered."""
+    return F.lower(strip(F.translate(token, PUNCTUATION, "")))
+
+
 def _kept(token: Column, words: Sequence[str]) -> Column:
-    bare = F.regexp_replace(token, PUNCTUATION_CLASS, "")
-    bare = strip(bare)
-    keep = ~bare.rlike(DIGITS_ONLY)
-    if words:
-        keep = keep & ~F.lower(bare).isin(list(words))
-    return keep
+    keep = ~token.rlike(BARE_DIGITS)
+    return keep & ~bare_word(token).isin(list(words)) if words else keep
 
 
 def strip_stopwords(text: Column, words: Sequence[str]) -> Column:

@@ -12,6 +12,7 @@ Every collection number (documents, mean length, document frequency) covers the
 
 from __future__ import annotations
 
+import math
 import os
 from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
@@ -166,10 +167,15 @@ def _counted(df: DataFrame, text: str, terms: Sequence[str]) -> DataFrame:
 
 def score(df: DataFrame, text: str, query: Sequence[str], model: Model = Okapi(), corpus: DataFrame | None = None) -> DataFrame:
     """Add ``score`` to every document. ``corpus`` gives the collection numbers; by default ``df`` itself."""
+    return _scored(df, text, query, model, corpus).drop("_matched")
+
+
+def _scored(df: DataFrame, text: str, query: Sequence[str], model: Model, corpus: DataFrame | None) -> DataFrame:
+    """Add ``score`` and ``_matched``, the number of different query terms in the document."""
     wanted = Counter(term.lower().strip() for term in query)
     terms = list(wanted)
     if not terms:
-        return df.withColumn("score", F.lit(0.0))
+        return df.withColumn("score", F.lit(0.0)).withColumn("_matched", F.lit(0))
     corpus = df if corpus is None else corpus
     counts = _counted(corpus.select(text), text, terms)
     numbers = counts.agg(
@@ -199,11 +205,12 @@ def score(df: DataFrame, text: str, query: Sequence[str], model: Model = Okapi()
         weights.append((F.when(df_i == 0, F.lit(0.0)).otherwise(idf) * wanted[term]).alias(f"w{i}"))
     weight_row = numbers.select(F.struct("mean_len", *weights)).scalar()
     counted = _counted(df, text, terms).withColumn("_q", weight_row)
-    total = F.lit(0.0)
+    total, matched = F.lit(0.0), F.lit(0)
     for i in range(len(terms)):
         tf = F.col(f"_tf{i}").cast("double")
+        matched = matched + (tf > 0).cast("int")
         total = total + F.col(f"_q.w{i}") * _part(model, tf, F.col("_len"), F.col("_q.mean_len"))
-    return counted.select(*df.columns, total.alias("score"))
+    return counted.select(*df.columns, total.alias("score"), matched.alias("_matched"))
 
 
 def top_k(
@@ -253,14 +260,10 @@ def search(
     found = filter_documents(df, filters, resolve)
     if query is None:
         return found.orderBy(id_col).limit(k)
-    terms = sorted({term.lower().strip() for term in query})
-    tokens = index_tokens(F.col(text))
-    wanted = F.array(*[F.lit(t) for t in terms])
-    if all_terms:
-        found = found.where(F.size(F.array_intersect(tokens, wanted)) == len(terms))
-    else:
-        found = found.where(F.arrays_overlap(tokens, wanted))
-    return score(found, text, query, model, corpus=df).orderBy(*_best_first("score", id_col)).limit(k)
+    terms = {term.lower().strip() for term in query}
+    scored = _scored(found, text, query, model, corpus=df)
+    scored = scored.where(F.col("_matched") == len(terms) if all_terms else F.col("_matched") > 0).drop("_matched")
+    return scored.orderBy(*_best_first("score", id_col)).limit(k)
 
 
 # --- many queries at once -------------------------------------------------------------------------
@@ -276,15 +279,41 @@ def check_filter_count(queries: int, filters: Sequence[Any] | None) -> None:
         raise ValueError(f"{queries} queries but {len(filters)} filters")
 
 
+def _batch_numbers(corpus: DataFrame, text: str, vocabulary: list[str]) -> tuple[int, float, dict[str, int]]:
+    """Documents, mean length, and the document frequency of the given tokens, in one pass."""
+    tokens = corpus.select(index_tokens(F.col(text)).alias("_all"))
+    hits = F.filter(F.array_distinct("_all"), lambda token: token.isin(vocabulary))
+    # The row with no token counts the documents themselves.
+    counted = tokens.select(F.size("_all").alias("_len"), F.explode(F.concat(hits, F.array(F.lit(None).cast("string")))).alias("token"))
+    rows = counted.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.sum("_len").alias("length")).collect()
+    whole = next((row for row in rows if row["token"] is None), None)
+    if whole is None:
+        return 0, 0.0, {}
+    return whole["n"], whole["length"] / whole["n"], {row["token"]: row["n"] for row in rows if row["token"] is not None}
+
+
 def _batch_inside_scan(
-    df: DataFrame, id_col: str, text: str, terms: list[Any], mean_len: float, model: Probabilistic, k: int, query_id: str
+    df: DataFrame,
+    corpus: DataFrame,
+    id_col: str,
+    text: str,
+    terms: list[Any],
+    model: Probabilistic,
+    k: int,
+    query_id: str,
 ) -> DataFrame:
     """Each task scores its documents against all queries and passes on its k best per query."""
+    n, mean_len, frequency = _batch_numbers(corpus, text, sorted({row["token"] for row in terms}))
+    # A term that no document holds adds nothing.
+    terms = [row for row in terms if row["token"] in frequency]
+    idf = {token: math.log1p((n - df_ + 0.5) / (df_ + 0.5)) for token, df_ in frequency.items()}
+    if not terms:
+        return df.select(F.lit(None).cast("bigint").alias(query_id), F.col(id_col).cast("bigint"), F.lit(0.0).alias("score")).limit(0)
     vocabulary = sorted({row["token"] for row in terms})
     columns = {token: i for i, token in enumerate(vocabulary)}
     query_ids = np.array(sorted({row[query_id] for row in terms}))
     places = {q: i for i, q in enumerate(query_ids.tolist())}
-    ordered = sorted((columns[row["token"]], places[row[query_id]], row["weight"] * row["idf"]) for row in terms)
+    ordered = sorted((columns[row["token"]], places[row[query_id]], row["weight"] * idf[row["token"]]) for row in terms)
     # Per term, the queries that hold it and its weight there.
     entry_term, entry_query = (np.array([e[i] for e in ordered], dtype=np.int64) for i in (0, 1))
     entry_weight = np.array([e[2] for e in ordered])
@@ -301,7 +330,7 @@ def _batch_inside_scan(
         entry = np.arange(len(source)) - np.repeat(np.cumsum(fan) - fan, fan) + first_entry[term[source]]
         target = doc[source] * queries + entry_query[entry]
         flat = np.bincount(target, weights=part[source] * entry_weight[entry], minlength=len(lengths) * queries)
-        return np.round(flat, TIE_PLACES).reshape(len(lengths), queries)
+        return flat.reshape(len(lengths), queries)
 
     def best_per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept_q, kept_d, kept_s = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
@@ -319,15 +348,15 @@ def _batch_inside_scan(
                 doc_of_hit = np.repeat(np.arange(high - low), np.diff(bounds[low : high + 1]))
                 scores = score_slice(lengths[low:high], doc_of_hit, term_of_hit[bounds[low] : bounds[high]])
                 # Scores are positive where a term is shared; ties with the k-th best stay in.
-                doc, query = np.nonzero((scores > 0) & (scores >= floor))
+                doc, query = np.nonzero((scores > 0) & (np.round(scores, TIE_PLACES) >= floor))
                 kept_q = np.concatenate([kept_q, query])
                 kept_d = np.concatenate([kept_d, ids[low:high][doc]])
                 kept_s = np.concatenate([kept_s, scores[doc, query]])
-                order = np.lexsort((kept_d, -kept_s, kept_q))
+                order = np.lexsort((kept_d, -np.round(kept_s, TIE_PLACES), kept_q))
                 kept_q, kept_d, kept_s = kept_q[order], kept_d[order], kept_s[order]
                 place = np.arange(len(kept_q)) - np.searchsorted(kept_q, kept_q, side="left")
                 full = kept_q[place == k - 1]
-                floor[full] = kept_s[place == k - 1]
+                floor[full] = np.round(kept_s[place == k - 1], TIE_PLACES)
                 kept_q, kept_d, kept_s = kept_q[place < k], kept_d[place < k], kept_s[place < k]
         if len(kept_q):
             yield pa.RecordBatch.from_arrays(
@@ -344,11 +373,18 @@ def _batch_inside_scan(
 
 
 def _batch_by_join(
-    df: DataFrame, id_col: str, text: str, terms: DataFrame, mean_len: Column, model: Model, query_id: str
+    df: DataFrame, corpus: DataFrame, id_col: str, text: str, terms: DataFrame, model: Probabilistic, query_id: str
 ) -> DataFrame:
     """Any number of queries: postings joined to query terms, then summed per (query, document)."""
-    joined = inverted_index(df, id_col, text).join(terms, "token")
-    part = _part(model, F.col("tf").cast("double"), F.col("doc_len"), mean_len)
+    vocabulary = terms.select("token").distinct()
+    tokens = corpus.select(F.explode(F.array_distinct(index_tokens(F.col(text)))).alias("token"))
+    frequency = tokens.join(vocabulary, "token").groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    totals = corpus_totals(corpus, text).select(F.struct("doc_count", "mean_len")).scalar()
+    n, held = F.col("_totals.doc_count"), F.col("df")
+    weighed = terms.join(frequency, "token").withColumn("_totals", totals)
+    weighed = weighed.withColumn("idf", F.log(F.lit(1.0) + (n - held + 0.5) / (held + 0.5)))
+    joined = inverted_index(df, id_col, text).join(weighed, "token")
+    part = _part(model, F.col("tf").cast("double"), F.col("doc_len"), F.col("_totals.mean_len"))
     return joined.groupBy(query_id, id_col).agg(F.sum(F.col("idf") * F.col("weight") * part).alias("score"))
 
 
@@ -373,24 +409,11 @@ def search_batch(
     """
     found = filter_documents(df, filters, resolve)
     terms = _query_terms(queries, query_id, query_text)
-    vocabulary = terms.select("token").distinct()
-    # Document frequencies of the query terms alone: the join keeps the other tokens out of the count.
-    tokens = df.select(F.explode(F.array_distinct(index_tokens(F.col(text)))).alias("token"))
-    frequency = tokens.join(vocabulary, "token").groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    totals = corpus_totals(df, text)
-    sized = frequency.withColumn("_n", totals.select(F.col("doc_count").cast("double")).scalar())
-    idf = F.log(F.lit(1.0) + (F.col("_n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighed = terms.join(sized.select("token", idf.alias("idf")), "token")
-    sample = weighed.limit(term_limit + 1).collect()
-    few_queries = len({row[query_id] for row in sample}) <= query_limit
-    if len(sample) <= term_limit and few_queries:
-        if not sample:
-            scored = found.select(F.lit(None).cast("bigint").alias(query_id), id_col, F.lit(0.0).alias("score")).limit(0)
-        else:
-            mean_len = totals.first()["mean_len"]
-            scored = _batch_inside_scan(found, id_col, text, sample, mean_len, model, k, query_id)
+    head = terms.limit(term_limit + 1).collect()
+    if len(head) <= term_limit and len({row[query_id] for row in head}) <= query_limit:
+        scored = _batch_inside_scan(found, df, id_col, text, head, model, k, query_id)
     else:
-        scored = _batch_by_join(found, id_col, text, weighed, totals.select("mean_len").scalar(), model, query_id)
+        scored = _batch_by_join(found, df, id_col, text, terms, model, query_id)
     best = Window.partitionBy(query_id).orderBy(*_best_first("score", id_col))
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(
         query_id, "rank", id_col, "score"

@@ -106,8 +106,7 @@ def explode_meta(df: DataFrame, index: str | None = None) -> DataFrame:
 
 def json_text(value: Column) -> Column:
     """A string as a quoted JSON value."""
-    encoded = F.to_json(F.struct(value.alias("v")))
-    return F.expr("null") if value is None else F.regexp_replace(encoded, r'(?s)^\{"v":(.*)\}$', "$1")
+    return F.regexp_replace(F.to_json(F.struct(value.alias("v"))), r'(?s)^\{"v":(.*)\}$', "$1")
 
 
 def collect_meta(documents: DataFrame, meta: DataFrame) -> DataFrame:
@@ -317,7 +316,8 @@ def value_type(value: Column) -> Column:
 def infer_property_types(meta: DataFrame, order: Sequence[str]) -> DataFrame:
     """Type of each meta key: that of the first value seen, in the order given."""
     ranked = meta.where(F.col("value").isNotNull() & (F.col("value") != "null"))
-    return ranked.groupBy("name").agg(F.min_by(value_type(F.col("value")), F.struct(*order)).alias("data_type"))
+    first = ranked.groupBy("name").agg(F.min_by("value", F.struct(*order)).alias("value"))
+    return first.select("name", value_type(F.col("value")).alias("data_type"))
 
 
 def missing_properties(meta: DataFrame, schema: DataFrame) -> DataFrame:

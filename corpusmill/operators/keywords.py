@@ -23,6 +23,8 @@ from corpusmill.session import cut_lineage
 PATTERN_LIMIT = 400
 # Fixed value: the default word characters.
 WORD_CHARACTERS = "A-Za-z0-9_"
+# A code point that is no character, and what stands for it should a text hold it.
+MARK, MARK_STAND_IN = "\uffff", "\ufffe"
 
 
 def _class_of(extra: str) -> str:
@@ -106,22 +108,30 @@ def _pieces(text: Column, words: Dictionary) -> tuple[Column, Column]:
     return F.regexp_extract_all(text, F.lit(words.pattern), F.lit(0)), F.split(text, words.pattern, -1)
 
 
-def spans(text: Column, words: Dictionary) -> Column:
-    """Array of (clean_name, lo, hi), in text order, ``hi`` exclusive, counted in characters."""
-    hits, pieces = _pieces(text, words)
-    empty = F.array().cast("array<struct<clean_name:string,lo:int,hi:int>>")
+def _mark_positions(marked: Column) -> Column:
+    """Where the marks of a text stand, not counting the marks before each."""
+    at = F.array_compact(F.transform(F.split(marked, ""), lambda ch, i: F.when(ch == MARK, i)))
+    return F.transform(at, lambda place, i: place - i)
+
 
-    def step(state: Column, pair: Column) -> Column:
-        lo = state["at"] + F.length(pair["before"])
-        hi = lo + F.length(pair["hit"])
-        found = F.struct(words.clean_name(pair["hit"]).alias("clean_name"), lo.alias("lo"), hi.alias("hi"))
-        return F.struct(hi.alias("at"), F.concat(state["found"], F.array(found)).alias("found"))
+def _unmarked(text: Column) -> Column:
+    """A text that holds no mark; another character that is part of no word stands in its place."""
+    return F.replace(text, F.lit(MARK), F.lit(MARK_STAND_IN))
+
+
+def spans(text: Column, words: Dictionary) -> Column:
+    """Array of (clean_name, lo, hi), in text order, ``hi`` exclusive, counted in characters.
 
-    pairs = F.zip_with(
-        hits, F.slice(pieces, 1, F.size(hits)), lambda hit, before: F.struct(hit.alias("hit"), before.alias("before"))
+    A mark is put before every hit and its place read off, so the work is linear in the text.
+    """
+    text = _unmarked(text)
+    hits = F.regexp_extract_all(text, F.lit(words.pattern), F.lit(0))
+    places = _mark_positions(F.regexp_replace(text, words.pattern, MARK + "$0"))
+    return F.zip_with(
+        hits,
+        places,
+        lambda hit, lo: F.struct(words.clean_name(hit).alias("clean_name"), lo.alias("lo"), (lo + F.length(hit)).alias("hi")),
     )
-    start = F.struct(F.lit(0).alias("at"), empty.alias("found"))
-    return F.aggregate(pairs, start, step, lambda state: state["found"])
 
 
 def clean_names(text: Column, words: Dictionary) -> Column:
@@ -145,22 +155,27 @@ def highlight(df: DataFrame, raw: str, query: Sequence[str], prefixes: Sequence[
     """
     colors = {"\n" + prefix: number + 1 for number, prefix in enumerate(dict.fromkeys(prefixes))}
     words = dictionary([(p, "\n" + p) for p in prefixes] + [(q, q) for q in query])
-    text = strip(F.col(raw))
     color_of = (
         F.create_map(*[F.lit(part) for item in colors.items() for part in item])
         if colors
         else F.create_map().cast("map<string,int>")
     )
+    hits, pieces = _pieces(_unmarked(strip(F.col(raw))), words)
+    names = F.transform(hits, words.clean_name)
+    # Marks in the new text give places that already count the line breaks before them.
+    marked = F.array_join(
+        F.zip_with(pieces, names, lambda piece, name: F.concat(piece, F.coalesce(F.concat(F.lit(MARK), name), F.lit("")))), ""
+    )
 
-    def step(state: Column, hit: Column) -> Column:
-        color = F.try_element_at(color_of, hit["clean_name"])
-        shift = state["shift"] + F.when(color.isNotNull(), 1).otherwise(0)
-        mark = F.struct((hit["lo"] + shift).alias("lo"), (hit["hi"] + shift).alias("hi"), color.alias("color"))
-        return F.struct(shift.alias("shift"), F.concat(state["marks"], F.array(mark)).alias("marks"))
-
-    start = F.struct(F.lit(0).alias("shift"), F.array().cast("array<struct<lo:int,hi:int,color:int>>").alias("marks"))
-    marks = F.aggregate(spans(text, words), start, step, lambda state: state["marks"])
-    return df.withColumn("highlight", marks).withColumn("marked_text", replaced(text, words))
+    def mark(name: Column, place: Column) -> Column:
+        color = F.try_element_at(color_of, name)
+        # A prefix begins after its line break.
+        lo = place + F.when(color.isNotNull(), 1).otherwise(0)
+        hi = place + F.length(name)
+        return F.struct(lo.alias("lo"), hi.alias("hi"), color.alias("color"))
+
+    marks = F.zip_with(names, _mark_positions(marked), mark)
+    return df.withColumn("highlight", marks).withColumn("marked_text", replaced(strip(F.col(raw)), words))
 
 
 # --- matching by join -----------------------------------------------------------------------------

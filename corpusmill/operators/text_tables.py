@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusmill.functions.text import PUNCTUATION_CLASS, DIGITS_ONLY, sentences, strip
+from corpusmill.functions.text import BARE_DIGITS, bare_word, sentences, strip
 
 
 def sentence_chunks(df: DataFrame, id_col: str, text: str) -> DataFrame:
@@ -32,8 +32,7 @@ def remove_listed_words(df: DataFrame, id_col: str, text: str, words: DataFrame,
     Gives (id, text). The tokens of one text come back together; their number is bounded by the text.
     """
     tokens = df.select(id_col, F.posexplode(F.transform(F.split(text, " ", -1), strip)).alias("_pos", "_token"))
-    bare = strip(F.regexp_replace("_token", PUNCTUATION_CLASS, ""))
-    keyed = tokens.withColumn("_bare", bare).where(~F.col("_bare").rlike(DIGITS_ONLY)).withColumn("_key", F.lower("_bare"))
+    keyed = tokens.where(~F.col("_token").rlike(BARE_DIGITS)).withColumn("_key", bare_word(F.col("_token")))
     listed = words.select(F.col(word).alias("_key")).distinct()
     kept = keyed.join(listed, "_key", "left_anti")
     grouped = kept.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("_pos", "_token"))).alias("_t"))

@@ -25,33 +25,34 @@ HEAD = 256
 
 
 def _word_counts(df: DataFrame, text: str, window: int) -> DataFrame:
-    """(kind, a, b, n): words, words by sentence number, neighbours (left, right), sentences.
+    """(kind, a, b, n, firsts): words by sentence number, and neighbours (left, right).
 
-    One scan and one shuffle count all four; equal rows are added up before the shuffle.
+    One scan and one shuffle count both; equal rows are added up before the shuffle. ``firsts`` counts
+    the sentences that hold the word.
     """
 
-    def entry(kind: str, a: Column, b: Column | None = None) -> Column:
-        second = F.lit(None) if b is None else b
-        return F.struct(F.lit(kind).alias("kind"), a.alias("a"), second.cast("string").alias("b"))
-
-    def pairs(words: Column, apart: int) -> Column:
-        rest = F.greatest(F.size(words) - apart, F.lit(0))
-        return F.zip_with(F.slice(words, 1, rest), F.slice(words, apart + 1, rest), lambda a, b: entry("pair", a, b))
-
-    def entries(words: Column) -> Column:
-        number = F.col("sentence")
-        return F.concat(
-            F.array(entry("sentence", F.lit(""))),
-            F.transform(words, lambda w: entry("word", w)),
-            F.transform(F.array_distinct(words), lambda w: entry("place", w, number)),
-            *[pairs(words, apart) for apart in range(1, window + 1)],
+    def entry(kind: str, b: Column, first: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), b.alias("b"), first.cast("int").alias("first"))
+
+    def places(words: Column) -> Column:
+        return F.transform(
+            words,
+            lambda word, i: F.struct(
+                word.alias("a"),
+                (F.array_position(words, word) == i + 1).alias("first"),
+                *[F.get(words, i + apart).alias(f"next{apart}") for apart in range(1, window + 1)],
+            ),
         )
 
     parts = df.select(F.posexplode(sentences(F.lower(text))).alias("sentence", "_s"))
     words = F.regexp_extract_all("_s", F.lit(WORDS), F.lit(0))
-    rows = let(words, lambda found: F.when(F.size(found) > 0, entries(found)))
-    exploded = parts.select(F.explode(rows).alias("_e")).select("_e.kind", "_e.a", "_e.b")
-    return exploded.groupBy("kind", "a", "b").agg(F.count(F.lit(1)).alias("n"))
+    tokens = parts.select("sentence", F.explode(let(words, places)).alias("_t")).select("sentence", "_t.*")
+    entries = [entry("place", F.col("sentence").cast("string"), F.col("first"))]
+    entries += [entry("pair", F.col(f"next{apart}"), F.lit(False)) for apart in range(1, window + 1)]
+    rows = tokens.select("a", F.explode(F.array(*entries)).alias("_e")).select("_e.kind", "a", "_e.b", "_e.first")
+    return rows.where(F.col("b").isNotNull()).groupBy("kind", "a", "b").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("first").alias("firsts")
+    )
 
 
 def word_features(df: DataFrame, text: str, stopwords: Sequence[str] = (), window: int = 2) -> DataFrame:
@@ -66,24 +67,23 @@ def word_features(df: DataFrame, text: str, stopwords: Sequence[str] = (), windo
     if stopwords:
         ranked = ranked & ~F.col("word").isin(list(stopwords))
 
-    frequency = counted.where("kind = 'word'").select(F.col("a").alias("word"), F.col("n").alias("tf"))
     # Places in a text are bounded by the longest text.
     place = F.col("b").cast("int")
-    where = counted.where("kind = 'place'").groupBy(F.col("a").alias("word")).agg(
-        F.sum("n").alias("in_sentences"), F.percentile(place, F.lit(0.5), F.col("n")).alias("_median")
+    frequency = counted.where("kind = 'place'").groupBy(F.col("a").alias("word")).agg(
+        F.sum("n").alias("tf"), F.sum("firsts").alias("in_sentences"), F.percentile(place, F.lit(0.5), F.col("firsts")).alias("_median")
     )
     near = counted.where("kind = 'pair'")
     variety = F.count(F.lit(1)) / F.sum("n")
     rights = near.groupBy(F.col("a").alias("word")).agg(variety.alias("_right"))
     lefts = near.groupBy(F.col("b").alias("word")).agg(variety.alias("_left"))
-    sentence_count = counted.where("kind = 'sentence'").agg(F.sum("n")).scalar()
+    filled = sentences(F.lower(text))
+    sentence_count = df.agg(F.sum(F.size(F.filter(filled, lambda part: part.rlike(WORDS))))).scalar()
 
     numbers = frequency.where(ranked).agg(
         F.struct(F.avg("tf").alias("mean"), F.stddev_pop("tf").alias("std"), F.max("tf").alias("top"))
     ).scalar()
     joined = (
         frequency.where(ranked)
-        .join(where, "word")
         .join(lefts, "word", "left")
         .join(rights, "word", "left")
         .withColumn("_c", numbers)

@@ -176,7 +176,7 @@ def topic_similarity(scores: DataFrame, topic: str, topics: int = MAX_CLUSTERS)
 # --- features and clusters ------------------------------------------------------------------------
 
 
-def text_features(df: DataFrame, text: str, words: Sequence[str] = (), size: int = 1_024, output: str = "features") -> DataFrame:
+def text_features(df: DataFrame, text: str, words: Sequence[str] = (), size: int = 512, output: str = "features") -> DataFrame:
     """Hashed word counts weighed by rarity, unit length. A user's model can fill the column instead."""
     tokens = df.withColumn("_tokens", vocab_tokens(F.col(text), words))
     counted = HashingTF(numFeatures=size, inputCol="_tokens", outputCol="_tf").transform(tokens)

@@ -72,15 +72,14 @@ def _block_top_k(
                     scores = np.divide(scores, norms, out=np.zeros_like(scores), where=norms != 0)
                 elif similarity == "l2":
                     scores = (rows**2).sum(1)[:, None] - 2 * scores + (size**2)[None, :]
-                scores = np.round(scores, TIE_PLACES)
-                doc, query = np.nonzero(sign * scores >= floor)
+                doc, query = np.nonzero(sign * np.round(scores, TIE_PLACES) >= floor)
                 kept_q = np.concatenate([kept_q, query])
                 kept_d = np.concatenate([kept_d, docs[doc]])
                 kept_s = np.concatenate([kept_s, scores[doc, query]])
-                order = np.lexsort((kept_d, -sign * kept_s, kept_q))
+                order = np.lexsort((kept_d, -sign * np.round(kept_s, TIE_PLACES), kept_q))
                 kept_q, kept_d, kept_s = kept_q[order], kept_d[order], kept_s[order]
                 place = np.arange(len(kept_q)) - np.searchsorted(kept_q, kept_q, side="left")
-                floor[kept_q[place == k - 1]] = sign * kept_s[place == k - 1]
+                floor[kept_q[place == k - 1]] = sign * np.round(kept_s[place == k - 1], TIE_PLACES)
                 kept_q, kept_d, kept_s = kept_q[place < k], kept_d[place < k], kept_s[place < k]
         if len(kept_q):
             yield pa.RecordBatch.from_arrays(
@@ -112,9 +111,8 @@ def vector_top_k_batch(
     found = filter_documents(df, filters, resolve)
     asked = queries.select(F.col(query_id).cast("bigint").alias(query_id), F.col(query_vector).cast("array<double>").alias("_v"))
     dim = asked.select(F.size("_v").alias("dim")).limit(1).collect()
-    best = Window.partitionBy(query_id).orderBy(
-        F.col("score").asc() if similarity == "l2" else F.col("score").desc(), F.col(id_col)
-    )
+    rounded = F.round("score", TIE_PLACES)
+    best = Window.partitionBy(query_id).orderBy(rounded.asc() if similarity == "l2" else rounded.desc(), F.col(id_col))
     scored = None
     last, rows_per_block = None, max(1, block_cells // max(dim[0]["dim"], 1)) if dim else 1
     while True:

@@ -39,7 +39,10 @@ def prepare(
     """Drop nulls, clean, keep the last of equal texts, sample when asked. ``clip=None`` keeps all rows."""
     known = drop_nulls(df, text, time).withColumn("silo", clean_silo(F.col(text), separators, stopwords))
     unique = appeals.dedup_keep_last(known, "silo", id_col)
-    return appeals.clip_sample(unique, id_col, clip) if clip is not None else unique
+    if clip is None:
+        return unique
+    # A sorted limit ends in one partition; the sample is spread again for the work on its words.
+    return appeals.clip_sample(unique, id_col, clip).repartition(df.sparkSession.sparkContext.defaultParallelism, id_col)
 
 
 def appeals_analysis(
