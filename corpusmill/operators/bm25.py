@@ -21,6 +21,7 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -262,8 +263,11 @@ def search(
         return found.orderBy(id_col).limit(k)
     terms = {term.lower().strip() for term in query}
     scored = _scored(found, text, query, model, corpus=df)
-    scored = scored.where(F.col("_matched") == len(terms) if all_terms else F.col("_matched") > 0).drop("_matched")
-    return scored.orderBy(*_best_first("score", id_col)).limit(k)
+    # Hits sort before the rest and the rest is dropped after the limit: a filter below it would work out
+    # the counts a second time.
+    hit = F.col("_matched") == len(terms) if all_terms else F.col("_matched") > 0
+    best = scored.withColumn("_hit", hit).orderBy(F.col("_hit").desc(), *_best_first("score", id_col)).limit(k)
+    return best.where("_hit").drop("_hit", "_matched").orderBy(*_best_first("score", id_col))
 
 
 # --- many queries at once -------------------------------------------------------------------------
@@ -279,17 +283,40 @@ def check_filter_count(queries: int, filters: Sequence[Any] | None) -> None:
         raise ValueError(f"{queries} queries but {len(filters)} filters")
 
 
+def _query_hits(batch: pa.RecordBatch, column: int, vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Token counts of the documents, and (document, term) of every token that a query holds."""
+    tokens = batch.column(column)
+    bounds = tokens.offsets.to_numpy() - tokens.offsets[0].as_py()
+    places = pc.index_in(tokens.flatten(), value_set=vocabulary)
+    known = np.flatnonzero(places.is_valid().to_numpy(zero_copy_only=False))
+    terms = places.fill_null(-1).to_numpy(zero_copy_only=False)[known].astype(np.int64)
+    lengths = np.diff(bounds)
+    return lengths, np.repeat(np.arange(batch.num_rows), lengths)[known], terms
+
+
 def _batch_numbers(corpus: DataFrame, text: str, vocabulary: list[str]) -> tuple[int, float, dict[str, int]]:
-    """Documents, mean length, and the document frequency of the given tokens, in one pass."""
+    """Documents, mean length, and the document frequency of the given tokens, in one pass.
+
+    Each task passes on one row per token of the vocabulary, whose size the caller has checked.
+    """
+    terms = pa.array(vocabulary, pa.string())
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, documents, tokens = np.zeros(len(vocabulary), np.int64), 0, 0
+        for batch in batches:
+            lengths, doc, term = _query_hits(batch, 0, terms)
+            held += np.bincount(np.unique(doc * len(vocabulary) + term) % len(vocabulary), minlength=len(vocabulary))
+            documents, tokens = documents + batch.num_rows, tokens + int(lengths.sum())
+        seen = np.flatnonzero(held)
+        # The last two rows hold the number of documents and of tokens.
+        place = np.concatenate([seen, [-1, -2]]).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(np.concatenate([held[seen], [documents, tokens]]))], names=["place", "n"])
+
     tokens = corpus.select(index_tokens(F.col(text)).alias("_all"))
-    hits = F.filter(F.array_distinct("_all"), lambda token: token.isin(vocabulary))
-    # The row with no token counts the documents themselves.
-    counted = tokens.select(F.size("_all").alias("_len"), F.explode(F.concat(hits, F.array(F.lit(None).cast("string")))).alias("token"))
-    rows = counted.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.sum("_len").alias("length")).collect()
-    whole = next((row for row in rows if row["token"] is None), None)
-    if whole is None:
-        return 0, 0.0, {}
-    return whole["n"], whole["length"] / whole["n"], {row["token"]: row["n"] for row in rows if row["token"] is not None}
+    rows = tokens.mapInArrow(count, "place int, n bigint").groupBy("place").agg(F.sum("n").alias("n")).collect()
+    found = {row["place"]: row["n"] for row in rows}
+    documents, total = found.pop(-1, 0), found.pop(-2, 0)
+    return documents, total / documents if documents else 0.0, {vocabulary[place]: n for place, n in found.items()}
 
 
 def _batch_inside_scan(
@@ -311,6 +338,7 @@ def _batch_inside_scan(
         return df.select(F.lit(None).cast("bigint").alias(query_id), F.col(id_col).cast("bigint"), F.lit(0.0).alias("score")).limit(0)
     vocabulary = sorted({row["token"] for row in terms})
     columns = {token: i for i, token in enumerate(vocabulary)}
+    known_terms = pa.array(vocabulary, pa.string())
     query_ids = np.array(sorted({row[query_id] for row in terms}))
     places = {q: i for i, q in enumerate(query_ids.tolist())}
     ordered = sorted((columns[row["token"]], places[row[query_id]], row["weight"] * idf[row["token"]]) for row in terms)
@@ -337,16 +365,11 @@ def _batch_inside_scan(
         floor = np.zeros(queries)
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            lengths = batch.column(1).to_numpy(zero_copy_only=False).astype(float)
-            hits = batch.column(2)
-            encoded = hits.flatten().dictionary_encode()
-            local = np.array([columns[t] for t in encoded.dictionary.to_pylist()], dtype=np.int64)
-            term_of_hit = local[encoded.indices.to_numpy(zero_copy_only=False)]
-            bounds = hits.offsets.to_numpy() - hits.offsets[0].as_py()
+            lengths, doc_of_hit, term_of_hit = _query_hits(batch, 1, known_terms)
             for low in range(0, len(ids), slice_rows):
                 high = min(low + slice_rows, len(ids))
-                doc_of_hit = np.repeat(np.arange(high - low), np.diff(bounds[low : high + 1]))
-                scores = score_slice(lengths[low:high], doc_of_hit, term_of_hit[bounds[low] : bounds[high]])
+                first, last = np.searchsorted(doc_of_hit, [low, high])
+                scores = score_slice(lengths[low:high], doc_of_hit[first:last] - low, term_of_hit[first:last])
                 # Scores are positive where a term is shared; ties with the k-th best stay in.
                 doc, query = np.nonzero((scores > 0) & (np.round(scores, TIE_PLACES) >= floor))
                 kept_q = np.concatenate([kept_q, query])
@@ -363,13 +386,8 @@ def _batch_inside_scan(
                 [pa.array(query_ids[kept_q]), pa.array(kept_d), pa.array(kept_s)], names=[query_id, id_col, "score"]
             )
 
-    tokens = df.select(id_col, index_tokens(F.col(text)).alias("_all"))
-    narrow = tokens.select(
-        F.col(id_col).cast("bigint"),
-        F.size("_all").alias("_len"),
-        F.filter("_all", lambda token: token.isin(vocabulary)).alias("_hits"),
-    ).where(F.size("_hits") > 0)
-    return narrow.mapInArrow(best_per_task, f"`{query_id}` bigint, `{id_col}` bigint, score double")
+    tokens = df.select(F.col(id_col).cast("bigint"), index_tokens(F.col(text)).alias("_all"))
+    return tokens.mapInArrow(best_per_task, f"`{query_id}` bigint, `{id_col}` bigint, score double")
 
 
 def _batch_by_join(

@@ -16,6 +16,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.functions.arrays import running_sums
 from corpusmill.functions.text import let, ngrams, strip
 from corpusmill.session import cut_lineage
 
@@ -23,10 +24,6 @@ from corpusmill.session import cut_lineage
 PATTERN_LIMIT = 400
 # Fixed value: the default word characters.
 WORD_CHARACTERS = "A-Za-z0-9_"
-# A code point that is no character, and what stands for it should a text hold it.
-MARK, MARK_STAND_IN = "\uffff", "\ufffe"
-
-
 def _class_of(extra: str) -> str:
     escaped = "".join("\\" + ch if not ch.isalnum() and ord(ch) < 128 else ch for ch in extra)
     return WORD_CHARACTERS + escaped
@@ -108,28 +105,19 @@ def _pieces(text: Column, words: Dictionary) -> tuple[Column, Column]:
     return F.regexp_extract_all(text, F.lit(words.pattern), F.lit(0)), F.split(text, words.pattern, -1)
 
 
-def _mark_positions(marked: Column) -> Column:
-    """Where the marks of a text stand, not counting the marks before each."""
-    at = F.array_compact(F.transform(F.split(marked, ""), lambda ch, i: F.when(ch == MARK, i)))
-    return F.transform(at, lambda place, i: place - i)
-
-
-def _unmarked(text: Column) -> Column:
-    """A text that holds no mark; another character that is part of no word stands in its place."""
-    return F.replace(text, F.lit(MARK), F.lit(MARK_STAND_IN))
+def _starts(pieces: Column, parts: Column) -> Column:
+    """Where each part begins in a text made of pieces with the parts between them."""
+    lengths = F.zip_with(pieces, parts, lambda piece, part: F.array(F.length(piece), F.coalesce(F.length(part), F.lit(0))))
+    ends = running_sums(F.flatten(lengths))
+    return F.slice(F.filter(ends, lambda _, i: i % 2 == 0), 1, F.size(parts))
 
 
 def spans(text: Column, words: Dictionary) -> Column:
-    """Array of (clean_name, lo, hi), in text order, ``hi`` exclusive, counted in characters.
-
-    A mark is put before every hit and its place read off, so the work is linear in the text.
-    """
-    text = _unmarked(text)
-    hits = F.regexp_extract_all(text, F.lit(words.pattern), F.lit(0))
-    places = _mark_positions(F.regexp_replace(text, words.pattern, MARK + "$0"))
+    """Array of (clean_name, lo, hi), in text order, ``hi`` exclusive, counted in characters."""
+    hits, pieces = _pieces(text, words)
     return F.zip_with(
         hits,
-        places,
+        _starts(pieces, hits),
         lambda hit, lo: F.struct(words.clean_name(hit).alias("clean_name"), lo.alias("lo"), (lo + F.length(hit)).alias("hi")),
     )
 
@@ -160,22 +148,19 @@ def highlight(df: DataFrame, raw: str, query: Sequence[str], prefixes: Sequence[
         if colors
         else F.create_map().cast("map<string,int>")
     )
-    hits, pieces = _pieces(_unmarked(strip(F.col(raw))), words)
+    text = strip(F.col(raw))
+    hits, pieces = _pieces(text, words)
     names = F.transform(hits, words.clean_name)
-    # Marks in the new text give places that already count the line breaks before them.
-    marked = F.array_join(
-        F.zip_with(pieces, names, lambda piece, name: F.concat(piece, F.coalesce(F.concat(F.lit(MARK), name), F.lit("")))), ""
-    )
 
     def mark(name: Column, place: Column) -> Column:
         color = F.try_element_at(color_of, name)
         # A prefix begins after its line break.
         lo = place + F.when(color.isNotNull(), 1).otherwise(0)
-        hi = place + F.length(name)
-        return F.struct(lo.alias("lo"), hi.alias("hi"), color.alias("color"))
+        return F.struct(lo.alias("lo"), (place + F.length(name)).alias("hi"), color.alias("color"))
 
-    marks = F.zip_with(names, _mark_positions(marked), mark)
-    return df.withColumn("highlight", marks).withColumn("marked_text", replaced(strip(F.col(raw)), words))
+    # Places in the new text count the line breaks before them.
+    marks = F.zip_with(names, _starts(pieces, names), mark)
+    return df.withColumn("highlight", marks).withColumn("marked_text", replaced(text, words))
 
 
 # --- matching by join -----------------------------------------------------------------------------
@@ -315,7 +300,7 @@ def similar_grams(grams: DataFrame, entries: DataFrame, max_cost: int) -> DataFr
     """(gram, keyword, clean_name, cost) for distinct grams within ``max_cost`` edits of a keyword.
 
     Cut a keyword into ``max_cost + 1`` segments: with at most ``max_cost`` edits one of them stays
-    whole and moves by at most ``max_cost`` places. So grams and keywords meet by equality on
+    whole and moves by few places. So grams and keywords meet by equality on
     (words, keyword length, segment number, segment), and only these pairs are measured.
     """
     parts = max_cost + 1
@@ -325,7 +310,15 @@ def similar_grams(grams: DataFrame, entries: DataFrame, max_cost: int) -> DataFr
     keyed = entries.select("keyword", "clean_name", words("keyword"), F.length("keyword").alias("_len"), numbers)
     start, size = _segment(F.col("_len"), F.col("_no"), parts)
     keyed = keyed.withColumn("_seg", F.substr(F.col("keyword"), start + 1, size))
-    places = [F.struct(F.lit(c).alias("change"), F.lit(n).alias("no"), F.lit(m).alias("move")) for c in moves for n in range(parts) for m in moves]
+    # Left of the segment that stays whole there are at most as many edits as segments, and right of it
+    # at most the others: that bounds how far it can have moved for each difference in length.
+    places = [
+        F.struct(F.lit(change).alias("change"), F.lit(n).alias("no"), F.lit(move).alias("move"))
+        for change in moves
+        for n in range(parts)
+        for move in moves
+        if abs(move) <= n and abs(move + change) <= max_cost - n
+    ]
     probed = grams.select("gram", words("gram"), F.explode(F.array(*places)).alias("_p")).select(
         "gram", "_words", (F.length("gram") + F.col("_p.change")).alias("_len"), F.col("_p.no").alias("_no"), F.col("_p.move").alias("_move")
     )

@@ -25,20 +25,23 @@ HEAD = 256
 
 
 def _word_counts(df: DataFrame, text: str, window: int) -> DataFrame:
-    """(kind, a, b, n, firsts): words by sentence number, and neighbours (left, right).
+    """(pair, a, b, n, firsts, heads): words by sentence number, and neighbours (left, right).
 
     One scan and one shuffle count both; equal rows are added up before the shuffle. ``firsts`` counts
-    the sentences that hold the word.
+    the sentences that hold the word, ``heads`` those that begin with it.
     """
 
-    def entry(kind: str, b: Column, first: Column) -> Column:
-        return F.struct(F.lit(kind).alias("kind"), b.alias("b"), first.cast("int").alias("first"))
+    def entry(pair: bool, b: Column, first: Column, head: Column) -> Column:
+        return F.struct(
+            F.lit(pair).alias("pair"), b.alias("b"), first.cast("int").alias("first"), head.cast("int").alias("head")
+        )
 
     def places(words: Column) -> Column:
         return F.transform(
             words,
             lambda word, i: F.struct(
                 word.alias("a"),
+                (i == 0).alias("head"),
                 (F.array_position(words, word) == i + 1).alias("first"),
                 *[F.get(words, i + apart).alias(f"next{apart}") for apart in range(1, window + 1)],
             ),
@@ -47,11 +50,12 @@ def _word_counts(df: DataFrame, text: str, window: int) -> DataFrame:
     parts = df.select(F.posexplode(sentences(F.lower(text))).alias("sentence", "_s"))
     words = F.regexp_extract_all("_s", F.lit(WORDS), F.lit(0))
     tokens = parts.select("sentence", F.explode(let(words, places)).alias("_t")).select("sentence", "_t.*")
-    entries = [entry("place", F.col("sentence").cast("string"), F.col("first"))]
-    entries += [entry("pair", F.col(f"next{apart}"), F.lit(False)) for apart in range(1, window + 1)]
-    rows = tokens.select("a", F.explode(F.array(*entries)).alias("_e")).select("_e.kind", "a", "_e.b", "_e.first")
-    return rows.where(F.col("b").isNotNull()).groupBy("kind", "a", "b").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("first").alias("firsts")
+    no = F.lit(False)
+    entries = [entry(False, F.col("sentence").cast("string"), F.col("first"), F.col("head"))]
+    entries += [entry(True, F.col(f"next{apart}"), no, no) for apart in range(1, window + 1)]
+    rows = tokens.select("a", F.explode(F.array(*entries)).alias("_e")).select("_e.pair", "a", "_e.b", "_e.first", "_e.head")
+    return rows.where(F.col("b").isNotNull()).groupBy("pair", "a", "b").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("first").alias("firsts"), F.sum("head").alias("heads")
     )
 
 
@@ -69,15 +73,14 @@ def word_features(df: DataFrame, text: str, stopwords: Sequence[str] = (), windo
 
     # Places in a text are bounded by the longest text.
     place = F.col("b").cast("int")
-    frequency = counted.where("kind = 'place'").groupBy(F.col("a").alias("word")).agg(
+    frequency = counted.where("NOT pair").groupBy(F.col("a").alias("word")).agg(
         F.sum("n").alias("tf"), F.sum("firsts").alias("in_sentences"), F.percentile(place, F.lit(0.5), F.col("firsts")).alias("_median")
     )
-    near = counted.where("kind = 'pair'")
+    near = counted.where("pair")
     variety = F.count(F.lit(1)) / F.sum("n")
     rights = near.groupBy(F.col("a").alias("word")).agg(variety.alias("_right"))
     lefts = near.groupBy(F.col("b").alias("word")).agg(variety.alias("_left"))
-    filled = sentences(F.lower(text))
-    sentence_count = df.agg(F.sum(F.size(F.filter(filled, lambda part: part.rlike(WORDS))))).scalar()
+    sentence_count = counted.agg(F.sum("heads")).scalar()
 
     numbers = frequency.where(ranked).agg(
         F.struct(F.avg("tf").alias("mean"), F.stddev_pop("tf").alias("std"), F.max("tf").alias("top"))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import vocab_tokens
-from corpusmill.session import cut_lineage
+from corpusmill.session import cut_lineage, small_side
 
 # Accepted range of the cluster count, and the count used outside it.
 MIN_CLUSTERS, MAX_CLUSTERS, DEFAULT_CLUSTERS = 1, 29, 7
@@ -37,16 +37,16 @@ def c_tf_idf(
 ) -> DataFrame:
     """(group, word, n, score): share of the word in the group times ``ln(documents / count of the word)``.
 
-    Tokens are counted per (group, word) before the shuffle; what follows works on that table. The
-    groups that hold one word are as many as there are topics (or topic and time cells).
+    Tokens are counted per (group, word) before the shuffle and that table is written, so the texts are
+    read once. The groups that hold one word are as many as there are topics (or topic and time cells).
     """
     group = list(group)
     tokens = df.select(*group, F.explode(vocab_tokens(F.col(text), words, ngram_range)).alias("word"))
-    counts = tokens.groupBy(*group, "word").agg(F.count(F.lit(1)).alias("n"))
-    size = counts.groupBy(*group).agg(F.sum("n").alias("_group"))
+    counts = cut_lineage(tokens.groupBy(*group, "word").agg(F.count(F.lit(1)).alias("n")))
+    size = cut_lineage(counts.groupBy(*group).agg(F.sum("n").alias("_group")))
     m = df.agg(F.count(F.lit(1)).cast("double")).scalar() if documents is None else documents
     everywhere = counts.withColumn("_word", F.sum("n").over(Window.partitionBy("word")))
-    scored = everywhere.join(size, group).withColumn("_m", m)
+    scored = everywhere.join(small_side(size), group).withColumn("_m", m)
     score = F.col("n") / F.col("_group") * F.log(F.col("_m") / F.col("_word"))
     return scored.select(*group, "word", "n", score.alias("score"))
 
