@@ -238,10 +238,12 @@ def keyword_spans(
     head = entries.select("keyword", "clean_name").limit(pattern_limit + 1).collect()
     if len(head) <= pattern_limit:
         words = dictionary([(r[0], r[1]) for r in head], case_sensitive, extra)
-        found = df.select(id_col, spans(F.col(text), words).alias("spans"))
+        # Exploded as an expression: for a column the optimizer adds a filter that repeats its work.
+        hits = df.select(id_col, F.posexplode(spans(F.col(text), words)).alias("hit_no", "_s"))
     else:
         found = spans_by_join(df, id_col, text, entries, case_sensitive, extra)
-    return found.select(id_col, F.posexplode("spans").alias("hit_no", "_s")).select(
+        hits = found.select(id_col, F.posexplode_outer("spans").alias("hit_no", "_s")).where(F.col("_s").isNotNull())
+    return hits.select(
         id_col, "hit_no", F.col("_s.clean_name").alias("clean_name"), F.col("_s.lo").alias("lo"), F.col("_s.hi").alias("hi")
     )
 
@@ -305,7 +307,7 @@ def similar_grams(grams: DataFrame, entries: DataFrame, max_cost: int) -> DataFr
     """
     parts = max_cost + 1
     moves = range(-max_cost, max_cost + 1)
-    words = lambda name: F.size(F.split(name, " ")).alias("_words")
+    words = lambda name: (F.length(name) - F.length(F.replace(F.col(name), F.lit(" "), F.lit("")))).alias("_words")
     numbers = F.explode(F.array(*[F.lit(n) for n in range(parts)])).alias("_no")
     keyed = entries.select("keyword", "clean_name", words("keyword"), F.length("keyword").alias("_len"), numbers)
     start, size = _segment(F.col("_len"), F.col("_no"), parts)

@@ -50,9 +50,14 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder, so that every later use sees the same rows."""
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` as a table in the shared checkpoint folder and read it back.
+
+    Every later use sees the same rows, also after an executor is lost. Against ``checkpoint()`` the
+    table keeps its size for the choice of joins, and later steps read only the columns they need.
+    """
+    folder = scratch_folder(df.sparkSession, "table")
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
 def scratch_folder(spark: SparkSession, name: str) -> str:
