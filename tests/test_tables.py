@@ -230,3 +230,19 @@ def test_records(spark):
 def test_write_docs_rejects_other_formats(spark):
     with pytest.raises(ValueError):
         S.write_docs(spark.range(1), "/nowhere", ext=".xlsx")
+
+
+def test_repeats_are_dropped_before_the_shuffle(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for df in (A.dedup_keep_last(docs, "text", "doc_id"), D.drop_duplicate_documents(docs.withColumnRenamed("doc_id", "id"), "id")):
+        lines = df._jdf.queryExecution().executedPlan().toString().splitlines()
+        limits = [i for i, line in enumerate(lines) if "WindowGroupLimit" in line and "Partial" in line]
+        shuffle = next(i for i, line in enumerate(lines) if "Exchange" in line)
+        assert limits and limits[-1] > shuffle
+
+
+def test_entry_and_registry(spark):
+    import __spark_entry__ as entry_point
+
+    assert entry_point.entry(spark).count() > 0
+    assert set(entry_point.oracle_sql()) <= set(entry_point.queries())
