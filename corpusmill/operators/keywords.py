@@ -207,9 +207,11 @@ def spans_by_join(
 ) -> DataFrame:
     """(id, spans) of the texts with hits, for a dictionary of any size.
 
-    Keywords need at least one leading word character, by which they are found.
+    Keywords are found by their first word, so each must begin with a word character.
     """
     word = f"[{_class_of(extra)}]"
+    if entries.where(~F.col("keyword").rlike(f"^{word}")).limit(1).count():
+        raise ValueError("keywords of a large dictionary must begin with a word character")
     key = F.col("keyword") if case_sensitive else F.lower("keyword")
     keyed = entries.select(key.alias("_kw"), "clean_name").withColumn("_first", F.regexp_extract("_kw", f"^{word}+", 0))
     width = entries.agg(F.coalesce(F.max(F.length("keyword")), F.lit(0))).scalar() + 1
@@ -220,7 +222,7 @@ def spans_by_join(
     size = F.length("_kw")
     after = F.substr(F.col("window"), size + 1, F.lit(1))
     fits = F.startswith(F.col("window"), F.col("_kw")) & ~after.rlike(f"^{word}$")
-    hits = seen.join(keyed.where(F.col("_first") != ""), "_first").where(fits)
+    hits = seen.join(keyed, "_first").where(fits)
     candidates = hits.select(id_col, "lo", (F.col("lo") + size).alias("hi"), "clean_name")
     return _leftmost_longest(candidates, id_col)
 

@@ -118,6 +118,13 @@ def test_join_path_equals_pattern_path(spark):
     assert a == b
 
 
+def test_join_path_refuses_what_it_cannot_find(spark):
+    entries = spark.createDataFrame([("ab", "X"), (":)", "smile")], "keyword string, clean_name string")
+    with pytest.raises(ValueError, match="word character"):
+        K.keyword_spans(frame(spark, ["ab :)"]), "id", "t", entries, pattern_limit=0)
+    assert K.keyword_spans(frame(spark, ["ab :)"]), "id", "t", entries).count() == 2
+
+
 def test_replace_by_keyword_itself_is_identity(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     words = K.dictionary([("the", "the"), ("of", "of")], case_sensitive=True)
