@@ -12,8 +12,9 @@ from corpusmill.functions.text import vocab_tokens
 
 
 def dedup_keep_last(df: DataFrame, text: str, order: str) -> DataFrame:
-    """Of equal texts keep the last row. Each task drops its own repeats before the shuffle."""
-    last = Window.partitionBy(text).orderBy(F.col(order).desc())
+    """Of equal texts keep the last row. Each task drops its own repeats before the shuffle, and a digest
+    stands for the text as the key of shuffle and sort."""
+    last = Window.partitionBy(F.sha2(F.col(text), 256)).orderBy(F.col(order).desc())
     return df.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n")
 
 

@@ -176,10 +176,13 @@ class DuplicateDocumentError(ValueError):
 
 
 def write_fail(stored: DataFrame, incoming: DataFrame, order: str, key: Sequence[str] = DOCUMENT_KEY) -> DataFrame:
-    """Add a batch, or fail and name some of the ids stored already."""
-    sample = conflicting_ids(stored, incoming, key).orderBy(*key).limit(20).collect()
+    """Add a batch, or fail, say how many of its ids are stored already and name the first of them;
+    ``conflicting_ids`` has them all."""
+    conflicts = conflicting_ids(stored, incoming, key)
+    sample = conflicts.orderBy(*key).limit(20).collect()
     if sample:
-        raise DuplicateDocumentError("already stored: " + ", ".join(str(row[0]) for row in sample))
+        named = ", ".join(str(row[0]) for row in sample)
+        raise DuplicateDocumentError(f"{conflicts.count()} ids are stored already, first: {named}")
     return stored.unionByName(drop_duplicate_documents(incoming, order, key).select(*stored.columns))
 
 
@@ -201,9 +204,11 @@ def update_meta_replace(meta: DataFrame, changes: DataFrame) -> DataFrame:
     return kept.select(*meta.columns).unionByName(changes.select(*meta.columns))
 
 
-def update_meta_merge(documents: DataFrame, changes: DataFrame, key: Sequence[str] = DOCUMENT_KEY) -> DataFrame:
-    """Overwrite the given keys of the meta map and keep the others. One row of changes per document."""
-    joined = documents.join(changes.select(*key, F.col("meta").alias("_new")), list(key), "left")
+def update_meta_merge(documents: DataFrame, changes: DataFrame, key: Sequence[str] = DOCUMENT_KEY, order: str | None = None) -> DataFrame:
+    """Overwrite the given keys of the meta map and keep the others. Of several changes to a document the last
+    by ``order`` counts; without it, the greatest as JSON."""
+    last = F.max_by("meta", F.col(order) if order else F.to_json("meta"))
+    joined = documents.join(changes.groupBy(*key).agg(last.alias("_new")), list(key), "left")
     old = F.coalesce(F.col("meta"), F.create_map().cast("map<string,string>"))
     named = F.map_keys("_new")
     merged = F.map_concat(F.map_filter(old, lambda k, _: ~F.array_contains(named, k)), F.col("_new"))
@@ -211,9 +216,11 @@ def update_meta_merge(documents: DataFrame, changes: DataFrame, key: Sequence[st
     return joined.withColumn("meta", meta).select(*documents.columns)
 
 
-def update_vector_ids(documents: DataFrame, mapping: DataFrame, index: str) -> DataFrame:
-    """Set vector ids from (id, vector_id) rows; documents not named keep theirs."""
-    new = mapping.select("id", F.col("vector_id").alias("_new"), F.lit(index).alias("index"))
+def update_vector_ids(documents: DataFrame, mapping: DataFrame, index: str, order: str | None = None) -> DataFrame:
+    """Set vector ids from (id, vector_id) rows; documents not named keep theirs. Of several rows for an id the
+    last by ``order`` counts; without it, the greatest vector id."""
+    last = mapping.groupBy("id").agg(F.max_by("vector_id", F.col(order or "vector_id")).alias("_new"))
+    new = last.select("id", "_new", F.lit(index).alias("index"))
     joined = documents.join(new, list(DOCUMENT_KEY), "left")
     return joined.withColumn("vector_id", F.coalesce("_new", "vector_id")).select(*documents.columns)
 

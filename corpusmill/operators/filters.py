@@ -23,6 +23,8 @@ Resolver = Callable[[str], Column]
 
 
 def _equals(field: Column, value: Any) -> Column:
+    if value is None:
+        return F.lit(False)
     if isinstance(value, (list, tuple)):
         return field == F.array(*[F.lit(v) for v in value])
     return field == F.lit(value)
@@ -31,7 +33,13 @@ def _equals(field: Column, value: Any) -> Column:
 def _member(field: Column, value: Any) -> Column:
     if not isinstance(value, (list, tuple, set)):
         raise ValueError("$in and $nin take a list")
-    return field.isin(list(value))
+    # A null in the list equals nothing; left in, it would make the whole test null.
+    return field.isin([v for v in value if v is not None])
+
+
+def _ordered(test: Callable[[Column, Any], Column]) -> Callable[[Column, Any], Column]:
+    """Nothing is before or after null."""
+    return lambda field, value: F.lit(False) if value is None else test(field, F.lit(value))
 
 
 _COMPARISONS: dict[str, Callable[[Column, Any], Column]] = {
@@ -39,10 +47,10 @@ _COMPARISONS: dict[str, Callable[[Column, Any], Column]] = {
     "$ne": lambda field, value: ~_equals(field, value),
     "$in": _member,
     "$nin": lambda field, value: ~_member(field, value),
-    "$gt": lambda field, value: field > F.lit(value),
-    "$gte": lambda field, value: field >= F.lit(value),
-    "$lt": lambda field, value: field < F.lit(value),
-    "$lte": lambda field, value: field <= F.lit(value),
+    "$gt": _ordered(operator.gt),
+    "$gte": _ordered(operator.ge),
+    "$lt": _ordered(operator.lt),
+    "$lte": _ordered(operator.le),
 }
 
 

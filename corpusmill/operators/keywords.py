@@ -353,19 +353,19 @@ def keyword_fuzzy(
     text: str,
     entries: DataFrame,
     max_cost: int = 1,
-    max_words: int = 3,
+    max_words: int | None = None,
     pattern_limit: int = PATTERN_LIMIT,
 ) -> DataFrame:
     """(id, hit_no, clean_name, lo, hi): hits within ``max_cost`` edits of a keyword.
 
-    Each word of the text is compared with the word of the keyword in its place; keywords have at most
-    ``max_words`` words. The distinct word runs of the corpus are compared once, however often they
+    Each word of the text is compared with the word of the keyword in its place. ``max_words`` is that of
+    the longest keyword, looked up when not given. The distinct word runs of the corpus are compared once, however often they
     occur. Those that match become a dictionary, which is then matched exactly. Of several keywords
     near one run the nearest counts, then the first by name.
     """
     keyed = entries.select(F.lower("keyword").alias("keyword"), "clean_name")
-    if keyed.where(F.size(F.split("keyword", " ")) > max_words).limit(1).count():
-        raise ValueError(f"keywords of more than {max_words} words: raise max_words")
+    longest = keyed.agg(F.max(F.size(F.split("keyword", " ")))).first()[0] or 1
+    max_words = max(longest, max_words or 1)
     grams = df.select(F.explode(F.array_distinct(_word_grams(F.col(text), max_words))).alias("gram")).distinct()
     near = similar_grams(grams, keyed, max_cost)
     best = near.groupBy(F.col("gram").alias("keyword")).agg(F.min_by("clean_name", F.struct("cost", "keyword")).alias("clean_name"))

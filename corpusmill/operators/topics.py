@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import IDF, PCA, HashingTF, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -123,54 +121,26 @@ def peak_per_topic(over_time: DataFrame, topic: str) -> DataFrame:
 # --- similarity -----------------------------------------------------------------------------------
 
 
-def topic_similarity(scores: DataFrame, topic: str, topics: int = MAX_CLUSTERS) -> DataFrame:
+def topic_similarity(scores: DataFrame, topic: str) -> DataFrame:
     """Cosine between the word scores of topics: (left_topic, right_topic, similarity), left < right.
 
-    Each task adds its words into one topics x topics matrix and passes that on, so the shuffle does
-    not grow with the vocabulary. The number of topics is checked; it is that of the clustering.
+    A word gives a row for each two of its own topics; those are added up per task before the shuffle, so
+    what is shuffled follows the pairs of topics, which are the result, and not the vocabulary.
     """
-    scores = cut_lineage(scores.select(topic, "word", "score"))
-    names = [row[0] for row in scores.select(topic).distinct().orderBy(topic).limit(topics + 1).collect()]
-    if len(names) > topics:
-        raise ValueError(f"more than {topics} topics")
-    place = {name: i for i, name in enumerate(names)}
-
-    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(names), len(names)))
-        for batch in batches:
-            topic_lists, score_lists = batch.column(0), batch.column(1)
-            offsets = topic_lists.offsets.to_numpy() - topic_lists.offsets[0].as_py()
-            dense = np.zeros((batch.num_rows, len(names)))
-            rows = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
-            cols = np.array([place[t] for t in topic_lists.flatten().to_pylist()], dtype=np.int64)
-            dense[rows, cols] = score_lists.flatten().to_numpy(zero_copy_only=False)
-            total += dense.T @ dense
-        left, right = np.divmod(np.arange(total.size), max(len(names), 1))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(left.astype(np.int32)), pa.array(right.astype(np.int32)), pa.array(total.ravel())],
-            names=["left", "right", "product"],
-        )
-
-    # One row per word; its lists are no longer than the number of topics.
-    per_word = scores.groupBy("word").agg(
-        F.collect_list(F.struct(F.col(topic).alias("t"), F.col("score").alias("s"))).alias("_cells")
-    )
-    lists = per_word.select(F.col("_cells.t").alias("t"), F.col("_cells.s").alias("s"))
-    cells = lists.mapInArrow(products, "left int, right int, product double").groupBy("left", "right").agg(
-        F.sum("product").alias("product")
-    )
-    # At most ``topics`` squared rows from here on.
-    norms = cells.where("left = right").select(F.col("left").alias("at"), F.sqrt("product").alias("size"))
-    named = F.array(*[F.lit(n) for n in names]) if names else F.array().cast("array<int>")
-    pairs = cells.where("left < right")
-    left, right = norms.withColumnsRenamed({"at": "left", "size": "_l"}), norms.withColumnsRenamed({"at": "right", "size": "_r"})
-    joined = pairs.join(left, "left").join(right, "right")
+    scores = cut_lineage(scores.select(F.col(topic).alias("t"), "word", F.col("score").alias("s")))
+    per_word = scores.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("t", "s"))).alias("cells"))
+    lefts = per_word.select("cells", F.posexplode("cells").alias("at", "left"))
+    pairs = lefts.select("left", F.explode(F.slice("cells", F.col("at") + 2, F.size("cells"))).alias("right"))
+    product = F.sum(F.col("left.s") * F.col("right.s")).alias("product")
+    products = pairs.groupBy(F.col("left.t").alias("left_topic"), F.col("right.t").alias("right_topic")).agg(product)
+    # One row per topic from here on.
+    norms = cut_lineage(scores.groupBy("t").agg(F.sqrt(F.sum(F.col("s") * F.col("s"))).alias("size")))
+    left = norms.withColumnsRenamed({"t": "left_topic", "size": "_l"})
+    right = norms.withColumnsRenamed({"t": "right_topic", "size": "_r"})
+    every = left.join(right, F.col("left_topic") < F.col("right_topic"))
     size = F.col("_l") * F.col("_r")
-    return joined.select(
-        F.get(named, F.col("left")).alias("left_topic"),
-        F.get(named, F.col("right")).alias("right_topic"),
-        F.when(size == 0, F.lit(0.0)).otherwise(F.col("product") / size).alias("similarity"),
-    )
+    similarity = F.when(size == 0, F.lit(0.0)).otherwise(F.coalesce("product", F.lit(0.0)) / size)
+    return every.join(products, ["left_topic", "right_topic"], "left").select("left_topic", "right_topic", similarity.alias("similarity"))
 
 
 # --- features and clusters ------------------------------------------------------------------------
@@ -195,6 +165,11 @@ def reduce_dimensions(df: DataFrame, features: str = "features", dims: int = 5,
 
 
 def topic_clusters(df: DataFrame, features: str = "features", clusters: int | None = None, seed: int = 42, output: str = "topic") -> DataFrame:
-    """Add the cluster number of every row."""
-    model = KMeans(k=cluster_count(clusters), seed=seed, featuresCol=features, predictionCol=output).fit(df)
+    """Add the cluster number of every row: as many clusters as asked for, seven when none are."""
+    count = DEFAULT_CLUSTERS if clusters is None else int(clusters)
+    if count < 1:
+        raise ValueError("at least one cluster")
+    if count == 1:
+        return df.withColumn(output, F.lit(0))
+    model = KMeans(k=count, seed=seed, featuresCol=features, predictionCol=output).fit(df)
     return model.transform(df)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions.text import clean_silo
 from corpusmill.operators import appeals, bm25, topics
-from corpusmill.operators.filters import drop_nulls, within_dates
+from corpusmill.operators.filters import drop_nulls
 from corpusmill.operators.keywords import highlight
 from corpusmill.operators.timelines import daily_volume_share, keyword_postings, keyword_rank, keyword_spikes, word_features
 from corpusmill.session import cut_lineage
@@ -34,9 +34,9 @@ def prepare(
     time: str,
     separators: Sequence[str] = (":",),
     stopwords: Sequence[str] = (),
-    clip: int | None = 10_000,
+    clip: int | None = None,
 ) -> DataFrame:
-    """Drop nulls, clean, keep the last of equal texts, sample when asked. ``clip=None`` keeps all rows."""
+    """Drop nulls, clean, keep the last of equal texts. All rows stay unless a sample of ``clip`` is asked for."""
     known = drop_nulls(df, text, time).withColumn("silo", clean_silo(F.col(text), separators, stopwords))
     unique = appeals.dedup_keep_last(known, "silo", id_col)
     if clip is None:
@@ -52,7 +52,7 @@ def appeals_analysis(
     time: str,
     stopwords: Sequence[str] = (),
     clusters: int | None = None,
-    clip: int | None = 10_000,
+    clip: int | None = None,
     seed: int = 42,
 ) -> Analysis:
     """The whole flow. Clustering reads its input many times, so the prepared rows are written first."""
@@ -95,7 +95,3 @@ def topic_keyword_lines(
     ranked = keyword_rank(word_features(df.where(F.col(topic_col) == topic), text, stopwords))
     postings = keyword_postings(df, text, time, [word for word, _ in ranked], start, end)
     return daily_volume_share(keyword_spikes(postings), df, time)
-
-
-def in_range(df: DataFrame, time: str, topic_col: str, topic: int, start: Any = None, end: Any = None) -> DataFrame:
-    return within_dates(df, time, start, end, topic_col, topic)

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from corpusmill.functions.text import strip
 from corpusmill.operators.topics import cluster_count
+from corpusmill.session import cut_lineage
 
 # What may be uploaded, and the separators that go with a suffix.
 SUFFIXES = {".csv": ",", ".tsv": "\t", ".gz": ","}
@@ -25,25 +26,32 @@ def read_delimited(
     encoding: str = "UTF-8",
     schema: T.StructType | str | None = None,
     multi_line: bool = False,
+    bad: str | None = None,
 ) -> DataFrame:
     """CSV or TSV, plain or gzipped: the named columns only, under their new names.
 
-    Without a schema every column is text; nothing is inferred, so the data is read once.
+    Without a schema every column is text; nothing is inferred, so the data is read once. A line that does
+    not fit is an error; with ``bad``, it is a row whose column of that name has the whole line.
     """
     reader = (
         spark.read.option("header", True)
         .option("sep", sep)
         .option("encoding", encoding)
         .option("ignoreLeadingWhiteSpace", True)
-        .option("mode", "DROPMALFORMED")
+        .option("mode", "FAILFAST" if bad is None else "PERMISSIVE")
         .option("escape", '"')
         .option("multiLine", multi_line)
     )
+    if bad is not None:
+        given = reader.csv(path).schema if schema is None else T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+        schema = T.StructType([*given.fields, T.StructField(bad, T.StringType())])
+        reader = reader.option("columnNameOfCorruptRecord", bad)
     df = (reader.schema(schema) if schema is not None else reader).csv(path)
     # A byte order mark sticks to the first column name.
     df = df.withColumnsRenamed({c: c.lstrip(BOM) for c in df.columns if c.startswith(BOM)})
     if columns:
-        df = df.select([F.col(f"`{c}`") for c in columns]).withColumnsRenamed(dict(columns))
+        kept = [*columns, *([bad] if bad else [])]
+        df = df.select([F.col(f"`{c}`") for c in kept]).withColumnsRenamed(dict(columns))
     return df
 
 
@@ -91,11 +99,13 @@ def ingest_parquet(spark: SparkSession, source: str, target: str, multi_line: bo
         return Ingested(True, True)
     schema = T.StructType([T.StructField(n.lstrip(BOM), T.StringType()) for n in names] + [T.StructField("_bad", T.StringType())])
     rows = reader.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").csv(source)
-    rows.write.mode("error").parquet(target)
-    landed = spark.read.parquet(target)
+    # Checked beside the target, so a corrupt file leaves nothing there.
+    landed = cut_lineage(rows)
     if landed.where(F.col("_bad").isNotNull()).limit(1).count():
         return Ingested(True, True)
-    return Ingested(True, False, tuple(c for c in landed.columns if c != "_bad"), target)
+    landed = landed.drop("_bad")
+    landed.write.mode("error").parquet(target)
+    return Ingested(True, False, tuple(landed.columns), target)
 
 
 @dataclass(frozen=True)
@@ -136,11 +146,6 @@ def keyword_lines(lines: DataFrame, value: str, order: str) -> DataFrame:
     ).where(F.col("keyword") != "")
 
 
-def write_report(df: DataFrame, path: str) -> None:
-    """A report table as CSV with a header."""
-    df.write.mode("error").option("header", True).option("escape", '"').csv(path)
-
-
 def snapshot_report(query: str, documents: DataFrame, text: str, vote: str, time: str) -> DataFrame:
     """Report of a search: query, document, user vote, time."""
     return documents.select(F.lit(query).alias("query"), F.col(text).alias("document"), F.col(vote).alias("score"), F.col(time).alias("timestamp"))

@@ -35,7 +35,7 @@ def evaluate(term, row, combine="$and"):
 
 def run(spark, term):
     df = spark.createDataFrame(ROWS, "id int, kind string, num int")
-    return sorted(r["id"] for r in L.filter_documents(df, term).collect())
+    return sorted(r["id"] for r in L.L.filter_documents(df, term).collect())
 
 
 def model(term):
@@ -114,3 +114,18 @@ def test_same_elements(spark):
     from pyspark.sql import functions as F
 
     assert df.where(L.same_elements(F.col("v"), ["a", "b"])).count() == 1
+
+
+def test_null_operands_keep_two_values(spark):
+    df = spark.createDataFrame([(1,), (2,), (None,)], "x int")
+
+    def kept(term):
+        return sorted((r["x"] for r in L.filter_documents(df, term).collect()), key=str)
+
+    assert kept({"x": {"$nin": [1, None]}}) == [2]
+    assert kept({"x": {"$in": [1, None]}}) == [1]
+    assert kept({"x": [None]}) == []
+    assert kept({"x": None}) == [] and kept({"x": {"$ne": None}}) == [1, 2]
+    assert kept({"$not": {"x": {"$eq": None}}}) == [1, 2, None]
+    assert kept({"$not": {"x": {"$in": [7, None]}}}) == [1, 2, None]
+    assert kept({"$not": {"x": {"$gt": None}}}) == [1, 2, None]

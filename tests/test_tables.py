@@ -246,3 +246,28 @@ def test_entry_and_registry(spark):
 
     assert entry_point.entry(spark).count() > 0
     assert set(entry_point.oracle_sql()) <= set(entry_point.queries())
+
+
+def test_last_change_of_a_document_counts(spark):
+    docs = spark.createDataFrame([("1", "i", {"a": "x"}, "v")], "id string, index string, meta map<string,string>, vector_id string")
+    changes = spark.createDataFrame([("1", "i", {"b": "old"}, 1), ("1", "i", {"b": "new"}, 2)], "id string, index string, meta map<string,string>, n int")
+    merged = D.update_meta_merge(docs, changes, ("id", "index"), order="n").collect()
+    assert [r["meta"] for r in merged] == [{"a": "x", "b": "new"}]
+    mapping = spark.createDataFrame([("1", "z", 1), ("1", "y", 2)], "id string, vector_id string, n int")
+    assert [r["vector_id"] for r in D.update_vector_ids(docs, mapping, "i", order="n").collect()] == ["y"]
+
+
+def test_many_topics_and_clusters(spark):
+    scores = spark.createDataFrame([(t, w, 1.0) for t in range(40) for w in (f"w{t}", "all")], "topic int, word string, score double")
+    got = T.topic_similarity(scores, "topic").collect()
+    assert len(got) == 40 * 39 // 2 and all(abs(r["similarity"] - 0.5) < 1e-9 for r in got)
+    points = T.vector_features(spark.createDataFrame([([float(i), float(i * i % 17)],) for i in range(60)], "v array<double>"), "v")
+    assert T.topic_clusters(points, clusters=31).select("topic").distinct().count() > 25
+
+
+def test_lines_that_do_not_fit_are_handed_over(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,name\n1,x\n2,y,z\n3\n")
+    rows = S.read_delimited(spark, str(tmp_path / "a.csv"), bad="_line").collect()
+    assert {r["_line"] for r in rows} == {None, "2,y,z", "3"} and len(rows) == 3
+    with pytest.raises(Exception, match="MALFORMED"):
+        S.read_delimited(spark, str(tmp_path / "a.csv")).collect()

@@ -18,41 +18,40 @@ def values(spark, texts, column):
     return [row["v"] for row in sorted(rows)]
 
 
-def model_tokenize(x, seps=("_", " ")):
-    x = x.lower().strip()
-    for sep in seps:
-        if sep != " ":
-            x = x.replace(sep, " ")
-    return x.split(" ")
-
-
-def model_strip(x, words):
-    kept = []
-    for w in x.split(" "):
-        w = w.strip()
-        bare = "".join(ch for ch in w if ch not in string.punctuation).strip()
-        if bare.lower() not in words and not bare.isdigit():
-            kept.append(w)
-    return " ".join(kept)
-
-
 TEXTS = ["The cat_sat  of 12, (34) on\tThe.", "  Привет и мир\n", "", "a", "12 12a", "the", "x  y", " 　z\xa0"]
+TOKENS = [
+    ["the", "cat", "sat", "", "of", "12,", "(34)", "on\tthe."],
+    ["привет", "и", "мир"],
+    [""],
+    ["a"],
+    ["12", "12a"],
+    ["the"],
+    ["x", "", "y"],
+    ["z"],
+]
+STRIPPED = ["cat_sat  on\tThe.", "  Привет мир", "", "a", "12a", "", "x  y", " z"]
 
 
 def test_tokenize_keeps_empty_tokens(spark):
-    assert values(spark, TEXTS, X.tokenize) == [model_tokenize(t) for t in TEXTS]
+    assert values(spark, TEXTS, X.tokenize) == TOKENS
     assert values(spark, ["a  b"], X.tokenize) == [["a", "", "b"]]
 
 
 def test_strip_stopwords(spark):
-    assert values(spark, TEXTS, lambda c: X.strip_stopwords(c, STOP)) == [model_strip(t, STOP) for t in TEXTS]
+    assert values(spark, TEXTS, lambda c: X.strip_stopwords(c, STOP)) == STRIPPED
 
 
 @settings(max_examples=5, deadline=None)
 @given(st.lists(st.text(alphabet="abC .,1_\néи", max_size=30), min_size=1, max_size=20))
-def test_text_models_agree(spark, texts):
-    assert values(spark, texts, X.tokenize) == [model_tokenize(t) for t in texts]
-    assert values(spark, texts, lambda c: X.strip_stopwords(c, STOP)) == [model_strip(t, STOP) for t in texts]
+def test_properties_of_tokens_and_stripped_texts(spark, texts):
+    for given_, tokens in zip(texts, values(spark, texts, X.tokenize)):
+        assert "_" not in "".join(tokens) and " ".join(tokens) == given_.strip().lower().replace("_", " ")
+    for given_, left in zip(texts, values(spark, texts, lambda c: X.strip_stopwords(c, STOP))):
+        kept, rest = left.split(), iter(given_.split(" "))
+        # Words keep their order, and none of them is a stop word or a number once punctuation is off.
+        assert all(any(w in piece for piece in rest) for w in left.split(" ") if w.strip())
+        plain = [w.translate(str.maketrans("", "", string.punctuation)).lower() for w in kept]
+        assert not any(w.isdigit() or w in STOP for w, whole in zip(plain, kept) if whole in given_.split(" "))
 
 
 def test_clean_silo_replaces_separators(spark):
@@ -115,4 +114,4 @@ def test_word_list_by_join_equals_literal_list(spark):
     df = spark.createDataFrame(list(enumerate(TEXTS)), "id int, t string")
     words = spark.createDataFrame([(w,) for w in STOP], "word string")
     joined = {r["id"]: r["t"] for r in remove_listed_words(df, "id", "t", words).collect()}
-    assert joined == {i: model_strip(t, STOP) for i, t in enumerate(TEXTS)}
+    assert joined == dict(enumerate(STRIPPED))

@@ -14,15 +14,16 @@ DAY = dt.timedelta(days=1)
 START = dt.datetime(2024, 1, 1)
 
 
-def model_windows(times):
-    times, out, lo = sorted(times), [], 0
-    while lo < len(times):
-        hi = lo + 1
-        while hi < len(times) and times[hi] - DAY < times[lo]:
-            hi += 1
-        out.append((times[lo], times[hi - 1], times[lo + ((hi - lo) >> 1)], hi - lo))
-        lo = hi
-    return out
+def assert_spikes(windows, times):
+    """What the windows of a keyword have to be, by definition: nothing lies between them, each begins with the
+    first moment a day or more after the start of the one before, and has its own last and middle moment."""
+    starts = [start for start, *_ in windows]
+    assert starts[0] == min(times) and sum(n for *_, n in windows) == len(times)
+    for before, after in zip(starts, starts[1:]):
+        assert after == min(t for t in times if t >= before + DAY)
+    for (start, end, middle, n), until in zip(windows, [*starts[1:], max(times) + DAY]):
+        own = sorted(t for t in times if start <= t < until)
+        assert (end, middle, n) == (own[-1], own[len(own) // 2], len(own)) and end < start + DAY
 
 
 def postings(seed):
@@ -42,7 +43,9 @@ def test_spikes_against_sequential_model(spark, head):
     got = {}
     for r in L.keyword_spikes(df, head=head).collect():
         got.setdefault(r["keyword"], []).append((r["window_start"], r["window_end"], r["middle"], r["value"]))
-    assert {k: sorted(v) for k, v in got.items()} == {k: model_windows(v) for k, v in data.items()}
+    assert set(got) == set(data)
+    for keyword, times in data.items():
+        assert_spikes(sorted(got[keyword]), times)
 
 
 def test_daily_volume_share(spark):
