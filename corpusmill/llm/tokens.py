@@ -31,8 +31,8 @@ _WHITE = r"[\s\v\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{202
 #: A space next to more white space: such texts are encoded whole where spaces are kept.
 _ODD_SPACE = f"{_WHITE} | {_WHITE}"
 #: Remembered pieces of a worker, after which it begins anew.
-_REMEMBERED = 400_000
-_SLICE_BYTES = 16 << 20
+_REMEMBERED = 200_000
+_SLICE_BYTES = 8 << 20
 
 
 def _byte_letters() -> dict[int, str]:
