@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusmill.llm.common import written
+
 UNKNOWN = "und"
 GRAM = 4
 #: Documents of each language that are learned from, about; n-grams kept of each; positions; lookups per n-gram.
@@ -126,7 +128,8 @@ def learn(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", i
             value, n = np.unique(np.concatenate(own), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(value)), pa.array(value.view(np.int64)), pa.array(n)], ["lang", "gram", "n"])
 
-    counted = chosen.mapInArrow(count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")).filter("n > 1")
+    # Written once; every language reads its own rows.
+    counted = written(chosen.mapInArrow(count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")).filter("n > 1"))
     for i, lang in enumerate(languages):
         # Bounded by ``kept``; n-grams of the bounded sample only.
         best = counted.filter(F.col("lang") == lang).orderBy(F.desc("n"), "gram").limit(kept).select("gram").toPandas()["gram"]
