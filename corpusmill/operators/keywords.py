@@ -4,14 +4,17 @@ A dictionary is a table (keyword, clean_name). A hit is a keyword with no word c
 before or after it; among hits that overlap the leftmost wins, then the longest. Word characters are
 ASCII letters, digits and the underscore unless extended, so letters of other scripts end a word.
 
+Without ``case_sensitive``, characters are folded one by one, so places in a text stay the same.
+
 Small dictionaries become one regular expression, evaluated inside the scan. The size is checked
 first; larger ones are joined on the first word of each keyword, with the same result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,9 +27,34 @@ from corpusmill.session import cut_lineage
 PATTERN_LIMIT = 400
 # Fixed value: the default word characters.
 WORD_CHARACTERS = "A-Za-z0-9_"
-def _class_of(extra: str) -> str:
+# The characters outside ASCII that fold to an ASCII letter: they are word characters as well.
+_FOLDED_TO_ASCII = "\u0130\u212a"
+
+
+def folded(text: Column) -> Column:
+    """Lower case, character by character: the dotted capital I, alone in having a lower case of two characters,
+    becomes i, and both small sigmas are one."""
+    return F.translate(F.lower(F.translate(text, "\u0130", "i")), "\u03c2", "\u03c3")
+
+
+def _fold(text: str) -> str:
+    """As ``folded``, for one string."""
+    return "".join("i" if ch == "\u0130" else ch.lower() for ch in text).replace("\u03c2", "\u03c3")
+
+
+@lru_cache(maxsize=1)
+def _variants() -> dict[str, str]:
+    """For each folded character that others fold to, all of them."""
+    found: dict[str, str] = {}
+    for ch in map(chr, range(0x110000)):
+        if (low := _fold(ch)) != ch:
+            found[low] = found.get(low, low) + ch
+    return found
+
+
+def _class_of(extra: str, case_sensitive: bool = True) -> str:
     escaped = "".join("\\" + ch if not ch.isalnum() and ord(ch) < 128 else ch for ch in extra)
-    return WORD_CHARACTERS + escaped
+    return WORD_CHARACTERS + escaped + ("" if case_sensitive else _FOLDED_TO_ASCII)
 
 
 def _escape(keyword: str) -> str:
@@ -44,16 +72,17 @@ class Dictionary:
 
     def __post_init__(self) -> None:
         ordered = sorted(self.entries, key=lambda k: (-len(k), k))
-        word = _class_of(self.extra_word_characters)
-        flags = "" if self.case_sensitive else "(?iu)"
-        body = "|".join(_escape(k) for k in ordered) or r"(?!)"
-        object.__setattr__(self, "pattern", f"{flags}(?<![{word}])(?:{body})(?![{word}])")
+        word = _class_of(self.extra_word_characters, self.case_sensitive)
+        variants = {} if self.case_sensitive else _variants()
+        written = lambda k: "".join(f"[{variants[ch]}]" if ch in variants else _escape(ch) for ch in k)
+        body = "|".join(written(k) for k in ordered) or r"(?!)"
+        object.__setattr__(self, "pattern", f"(?<![{word}])(?:{body})(?![{word}])")
 
     def clean_name(self, hit: Column) -> Column:
         pairs = [F.lit(part) for item in self.entries.items() for part in item]
         if not pairs:
             return F.lit(None).cast("string")
-        return F.element_at(F.create_map(*pairs), hit if self.case_sensitive else F.lower(hit))
+        return F.coalesce(F.element_at(F.create_map(*pairs), hit if self.case_sensitive else folded(hit)), hit)
 
 
 def dictionary(pairs: Sequence[tuple[str, str | None]], case_sensitive: bool = False, extra_word_characters: str = "") -> Dictionary:
@@ -62,7 +91,7 @@ def dictionary(pairs: Sequence[tuple[str, str | None]], case_sensitive: bool = F
     for keyword, clean in pairs:
         if not keyword:
             continue
-        key = keyword if case_sensitive else keyword.lower()
+        key = keyword if case_sensitive else _fold(keyword)
         entries.pop(key, None)
         entries[key] = clean or keyword
     return Dictionary(entries, case_sensitive, extra_word_characters)
@@ -71,12 +100,17 @@ def dictionary(pairs: Sequence[tuple[str, str | None]], case_sensitive: bool = F
 # --- dictionary tables ----------------------------------------------------------------------------
 
 
+def _matched_entries(entries: DataFrame, case_sensitive: bool, winner: Callable[[Column], Column]) -> DataFrame:
+    """One row for each keyword as it is matched; an empty clean name means the keyword itself."""
+    key = F.col("keyword") if case_sensitive else folded(F.col("keyword"))
+    name = F.when(F.col("clean_name").isNull() | (F.col("clean_name") == ""), F.col("keyword")).otherwise(F.col("clean_name"))
+    usable = entries.where(F.col("keyword").isNotNull() & (F.col("keyword") != ""))
+    return usable.groupBy(key.alias("keyword")).agg(winner(name).alias("clean_name"))
+
+
 def dictionary_table(pairs: DataFrame, order: str, case_sensitive: bool = False) -> DataFrame:
     """(keyword, clean_name) rows: the later entry of a keyword wins."""
-    key = F.col("keyword") if case_sensitive else F.lower("keyword")
-    name = F.when(F.col("clean_name").isNull() | (F.col("clean_name") == ""), F.col("keyword")).otherwise(F.col("clean_name"))
-    usable = pairs.where(F.col("keyword").isNotNull() & (F.col("keyword") != ""))
-    return usable.groupBy(key.alias("keyword")).agg(F.max_by(name, order).alias("clean_name"))
+    return _matched_entries(pairs, case_sensitive, lambda name: F.max_by(name, order))
 
 
 def pairs_from_map(df: DataFrame, name: str, keywords: str) -> DataFrame:
@@ -85,13 +119,13 @@ def pairs_from_map(df: DataFrame, name: str, keywords: str) -> DataFrame:
 
 
 def keyword_remove(entries: DataFrame, removed: DataFrame, case_sensitive: bool = False) -> DataFrame:
-    key = F.col("keyword") if case_sensitive else F.lower("keyword")
+    key = F.col("keyword") if case_sensitive else folded(F.col("keyword"))
     return entries.join(removed.select(key.alias("keyword")), "keyword", "left_anti")
 
 
 def keyword_lookup(entries: DataFrame, wanted: DataFrame, case_sensitive: bool = False) -> DataFrame:
     """Is each wanted keyword present, and its clean name."""
-    key = F.col("keyword") if case_sensitive else F.lower("keyword")
+    key = F.col("keyword") if case_sensitive else folded(F.col("keyword"))
     asked = wanted.select(F.col("keyword").alias("asked"), key.alias("keyword"))
     found = asked.join(entries, "keyword", "left")
     return found.select("asked", F.col("clean_name").isNotNull().alias("present"), "clean_name")
@@ -166,20 +200,20 @@ def highlight(df: DataFrame, raw: str, query: Sequence[str], prefixes: Sequence[
 # --- matching by join -----------------------------------------------------------------------------
 
 
-def _word_windows(df: DataFrame, id_col: str, text: str, width: Column, extra: str) -> DataFrame:
-    """Every word start of every text with the ``width`` characters from there: (id, lo, window)."""
-    word = f"[{_class_of(extra)}]"
+def _word_windows(df: DataFrame, id_col: str, text: str, width: Column, word: str, others: bool) -> DataFrame:
+    """Every word start of every text with the ``width`` characters from there: (id, lo, window). With ``others``
+    also every other character that does not follow a word character."""
 
     def windows(chars: Column) -> Column:
         # A word begins at a word character that does not follow another one.
         starts = lambda flags: F.filter(
-            F.sequence(F.lit(0), F.size(flags) - 1), lambda i: F.get(flags, i) & ~((i > 0) & F.coalesce(F.get(flags, i - 1), F.lit(False)))
+            F.sequence(F.lit(0), F.size(flags) - 1), lambda i: (F.lit(others) | F.get(flags, i)) & ~((i > 0) & F.coalesce(F.get(flags, i - 1), F.lit(False)))
         )
         cut = lambda i: F.struct(i.alias("lo"), F.array_join(F.slice(chars, i + 1, F.col("_width")), "").alias("window"))
         return F.transform(let(F.transform(chars, lambda c: c.rlike(f"^{word}$")), starts), cut)
 
     exploded = df.where(F.length(text) > 0).withColumn("_width", width).select(
-        id_col, F.explode(let(F.split(F.col(text), ""), windows)).alias("_w")
+        id_col, F.explode(let(F.regexp_extract_all(F.col(text), F.lit("(?s)."), F.lit(0)), windows)).alias("_w")
     )
     return exploded.select(id_col, F.col("_w.lo").alias("lo"), F.col("_w.window").alias("window"))
 
@@ -207,22 +241,25 @@ def spans_by_join(
 ) -> DataFrame:
     """(id, spans) of the texts with hits, for a dictionary of any size.
 
-    Keywords are found by their first word, so each must begin with a word character.
+    Keywords are found by their first word. Those that begin with another character are found by as many
+    characters as the shortest of them has.
     """
-    word = f"[{_class_of(extra)}]"
-    if entries.where(~F.col("keyword").rlike(f"^{word}")).limit(1).count():
-        raise ValueError("keywords of a large dictionary must begin with a word character")
-    key = F.col("keyword") if case_sensitive else F.lower("keyword")
-    keyed = entries.select(key.alias("_kw"), "clean_name").withColumn("_first", F.regexp_extract("_kw", f"^{word}+", 0))
-    width = entries.agg(F.coalesce(F.max(F.length("keyword")), F.lit(0))).scalar() + 1
-    windows = _word_windows(df, id_col, text, width, extra)
-    seen = windows if case_sensitive else windows.withColumn("window", F.lower("window"))
+    word = f"[{_class_of(extra, case_sensitive)}]"
+    in_word = lambda name: F.col(name).rlike(f"^{word}")
+    keyed = _matched_entries(entries, case_sensitive, F.max).withColumnRenamed("keyword", "_kw")
+    lengths = keyed.agg(F.coalesce(F.max(F.length("_kw")), F.lit(0)), F.min(F.when(~in_word("_kw"), F.length("_kw")))).first()
+    longest, shortest_other = lengths
+
+    def first(name: str) -> Column:
+        return F.when(in_word(name), F.regexp_extract(name, f"^{word}+", 0)).otherwise(F.substring(name, 1, shortest_other or 1))
+
+    windows = _word_windows(df, id_col, text, F.lit(longest + 1), word, shortest_other is not None)
+    seen = windows if case_sensitive else windows.withColumn("window", folded(F.col("window")))
     # The whole first word, or its cut at the window's end, which is longer than any keyword.
-    seen = seen.withColumn("_first", F.regexp_extract("window", f"^{word}+", 0))
     size = F.length("_kw")
     after = F.substr(F.col("window"), size + 1, F.lit(1))
     fits = F.startswith(F.col("window"), F.col("_kw")) & ~after.rlike(f"^{word}$")
-    hits = seen.join(keyed, "_first").where(fits)
+    hits = seen.withColumn("_first", first("window")).join(keyed.withColumn("_first", first("_kw")), "_first").where(fits)
     candidates = hits.select(id_col, "lo", (F.col("lo") + size).alias("hi"), "clean_name")
     return _leftmost_longest(candidates, id_col)
 
@@ -236,8 +273,11 @@ def keyword_spans(
     extra: str = "",
     pattern_limit: int = PATTERN_LIMIT,
 ) -> DataFrame:
-    """(id, hit_no, clean_name, lo, hi) for every hit; ``hit_no`` counts from 0 in text order."""
-    head = entries.select("keyword", "clean_name").limit(pattern_limit + 1).collect()
+    """(id, hit_no, clean_name, lo, hi) for every hit; ``hit_no`` counts from 0 in text order.
+
+    Of entries for one keyword the greatest clean name counts; ``dictionary_table`` keeps the later one.
+    """
+    head = _matched_entries(entries, case_sensitive, F.max).limit(pattern_limit + 1).collect()
     if len(head) <= pattern_limit:
         words = dictionary([(r[0], r[1]) for r in head], case_sensitive, extra)
         # Exploded as an expression: for a column the optimizer adds a filter that repeats its work.
@@ -258,7 +298,7 @@ def keyword_extract(df: DataFrame, id_col: str, text: str, words: Dictionary) ->
 def keyword_replace(df: DataFrame, id_col: str, text: str, entries: DataFrame | Dictionary, case_sensitive: bool = False) -> DataFrame:
     """The table with every hit in ``text`` replaced by its clean name."""
     if isinstance(entries, DataFrame):
-        head = entries.select("keyword", "clean_name").limit(PATTERN_LIMIT + 1).collect()
+        head = _matched_entries(entries, case_sensitive, F.max).limit(PATTERN_LIMIT + 1).collect()
         if len(head) > PATTERN_LIMIT:
             return replace_by_join(df, id_col, text, entries, case_sensitive)
         entries = dictionary([(r[0], r[1]) for r in head], case_sensitive)
@@ -337,9 +377,9 @@ def similar_grams(grams: DataFrame, entries: DataFrame, max_cost: int) -> DataFr
 def _word_grams(text: Column, max_words: int) -> Column:
     """Runs of up to ``max_words`` words with one space between them, lowered."""
     word = f"[{WORD_CHARACTERS}]+"
-    stretches = F.regexp_extract_all(F.lower(text), F.lit(f"{word}(?: {word})*"), F.lit(0))
+    stretches = F.regexp_extract_all(folded(text), F.lit(f"{word}(?: {word})*"), F.lit(0))
     if max_words == 1:
-        return F.regexp_extract_all(F.lower(text), F.lit(word), F.lit(0))
+        return F.regexp_extract_all(folded(text), F.lit(word), F.lit(0))
 
     def cut(words: Column) -> Column:
         return F.concat(*[ngrams(words, n) for n in range(1, max_words + 1)])
@@ -363,7 +403,7 @@ def keyword_fuzzy(
     occur. Those that match become a dictionary, which is then matched exactly. Of several keywords
     near one run the nearest counts, then the first by name.
     """
-    keyed = entries.select(F.lower("keyword").alias("keyword"), "clean_name")
+    keyed = _matched_entries(entries, False, F.max)
     longest = keyed.agg(F.max(F.size(F.split("keyword", " ")))).first()[0] or 1
     max_words = max(longest, max_words or 1)
     grams = df.select(F.explode(F.array_distinct(_word_grams(F.col(text), max_words))).alias("gram")).distinct()

@@ -118,11 +118,28 @@ def test_join_path_equals_pattern_path(spark):
     assert a == b
 
 
-def test_join_path_refuses_what_it_cannot_find(spark):
-    entries = spark.createDataFrame([("ab", "X"), (":)", "smile")], "keyword string, clean_name string")
-    with pytest.raises(ValueError, match="word character"):
-        K.keyword_spans(frame(spark, ["ab :)"]), "id", "t", entries, pattern_limit=0)
-    assert K.keyword_spans(frame(spark, ["ab :)"]), "id", "t", entries).count() == 2
+TRICKY = ["a \u017fo b", "SO so", "\u212aelvin kelvin K\u212a", "x Ab aB", ":) ab :)) é:)", "\u0130z iz", "\U0001f600 ab", "ПРИВЕТ привет приветы", "ΟΔΟΣ οδος", "ok\u212a", "c++ C++x", "ab\nab", "", None]
+TRICKY_PAIRS = [("so", None), ("kelvin", "K"), ("Ab", "one"), ("aB", "two"), (":)", "smile"), ("iz", ""), ("привет", "hi"), ("οδος", "road"), ("ok", None), ("c++", "cpp"), ("", "none"), (None, "none")]
+
+
+@pytest.mark.parametrize("case_sensitive", [False, True])
+def test_both_paths_on_odd_keywords_and_letters(spark, case_sensitive):
+    entries = spark.createDataFrame(TRICKY_PAIRS, "keyword string, clean_name string")
+    df = frame(spark, TRICKY)
+    rows = lambda limit: sorted(tuple(r) for r in K.keyword_spans(df, "id", "t", entries, case_sensitive, pattern_limit=limit).collect())
+    found = rows(400)
+    assert rows(0) == found
+    assert all(name for _, _, name, _, _ in found)
+    by_text = {i: [(name, TRICKY[i][lo:hi]) for j, _, name, lo, hi in found if j == i] for i in range(len(TRICKY))}
+    assert by_text[0] == [] and by_text[4][0] == ("smile", ":)") and by_text[12] == by_text[13] == []
+    if not case_sensitive:
+        assert by_text[1] == [("so", "SO"), ("so", "so")]
+        assert by_text[3] == [("two", "Ab"), ("two", "aB")]
+        # Letters of other scripts end a word.
+        assert by_text[7] == [("hi", "ПРИВЕТ"), ("hi", "привет"), ("hi", "привет")] and by_text[8] == [("road", "ΟΔΟΣ"), ("road", "οδος")]
+    pattern = {r["id"]: r["t"] for r in K.keyword_replace(df, "id", "t", entries, case_sensitive).collect()}
+    joined = {r["id"]: r["t"] for r in K.replace_by_join(df, "id", "t", entries, case_sensitive).collect()}
+    assert pattern == joined and pattern[0] == TRICKY[0] and pattern[13] is None
 
 
 def test_replace_by_keyword_itself_is_identity(spark, folder):
