@@ -15,8 +15,9 @@ from __future__ import annotations
 import math
 import os
 from collections import Counter
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 from typing import Any
 
 import numpy as np
@@ -24,6 +25,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusmill.functions.text import index_tokens, let
 from corpusmill.operators.filters import FilterTerm, Resolver, filter_documents
@@ -73,8 +75,9 @@ Model = Okapi | Plus | Probabilistic
 # --- index ----------------------------------------------------------------------------------------
 
 
-def with_tokens(df: DataFrame, text: str, tokens: str = "tokens") -> DataFrame:
-    return df.withColumn(tokens, index_tokens(F.col(text)))
+def _tokens(text: str) -> Column:
+    """The tokens of a text; a null text is the empty text."""
+    return index_tokens(F.coalesce(F.col(text), F.lit("")))
 
 
 def inverted_index(df: DataFrame, id_col: str, text: str) -> DataFrame:
@@ -99,14 +102,14 @@ def inverted_index(df: DataFrame, id_col: str, text: str) -> DataFrame:
 
         return let(starts(tokens), cut)
 
-    counted = let(F.sort_array(index_tokens(F.col(text))), runs)
+    counted = let(F.sort_array(_tokens(text)), runs)
     exploded = df.select(id_col, F.explode(counted).alias("_run"))
     return exploded.select(F.col("_run.token").alias("token"), id_col, F.col("_run.tf").alias("tf"), F.col("_run.doc_len").alias("doc_len"))
 
 
 def corpus_totals(df: DataFrame, text: str) -> DataFrame:
     """One row: number of documents, of tokens, mean length."""
-    return df.select(F.size(index_tokens(F.col(text))).alias("_n")).agg(
+    return df.select(F.size(_tokens(text)).alias("_n")).agg(
         F.count(F.lit(1)).alias("doc_count"),
         F.sum("_n").cast("bigint").alias("token_count"),
         F.avg("_n").alias("mean_len"),
@@ -115,7 +118,7 @@ def corpus_totals(df: DataFrame, text: str) -> DataFrame:
 
 def document_frequency(df: DataFrame, text: str) -> DataFrame:
     """(token, df): documents that hold the token. Partial counts are taken before the shuffle."""
-    distinct = df.select(F.explode(F.array_distinct(index_tokens(F.col(text)))).alias("token"))
+    distinct = df.select(F.explode(F.array_distinct(_tokens(text))).alias("token"))
     return distinct.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
 
 
@@ -154,7 +157,7 @@ def _is_term(term: str) -> Callable[[Column], Column]:
 
 def _counted(df: DataFrame, text: str, terms: Sequence[str]) -> DataFrame:
     """Add the document length and the count of every query term in the document."""
-    tokens = df.withColumn("_all", index_tokens(F.col(text)))
+    tokens = df.withColumn("_all", _tokens(text))
     hits = tokens.withColumn("_hits", F.filter("_all", lambda token: token.isin(list(terms))))
     return hits.select(
         *df.columns,
@@ -274,13 +277,26 @@ def search(
 
 
 def _query_terms(queries: DataFrame, query_id: str, query_text: str) -> DataFrame:
-    terms = queries.select(query_id, F.explode(index_tokens(F.col(query_text))).alias("token"))
+    terms = queries.select(query_id, F.explode(_tokens(query_text)).alias("token"))
     return terms.groupBy(query_id, "token").agg(F.count(F.lit(1)).alias("weight"))
 
 
-def check_filter_count(queries: int, filters: Sequence[Any] | None) -> None:
-    if filters is not None and len(filters) != queries:
-        raise ValueError(f"{queries} queries but {len(filters)} filters")
+def _id_kind(df: DataFrame, name: str) -> str:
+    """The type in which a task holds an id: an integer, or a text, which numpy and Spark order alike."""
+    kind = df.schema[name].dataType
+    if isinstance(kind, T.IntegralType):
+        return "bigint"
+    if isinstance(kind, T.StringType):
+        return "string"
+    raise TypeError(f"{name} has to be an integer or a string, not {kind.simpleString()}")
+
+
+def _filter_of_query(queries: DataFrame, query_id: str, filters: Sequence[FilterTerm | None]) -> dict[Any, FilterTerm]:
+    """The filter of each query id, in the order of the ids; a query without a filter is left out."""
+    ids = [row[0] for row in queries.select(query_id).distinct().orderBy(query_id).limit(len(filters) + 1).collect()]
+    if len(ids) != len(filters):
+        raise ValueError(f"{len(filters)} filters for {'more' if len(ids) > len(filters) else len(ids)} queries")
+    return {name: term for name, term in zip(ids, filters) if term}
 
 
 def _query_hits(batch: pa.RecordBatch, column: int, vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -312,7 +328,7 @@ def _batch_numbers(corpus: DataFrame, text: str, vocabulary: list[str]) -> tuple
         place = np.concatenate([seen, [-1, -2]]).astype(np.int32)
         yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(np.concatenate([held[seen], [documents, tokens]]))], names=["place", "n"])
 
-    tokens = corpus.select(index_tokens(F.col(text)).alias("_all"))
+    tokens = corpus.select(_tokens(text).alias("_all"))
     rows = tokens.mapInArrow(count, "place int, n bigint").groupBy("place").agg(F.sum("n").alias("n")).collect()
     found = {row["place"]: row["n"] for row in rows}
     documents, total = found.pop(-1, 0), found.pop(-2, 0)
@@ -328,14 +344,23 @@ def _batch_inside_scan(
     model: Probabilistic,
     k: int,
     query_id: str,
+    query_type: str,
+    all_terms: bool,
 ) -> DataFrame:
     """Each task scores its documents against all queries and passes on its k best per query."""
+    doc_type = _id_kind(df, id_col)
+    schema = f"`{query_id}` {query_type}, `{id_col}` {doc_type}, score double"
+    if all_terms:  # a query with a term that no document holds finds nothing
+        asked = Counter(row[query_id] for row in terms)
     n, mean_len, frequency = _batch_numbers(corpus, text, sorted({row["token"] for row in terms}))
     # A term that no document holds adds nothing.
     terms = [row for row in terms if row["token"] in frequency]
+    if all_terms:
+        held = Counter(row[query_id] for row in terms)
+        terms = [row for row in terms if held[row[query_id]] == asked[row[query_id]]]
     idf = {token: math.log1p((n - df_ + 0.5) / (df_ + 0.5)) for token, df_ in frequency.items()}
     if not terms:
-        return df.select(F.lit(None).cast("bigint").alias(query_id), F.col(id_col).cast("bigint"), F.lit(0.0).alias("score")).limit(0)
+        return df.sparkSession.createDataFrame([], schema)
     vocabulary = sorted({row["token"] for row in terms})
     columns = {token: i for i, token in enumerate(vocabulary)}
     known_terms = pa.array(vocabulary, pa.string())
@@ -347,6 +372,7 @@ def _batch_inside_scan(
     entry_weight = np.array([e[2] for e in ordered])
     first_entry = np.searchsorted(entry_term, np.arange(len(vocabulary) + 1))
     k1, b, queries = model.k1, model.b, len(query_ids)
+    needed = np.bincount(entry_query, minlength=queries)
     slice_rows = max(1, 2_000_000 // queries)
 
     def score_slice(lengths: np.ndarray, doc_of_hit: np.ndarray, term_of_hit: np.ndarray) -> np.ndarray:
@@ -358,13 +384,17 @@ def _batch_inside_scan(
         entry = np.arange(len(source)) - np.repeat(np.cumsum(fan) - fan, fan) + first_entry[term[source]]
         target = doc[source] * queries + entry_query[entry]
         flat = np.bincount(target, weights=part[source] * entry_weight[entry], minlength=len(lengths) * queries)
-        return flat.reshape(len(lengths), queries)
+        scores = flat.reshape(len(lengths), queries)
+        if all_terms:
+            scores[np.bincount(target, minlength=len(flat)).reshape(scores.shape) < needed] = 0
+        return scores
 
     def best_per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept_q, kept_d, kept_s = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        kept_q, kept_d, kept_s = np.empty(0, np.int64), np.empty(0, np.int64 if doc_type == "bigint" else "U1"), np.empty(0)
         floor = np.zeros(queries)
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
+            ids = ids if doc_type == "bigint" else ids.astype(str)
             lengths, doc_of_hit, term_of_hit = _query_hits(batch, 1, known_terms)
             for low in range(0, len(ids), slice_rows):
                 high = min(low + slice_rows, len(ids))
@@ -386,16 +416,16 @@ def _batch_inside_scan(
                 [pa.array(query_ids[kept_q]), pa.array(kept_d), pa.array(kept_s)], names=[query_id, id_col, "score"]
             )
 
-    tokens = df.select(F.col(id_col).cast("bigint"), index_tokens(F.col(text)).alias("_all"))
-    return tokens.mapInArrow(best_per_task, f"`{query_id}` bigint, `{id_col}` bigint, score double")
+    tokens = df.select(F.col(id_col).cast(doc_type), _tokens(text).alias("_all"))
+    return tokens.mapInArrow(best_per_task, schema)
 
 
 def _batch_by_join(
-    df: DataFrame, corpus: DataFrame, id_col: str, text: str, terms: DataFrame, model: Probabilistic, query_id: str
+    df: DataFrame, corpus: DataFrame, id_col: str, text: str, terms: DataFrame, model: Probabilistic, query_id: str, all_terms: bool
 ) -> DataFrame:
     """Any number of queries: postings joined to query terms, then summed per (query, document)."""
     vocabulary = terms.select("token").distinct()
-    tokens = corpus.select(F.explode(F.array_distinct(index_tokens(F.col(text)))).alias("token"))
+    tokens = corpus.select(F.explode(F.array_distinct(_tokens(text))).alias("token"))
     frequency = tokens.join(vocabulary, "token").groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     totals = corpus_totals(corpus, text).select(F.struct("doc_count", "mean_len")).scalar()
     n, held = F.col("_totals.doc_count"), F.col("df")
@@ -403,7 +433,11 @@ def _batch_by_join(
     weighed = weighed.withColumn("idf", F.log(F.lit(1.0) + (n - held + 0.5) / (held + 0.5)))
     joined = inverted_index(df, id_col, text).join(weighed, "token")
     part = _part(model, F.col("tf").cast("double"), F.col("doc_len"), F.col("_totals.mean_len"))
-    return joined.groupBy(query_id, id_col).agg(F.sum(F.col("idf") * F.col("weight") * part).alias("score"))
+    found = joined.groupBy(query_id, id_col).agg(F.sum(F.col("idf") * F.col("weight") * part).alias("score"), F.count(F.lit(1)).alias("_held"))
+    if all_terms:
+        asked = terms.groupBy(query_id).agg(F.count(F.lit(1)).alias("_asked"))
+        found = found.join(asked, query_id).where(F.col("_held") == F.col("_asked"))
+    return found.select(query_id, id_col, "score")
 
 
 def search_batch(
@@ -414,27 +448,42 @@ def search_batch(
     query_id: str,
     query_text: str,
     k: int = 10,
-    filters: FilterTerm | None = None,
+    filters: FilterTerm | Sequence[FilterTerm | None] | None = None,
     model: Probabilistic = Probabilistic(),
     resolve: Resolver = F.col,
     term_limit: int = BATCH_TERM_LIMIT,
     query_limit: int = BATCH_QUERY_LIMIT,
+    all_terms: bool = False,
 ) -> DataFrame:
-    """The k best documents of every query: (query, rank, document, score). Ids are integers.
+    """The k best documents of every query: (query, rank, document, score). Ids are integers or strings.
 
-    The number of query terms is checked before they are sent to the tasks; a larger set of queries
-    is joined instead, with the same result.
+    ``filters`` is one filter for all queries, or a list with one (or None) for each, in the order of the query
+    ids. With ``all_terms`` a document has to hold every term of the query. The number of query terms is checked
+    before they are sent to the tasks; a larger set of queries is joined instead, with the same result.
     """
-    found = filter_documents(df, filters, resolve)
+    query_type = _id_kind(queries, query_id)
     terms = _query_terms(queries, query_id, query_text)
-    head = terms.limit(term_limit + 1).collect()
-    if len(head) <= term_limit and len({row[query_id] for row in head}) <= query_limit:
-        scored = _batch_inside_scan(found, df, id_col, text, head, model, k, query_id)
+    parts: list[tuple[DataFrame, DataFrame]] = []
+    if filters is None or isinstance(filters, Mapping):
+        parts.append((filter_documents(df, filters, resolve), terms))
     else:
-        scored = _batch_by_join(found, df, id_col, text, terms, model, query_id)
+        own = _filter_of_query(queries, query_id, filters)
+        # Queries with the same filter go together.
+        groups: dict[str, tuple[FilterTerm, list[Any]]] = {}
+        for name, term in own.items():
+            groups.setdefault(repr(term), (term, []))[1].append(name)
+        parts.append((df, terms.where(~F.col(query_id).isin(list(own)))))
+        parts += [(filter_documents(df, term, resolve), terms.where(F.col(query_id).isin(names))) for term, names in groups.values()]
+    scored = []
+    for found, asked in parts:
+        head = asked.limit(term_limit + 1).collect()
+        if len(head) <= term_limit and len({row[query_id] for row in head}) <= query_limit:
+            scored.append(_batch_inside_scan(found, df, id_col, text, head, model, k, query_id, query_type, all_terms))
+        else:
+            scored.append(_batch_by_join(found, df, id_col, text, asked, model, query_id, all_terms))
     best = Window.partitionBy(query_id).orderBy(*_best_first("score", id_col))
-    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(
-        query_id, "rank", id_col, "score"
+    return reduce(DataFrame.unionByName, scored).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(
+        F.col(query_id).cast(queries.schema[query_id].dataType), "rank", F.col(id_col).cast(df.schema[id_col].dataType), "score"
     )
 
 

@@ -23,6 +23,13 @@ def score_documents(df: DataFrame, vector: str, query: Column, similarity: str =
     return df.withColumn("score", V.scale_score(raw, similarity) if scale else raw)
 
 
+def _of_length(vector: str, size: Column) -> Column:
+    """The vector, or an error if it has another length."""
+    own = F.size(vector)
+    told = F.concat(F.lit("a vector has "), own.cast("string"), F.lit(" numbers, the query "), size.cast("string"))
+    return F.when(own == size, F.col(vector)).otherwise(F.raise_error(told).cast("array<double>"))
+
+
 def vector_top_k(
     df: DataFrame,
     id_col: str,
@@ -35,13 +42,16 @@ def vector_top_k(
     scale: bool = True,
     resolve: Resolver = F.col,
 ) -> DataFrame:
-    """Filter, then the k nearest. Each task keeps its own k best, so the shuffle is k rows per task."""
-    found = filter_documents(df, filters, resolve)
+    """Filter, then the k nearest. Each task keeps its own k best, so the shuffle is k rows per task.
+
+    Documents without a vector are not found; a vector of another length than the query's is an error.
+    """
+    found = filter_documents(df, filters, resolve).where(F.col(vector).isNotNull())
     if isinstance(query, Column):
         found, target = found.withColumn("_query", query), F.col("_query")
     else:
         target = V.literal_vector(query)
-    raw = V.similarity(similarity, F.col(vector), target)
+    raw = V.similarity(similarity, _of_length(vector, F.size(target)), target)
     rounded = F.round("_raw", TIE_PLACES)
     nearest = rounded.asc() if similarity == "l2" else rounded.desc()
     best = found.withColumn("_raw", raw).orderBy(nearest, id_col).limit(k)
@@ -86,7 +96,7 @@ def _block_top_k(
                 [pa.array(ids[kept_q]), pa.array(kept_d), pa.array(kept_s)], names=[query_id, id_col, "score"]
             )
 
-    narrow = df.select(F.col(id_col).cast("bigint"), F.col(vector)).where(F.size(vector) == matrix.shape[1])
+    narrow = df.where(F.col(vector).isNotNull()).select(F.col(id_col).cast("bigint"), _of_length(vector, F.lit(matrix.shape[1])).alias(vector))
     return narrow.mapInArrow(best_per_task, f"`{query_id}` bigint, `{id_col}` bigint, score double")
 
 
@@ -103,7 +113,8 @@ def vector_top_k_batch(
     resolve: Resolver = F.col,
     block_cells: int = BATCH_CELLS,
 ) -> DataFrame:
-    """The k nearest documents of every query: (query, rank, document, score). Ids are integers.
+    """The k nearest documents of every query: (query, rank, document, score). Ids are integers. Documents without
+    a vector are not found; a vector of another length than the queries' is an error.
 
     Queries go to the tasks as a matrix of checked size. A larger set is taken block by block; each
     block is one more pass over the documents and every block is exact by itself.

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusmill.operators import bm25 as B
+from corpusmill.operators import vectors as V
 from corpusmill.session import scratch_folder
 
 RNG = random.Random(5)
@@ -124,9 +125,51 @@ def test_batch_paths(spark, docs, limits):
     assert got == expected
 
 
-def test_batch_filter_count():
+@pytest.mark.parametrize("limits", [{}, {"term_limit": 0}])
+def test_batch_filters_all_terms_text_ids_and_null_texts(spark, limits):
+    texts = [*DOCS, None, "tea milk"]
+    names = [f"d{i:02}" for i in range(len(texts))]
+    df = spark.createDataFrame([(n, t, i % 3) for i, (n, t) in enumerate(zip(names, texts))], "id string, t string, topic int").repartition(3)
+    asked = {"a": "tea milk", "b": "the tea", "c": "hot absent", "d": "tea"}
+    queries = spark.createDataFrame(list(asked.items()), "qid string, q string")
+    filters = [{"topic": 1}, None, None, {"topic": [0, 2]}]
+    topics = {"a": {1}, "b": {0, 1, 2}, "c": {0, 1, 2}, "d": {0, 2}}
+    whole = [t or "" for t in texts]
+    for all_terms in (False, True):
+        found = B.search_batch(df, "id", "t", queries, "qid", "q", 4, filters, all_terms=all_terms, **limits).collect()
+        got = {}
+        for r in sorted(found, key=lambda r: (r["qid"], r["rank"])):
+            got.setdefault(r["qid"], []).append((r["id"], round(r["score"], 6)))
+        expected = {}
+        for name, q in asked.items():
+            terms = set(tokens(q))
+            scores = model_scores(tokens(q), "prob", whole)
+            fits = terms.issubset if all_terms else lambda own, terms=terms: terms & set(own)
+            hits = [i for i in range(len(texts)) if i % 3 in topics[name] and fits(tokens(whole[i]))]
+            best = sorted(hits, key=lambda i: (-round(scores[i], 9), i))[:4]
+            if best:
+                expected[name] = [(names[i], round(scores[i], 6)) for i in best]
+        assert got == expected
     with pytest.raises(ValueError):
-        B.check_filter_count(2, [{}])
+        B.search_batch(df, "id", "t", queries, "qid", "q", 4, [{"topic": 1}])
+
+
+def test_null_text_scores_nothing(spark):
+    df = spark.createDataFrame([(1, "tea"), (2, None)], "id int, t string")
+    assert {r["id"]: r["score"] for r in B.score(df, "t", ["tea"], B.Probabilistic()).collect()}[2] == 0
+
+
+def test_vectors_of_another_length_are_an_error(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [0.0, 1.0])], "id bigint, v array<double>")
+    queries = spark.createDataFrame([(7, [1.0, 0.0])], "qid bigint, v array<double>")
+    for similarity in ("cosine", "l2"):
+        assert [r["id"] for r in V.vector_top_k(df, "id", "v", [1.0, 0.0], 5, similarity).collect()] == [1, 3]
+        assert [r["id"] for r in V.vector_top_k_batch(df, "id", "v", queries, "qid", "v", 5, similarity).orderBy("rank").collect()] == [1, 3]
+    longer = df.union(spark.createDataFrame([(4, [1.0, 0.0, 0.0])], df.schema))
+    with pytest.raises(Exception, match="3 numbers"):
+        V.vector_top_k(longer, "id", "v", [1.0, 0.0]).collect()
+    with pytest.raises(Exception, match="3 numbers"):
+        V.vector_top_k_batch(longer, "id", "v", queries, "qid", "v").collect()
 
 
 def test_no_shuffle_of_documents_when_scoring(docs):
