@@ -96,7 +96,14 @@ def keyword_boundaries(t: Tables):
     return t.read("pages").select("page_id", F.size(names).alias("hits"), F.array_join(names, ",").alias("names"))
 
 
-@query("keyword_spans")
+@query(
+    "keyword_spans",
+    # A hit begins after the pieces up to it and the hits before it.
+    f"WITH {_HITS}, s AS (SELECT doc_id, hits, string_split_regex(text, '(?i)\\b(?:{_ALTERNATIVES})\\b') AS pieces FROM documents JOIN h USING (doc_id)), "
+    "u AS (SELECT doc_id, CAST(generate_subscripts(hits, 1) - 1 AS INTEGER) AS hit_no, unnest(hits) AS h, unnest(pieces[1:len(hits)]) AS p FROM s), "
+    "e AS (SELECT *, sum(length(p) + length(h)) OVER (PARTITION BY doc_id ORDER BY hit_no) AS upto FROM u) "
+    f"SELECT doc_id, hit_no, {_CLEAN_SQL} AS clean_name, CAST(upto - length(h) AS INTEGER) AS lo, CAST(upto AS INTEGER) AS hi FROM e",
+)
 def keyword_spans(t: Tables):
     found = K.keyword_spans(t.texts, "doc_id", "text", _entries(t))
     return found.select("doc_id", "hit_no", "clean_name", "lo", "hi")
@@ -114,6 +121,20 @@ def keyword_spans_cut(t: Tables):
     return found.join(t.texts, "doc_id").select("doc_id", "hit_no", cut.alias("cut"))
 
 
+@query(
+    "keyword_spans_large",
+    "WITH k AS (SELECT DISTINCT lower(x) AS keyword FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z0-9_]+')) AS x FROM benchmark) WHERE length(x) >= 3), "
+    "w AS (SELECT doc_id, lower(unnest(regexp_extract_all(text, '[A-Za-z0-9_]+'))) AS keyword FROM documents) "
+    "SELECT doc_id, keyword AS clean_name, count(*) AS hits FROM w JOIN k USING (keyword) GROUP BY 1, 2",
+)
+def keyword_spans_large(t: Tables):
+    """All words of the benchmark as keywords: more than one pattern takes."""
+    words = t.read("benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z0-9_]+"), F.lit(0))).alias("keyword")).where(F.length("keyword") >= 3)
+    entries = words.select(F.lower("keyword").alias("keyword")).distinct().withColumn("clean_name", F.col("keyword"))
+    found = K.keyword_spans(t.texts, "doc_id", "text", entries)
+    return found.groupBy("doc_id", "clean_name").agg(F.count(F.lit(1)).alias("hits"))
+
+
 @query(
     "keyword_replace",
     "SELECT doc_id, md5(regexp_replace(text, '(?i)\\b(?:with the|thin|the|on|la)\\b', 'word', 'g')) AS digest FROM documents",

@@ -89,8 +89,7 @@ def bm25l_score(t: Tables):
 )
 def bm25_top_k(t: Tables):
     low, high = (F.to_timestamp_ntz(F.lit(d)) for d in ("2024-01-01 02:00:00", "2024-01-28 00:00:00"))
-    best = B.top_k(t.appeals, "doc_id", "text", TERMS, "ts", 100, "topic_id", [1, 2, 3, 5, 8, 13])
-    found = best.where(F.col("ts").between(low, high)).orderBy("ts", "doc_id")
+    found = B.top_k(t.appeals, "doc_id", "text", TERMS, "ts", 100, "topic_id", [1, 2, 3, 5, 8, 13], low, high)
     return found.select("doc_id", "topic_id", iso("ts").alias("ts"), r6(F.col("score")).alias("score"))
 
 
@@ -136,23 +135,40 @@ def filter_only_query(t: Tables):
     return B.search(t.texts, "doc_id", "text", None, {"source": ["src2", "src4"]}, 40).select("doc_id", "lang", "source")
 
 
-_BATCH = (
-    f"{_CORPUS}, q AS (SELECT item_id, token, count(*) AS w FROM (SELECT item_id, unnest({index_tokens_sql('text')}) AS token FROM benchmark) GROUP BY 1, 2), "
-    "s AS (SELECT item_id, doc_id, sum(w * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean_len))) AS score "
-    "FROM post JOIN q USING (token) JOIN freq USING (token) JOIN lens USING (doc_id) JOIN documents USING (doc_id), tot WHERE lang IN ('en', 'fr') GROUP BY 1, 2) "
-)
+def _batch_sql(filtered: str, held: str = "") -> str:
+    return (
+        f"WITH {_CORPUS}, q AS (SELECT item_id, token, count(*) AS w FROM (SELECT item_id, unnest({index_tokens_sql('text')}) AS token FROM benchmark) GROUP BY 1, 2), "
+        "asked AS (SELECT item_id, count(*) AS terms FROM q GROUP BY 1), "
+        "s AS (SELECT item_id, doc_id, sum(w * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean_len))) AS score "
+        "FROM post JOIN q USING (token) JOIN asked USING (item_id) JOIN freq USING (token) JOIN lens USING (doc_id) JOIN documents USING (doc_id), tot "
+        f"WHERE {filtered} GROUP BY 1, 2 {held}) "
+        "SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY round(s.score, 9) DESC, doc_id) AS INTEGER) AS rank, doc_id, round(score, 6) AS score "
+        "FROM s QUALIFY rank <= 10"
+    )
 
 
-@query(
-    "query_batch",
-    f"WITH {_BATCH} SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY round(s.score, 9) DESC, doc_id) AS INTEGER) AS rank, doc_id, round(score, 6) AS score "
-    "FROM s QUALIFY rank <= 10",
-)
+@query("query_batch", _batch_sql("lang IN ('en', 'fr')"))
 def query_batch(t: Tables):
     found = B.search_batch(t.texts, "doc_id", "text", t.read("benchmark"), "item_id", "text", 10, {"lang": ["en", "fr"]})
     return found.select("item_id", "rank", "doc_id", r6(F.col("score")).alias("score"))
 
 
+@query("query_batch_filters", _batch_sql("CASE item_id % 3 WHEN 0 THEN lang = 'en' WHEN 1 THEN n_chars > 500 ELSE true END"))
+def query_batch_filters(t: Tables):
+    """Every query has a filter of its own, or none."""
+    benchmark = t.read("benchmark")
+    ids = [row[0] for row in benchmark.select("item_id").orderBy("item_id").collect()]
+    filters = [({"lang": "en"}, {"n_chars": {"$gt": 500}}, None)[i % 3] for i in ids]
+    found = B.search_batch(t.texts, "doc_id", "text", benchmark, "item_id", "text", 10, filters)
+    return found.select("item_id", "rank", "doc_id", r6(F.col("score")).alias("score"))
+
+
+@query("query_batch_all_terms", _batch_sql("true", "HAVING count(*) = max(terms)"))
+def query_batch_all_terms(t: Tables):
+    found = B.search_batch(t.texts, "doc_id", "text", t.read("benchmark"), "item_id", "text", 10, all_terms=True)
+    return found.select("item_id", "rank", "doc_id", r6(F.col("score")).alias("score"))
+
+
 def _dialogues(t: Tables):
     """Each conversation as one text with the role before every turn, with a time and a topic."""
     turns = t.read("conversations").groupBy("conv_id").agg(
