@@ -46,8 +46,9 @@ def _fold(text: str) -> str:
 def _variants() -> dict[str, str]:
     """For each folded character that others fold to, all of them."""
     found: dict[str, str] = {}
-    for ch in map(chr, range(0x110000)):
-        if (low := _fold(ch)) != ch:
+    for ch in [*filter(str.isupper, map(chr, range(0x110000))), *filter(str.istitle, map(chr, range(0x110000))), "\u03c2"]:
+        low = _fold(ch)
+        if low != ch and ch not in found.get(low, ""):
             found[low] = found.get(low, low) + ch
     return found
 
@@ -72,11 +73,13 @@ class Dictionary:
 
     def __post_init__(self) -> None:
         ordered = sorted(self.entries, key=lambda k: (-len(k), k))
-        word = _class_of(self.extra_word_characters, self.case_sensitive)
+        word = _class_of(self.extra_word_characters)
         variants = {} if self.case_sensitive else _variants()
         written = lambda k: "".join(f"[{variants[ch]}]" if ch in variants else _escape(ch) for ch in k)
         body = "|".join(written(k) for k in ordered) or r"(?!)"
-        object.__setattr__(self, "pattern", f"(?<![{word}])(?:{body})(?![{word}])")
+        # Apart, because a class of ASCII characters alone is a faster test.
+        before, after = ("", "") if self.case_sensitive else (f"(?<![{_FOLDED_TO_ASCII}])", f"(?![{_FOLDED_TO_ASCII}])")
+        object.__setattr__(self, "pattern", f"(?<![{word}]){before}(?:{body})(?![{word}]){after}")
 
     def clean_name(self, hit: Column) -> Column:
         pairs = [F.lit(part) for item in self.entries.items() for part in item]
