@@ -6,8 +6,10 @@ Two ways to score:
   its own tokens. The scan needs no shuffle; the corpus numbers come from one-row aggregates.
 * With an index: ``build_index`` gives one row per (token, document); ``save_index`` stores it ranged
   by token, so a query reads only the row groups of its terms, and a frequent token spans many files.
+  ``top_k_with_index`` and ``search_with_index`` rank the ids and read the documents of the winners.
 
-Every collection number (documents, mean length, document frequency) covers the whole table.
+Texts are cut by ``tokens``, a column function from text to an array of tokens; an index and its queries
+have to use the same one. Every collection number (documents, mean length, document frequency) covers the whole table.
 """
 
 from __future__ import annotations
@@ -70,55 +72,57 @@ class Probabilistic:
 
 
 Model = Okapi | Plus | Probabilistic
+Tokenizer = Callable[[Column], Column]
 
 
 # --- index ----------------------------------------------------------------------------------------
 
 
-def _tokens(text: str) -> Column:
+def _tokens(text: str, tokens: Tokenizer) -> Column:
     """The tokens of a text; a null text is the empty text."""
-    return index_tokens(F.coalesce(F.col(text), F.lit("")))
+    return tokens(F.coalesce(F.col(text), F.lit("")))
 
 
-def inverted_index(df: DataFrame, id_col: str, text: str) -> DataFrame:
+def inverted_index(df: DataFrame, id_col: str, text: str, tokens: Tokenizer = index_tokens) -> DataFrame:
     """(token, document, tf, doc_len); counted inside each document, so nothing is shuffled.
 
     A document's tokens are sorted and cut into runs of equal tokens within its own row.
     """
 
-    def starts(tokens: Column) -> Column:
-        changes = lambda i: (i == 0) | (F.get(tokens, i) != F.get(tokens, i - 1))
-        return F.filter(F.sequence(F.lit(0), F.size(tokens) - 1), changes)
+    def starts(words: Column) -> Column:
+        changes = lambda i: (i == 0) | (F.get(words, i) != F.get(words, i - 1))
+        # A custom tokenizer may give no token at all.
+        return F.when(F.size(words) > 0, F.filter(F.sequence(F.lit(0), F.size(words) - 1), changes)).otherwise(F.array().cast("array<int>"))
 
-    def runs(tokens: Column) -> Column:
-        size = F.size(tokens)
+    def runs(words: Column) -> Column:
+        size = F.size(words)
 
         def cut(first: Column) -> Column:
             ends = F.concat(F.slice(first, 2, F.size(first)), F.array(size))
             run = lambda start, end: F.struct(
-                F.get(tokens, start).alias("token"), (end - start).cast("bigint").alias("tf"), size.cast("bigint").alias("doc_len")
+                F.get(words, start).alias("token"), (end - start).cast("bigint").alias("tf"), size.cast("bigint").alias("doc_len")
             )
             return F.zip_with(first, ends, run)
 
-        return let(starts(tokens), cut)
+        return let(starts(words), cut)
 
-    counted = let(F.sort_array(_tokens(text)), runs)
+    counted = let(F.sort_array(_tokens(text, tokens)), runs)
     exploded = df.select(id_col, F.explode(counted).alias("_run"))
     return exploded.select(F.col("_run.token").alias("token"), id_col, F.col("_run.tf").alias("tf"), F.col("_run.doc_len").alias("doc_len"))
 
 
-def corpus_totals(df: DataFrame, text: str) -> DataFrame:
+def corpus_totals(df: DataFrame, text: str, tokens: Tokenizer = index_tokens) -> DataFrame:
     """One row: number of documents, of tokens, mean length."""
-    return df.select(F.size(_tokens(text)).alias("_n")).agg(
+    return df.select(F.size(_tokens(text, tokens)).alias("_n")).agg(
         F.count(F.lit(1)).alias("doc_count"),
         F.sum("_n").cast("bigint").alias("token_count"),
         F.avg("_n").alias("mean_len"),
     )
 
 
-def document_frequency(df: DataFrame, text: str) -> DataFrame:
+def document_frequency(df: DataFrame, text: str, tokens: Tokenizer = index_tokens) -> DataFrame:
     """(token, df): documents that hold the token. Partial counts are taken before the shuffle."""
-    distinct = df.select(F.explode(F.array_distinct(_tokens(text))).alias("token"))
+    distinct = df.select(F.explode(F.array_distinct(_tokens(text, tokens))).alias("token"))
     return distinct.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
 
 
@@ -155,10 +159,10 @@ def _is_term(term: str) -> Callable[[Column], Column]:
     return lambda token: token == term
 
 
-def _counted(df: DataFrame, text: str, terms: Sequence[str]) -> DataFrame:
+def _counted(df: DataFrame, text: str, terms: Sequence[str], tokens: Tokenizer) -> DataFrame:
     """Add the document length and the count of every query term in the document."""
-    tokens = df.withColumn("_all", _tokens(text))
-    hits = tokens.withColumn("_hits", F.filter("_all", lambda token: token.isin(list(terms))))
+    cut = df.withColumn("_all", _tokens(text, tokens))
+    hits = cut.withColumn("_hits", F.filter("_all", lambda token: token.isin(list(terms))))
     return hits.select(
         *df.columns,
         F.size("_all").alias("_len"),
@@ -169,19 +173,19 @@ def _counted(df: DataFrame, text: str, terms: Sequence[str]) -> DataFrame:
     )
 
 
-def score(df: DataFrame, text: str, query: Sequence[str], model: Model = Okapi(), corpus: DataFrame | None = None) -> DataFrame:
+def score(df: DataFrame, text: str, query: Sequence[str], model: Model = Okapi(), corpus: DataFrame | None = None, tokens: Tokenizer = index_tokens) -> DataFrame:
     """Add ``score`` to every document. ``corpus`` gives the collection numbers; by default ``df`` itself."""
-    return _scored(df, text, query, model, corpus).drop("_matched")
+    return _scored(df, text, query, model, corpus, tokens).drop("_matched")
 
 
-def _scored(df: DataFrame, text: str, query: Sequence[str], model: Model, corpus: DataFrame | None) -> DataFrame:
+def _scored(df: DataFrame, text: str, query: Sequence[str], model: Model, corpus: DataFrame | None, tokens: Tokenizer) -> DataFrame:
     """Add ``score`` and ``_matched``, the number of different query terms in the document."""
     wanted = Counter(term.lower().strip() for term in query)
     terms = list(wanted)
     if not terms:
         return df.withColumn("score", F.lit(0.0)).withColumn("_matched", F.lit(0))
     corpus = df if corpus is None else corpus
-    counts = _counted(corpus.select(text), text, terms)
+    counts = _counted(corpus.select(text), text, terms, tokens)
     numbers = counts.agg(
         F.count(F.lit(1)).cast("double").alias("n"),
         F.avg("_len").alias("mean_len"),
@@ -192,7 +196,7 @@ def _scored(df: DataFrame, text: str, query: Sequence[str], model: Model, corpus
         # Only a term in more than half of the documents needs the mean over the vocabulary, but
         # which terms those are is known only at run time.
         size = corpus.agg(F.count(F.lit(1)).cast("double")).scalar()
-        vocabulary = document_frequency(corpus, text).withColumn("_n", size)
+        vocabulary = document_frequency(corpus, text, tokens).withColumn("_n", size)
         mean = vocabulary.agg(F.avg(_okapi_raw(F.col("_n"), F.col("df")))).scalar()
         numbers = numbers.withColumn("floor", mean * model.epsilon)
     weights = []
@@ -208,7 +212,7 @@ def _scored(df: DataFrame, text: str, query: Sequence[str], model: Model, corpus
         # A term that no document holds has no idf and adds nothing.
         weights.append((F.when(df_i == 0, F.lit(0.0)).otherwise(idf) * wanted[term]).alias(f"w{i}"))
     weight_row = numbers.select(F.struct("mean_len", *weights)).scalar()
-    counted = _counted(df, text, terms).withColumn("_q", weight_row)
+    counted = _counted(df, text, terms, tokens).withColumn("_q", weight_row)
     total, matched = F.lit(0.0), F.lit(0)
     for i in range(len(terms)):
         tf = F.col(f"_tf{i}").cast("double")
@@ -229,12 +233,17 @@ def top_k(
     start: Any = None,
     end: Any = None,
     model: Model = Okapi(),
+    tokens: Tokenizer = index_tokens,
 ) -> DataFrame:
     """The k best documents, then those of the topics and dates asked for, oldest first.
 
     The filters come after the ranking, so fewer than k rows may come back.
     """
-    best = score(df, text, query, model).orderBy(*_best_first("score", id_col)).limit(k)
+    best = score(df, text, query, model, tokens=tokens).orderBy(*_best_first("score", id_col)).limit(k)
+    return _of_topics_and_dates(best, id_col, time, topic_col, topics, start, end)
+
+
+def _of_topics_and_dates(best: DataFrame, id_col: str, time: str, topic_col: str | None, topics: Sequence[int] | None, start: Any, end: Any) -> DataFrame:
     if topics:
         best = best.where(F.col(topic_col).isin(list(topics)))
     if start is not None:
@@ -254,6 +263,7 @@ def search(
     all_terms: bool = False,
     model: Model = Probabilistic(),
     resolve: Resolver = F.col,
+    tokens: Tokenizer = index_tokens,
 ) -> DataFrame:
     """Filter first, then the k best. Without a query the filter alone decides.
 
@@ -265,7 +275,7 @@ def search(
     if query is None:
         return found.orderBy(id_col).limit(k)
     terms = {term.lower().strip() for term in query}
-    scored = _scored(found, text, query, model, corpus=df)
+    scored = _scored(found, text, query, model, df, tokens)
     # Hits sort before the rest and the rest is dropped after the limit: a filter below it would work out
     # the counts a second time.
     hit = F.col("_matched") == len(terms) if all_terms else F.col("_matched") > 0
@@ -276,8 +286,8 @@ def search(
 # --- many queries at once -------------------------------------------------------------------------
 
 
-def _query_terms(queries: DataFrame, query_id: str, query_text: str) -> DataFrame:
-    terms = queries.select(query_id, F.explode(_tokens(query_text)).alias("token"))
+def _query_terms(queries: DataFrame, query_id: str, query_text: str, tokens: Tokenizer) -> DataFrame:
+    terms = queries.select(query_id, F.explode(_tokens(query_text, tokens)).alias("token"))
     return terms.groupBy(query_id, "token").agg(F.count(F.lit(1)).alias("weight"))
 
 
@@ -301,16 +311,16 @@ def _filter_of_query(queries: DataFrame, query_id: str, filters: Sequence[Filter
 
 def _query_hits(batch: pa.RecordBatch, column: int, vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Token counts of the documents, and (document, term) of every token that a query holds."""
-    tokens = batch.column(column)
-    bounds = tokens.offsets.to_numpy() - tokens.offsets[0].as_py()
-    places = pc.index_in(tokens.flatten(), value_set=vocabulary)
+    words = batch.column(column)
+    bounds = words.offsets.to_numpy() - words.offsets[0].as_py()
+    places = pc.index_in(words.flatten(), value_set=vocabulary)
     known = np.flatnonzero(places.is_valid().to_numpy(zero_copy_only=False))
     terms = places.fill_null(-1).to_numpy(zero_copy_only=False)[known].astype(np.int64)
     lengths = np.diff(bounds)
     return lengths, np.repeat(np.arange(batch.num_rows), lengths)[known], terms
 
 
-def _batch_numbers(corpus: DataFrame, text: str, vocabulary: list[str]) -> tuple[int, float, dict[str, int]]:
+def _batch_numbers(corpus: DataFrame, text: str, vocabulary: list[str], tokens: Tokenizer) -> tuple[int, float, dict[str, int]]:
     """Documents, mean length, and the document frequency of the given tokens, in one pass.
 
     Each task passes on one row per token of the vocabulary, whose size the caller has checked.
@@ -318,18 +328,18 @@ def _batch_numbers(corpus: DataFrame, text: str, vocabulary: list[str]) -> tuple
     terms = pa.array(vocabulary, pa.string())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, documents, tokens = np.zeros(len(vocabulary), np.int64), 0, 0
+        held, documents, words = np.zeros(len(vocabulary), np.int64), 0, 0
         for batch in batches:
             lengths, doc, term = _query_hits(batch, 0, terms)
             held += np.bincount(np.unique(doc * len(vocabulary) + term) % len(vocabulary), minlength=len(vocabulary))
-            documents, tokens = documents + batch.num_rows, tokens + int(lengths.sum())
+            documents, words = documents + batch.num_rows, words + int(lengths.sum())
         seen = np.flatnonzero(held)
         # The last two rows hold the number of documents and of tokens.
         place = np.concatenate([seen, [-1, -2]]).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(np.concatenate([held[seen], [documents, tokens]]))], names=["place", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(np.concatenate([held[seen], [documents, words]]))], names=["place", "n"])
 
-    tokens = corpus.select(_tokens(text).alias("_all"))
-    rows = tokens.mapInArrow(count, "place int, n bigint").groupBy("place").agg(F.sum("n").alias("n")).collect()
+    cut = corpus.select(_tokens(text, tokens).alias("_all"))
+    rows = cut.mapInArrow(count, "place int, n bigint").groupBy("place").agg(F.sum("n").alias("n")).collect()
     found = {row["place"]: row["n"] for row in rows}
     documents, total = found.pop(-1, 0), found.pop(-2, 0)
     return documents, total / documents if documents else 0.0, {vocabulary[place]: n for place, n in found.items()}
@@ -346,13 +356,14 @@ def _batch_inside_scan(
     query_id: str,
     query_type: str,
     all_terms: bool,
+    tokens: Tokenizer,
 ) -> DataFrame:
     """Each task scores its documents against all queries and passes on its k best per query."""
     doc_type = _id_kind(df, id_col)
     schema = f"`{query_id}` {query_type}, `{id_col}` {doc_type}, score double"
     if all_terms:  # a query with a term that no document holds finds nothing
         asked = Counter(row[query_id] for row in terms)
-    n, mean_len, frequency = _batch_numbers(corpus, text, sorted({row["token"] for row in terms}))
+    n, mean_len, frequency = _batch_numbers(corpus, text, sorted({row["token"] for row in terms}), tokens)
     # A term that no document holds adds nothing.
     terms = [row for row in terms if row["token"] in frequency]
     if all_terms:
@@ -416,22 +427,22 @@ def _batch_inside_scan(
                 [pa.array(query_ids[kept_q]), pa.array(kept_d), pa.array(kept_s)], names=[query_id, id_col, "score"]
             )
 
-    tokens = df.select(F.col(id_col).cast(doc_type), _tokens(text).alias("_all"))
-    return tokens.mapInArrow(best_per_task, schema)
+    cut = df.select(F.col(id_col).cast(doc_type), _tokens(text, tokens).alias("_all"))
+    return cut.mapInArrow(best_per_task, schema)
 
 
 def _batch_by_join(
-    df: DataFrame, corpus: DataFrame, id_col: str, text: str, terms: DataFrame, model: Probabilistic, query_id: str, all_terms: bool
+    df: DataFrame, corpus: DataFrame, id_col: str, text: str, terms: DataFrame, model: Probabilistic, query_id: str, all_terms: bool, tokens: Tokenizer
 ) -> DataFrame:
     """Any number of queries: postings joined to query terms, then summed per (query, document)."""
     vocabulary = terms.select("token").distinct()
-    tokens = corpus.select(F.explode(F.array_distinct(_tokens(text))).alias("token"))
-    frequency = tokens.join(vocabulary, "token").groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    totals = corpus_totals(corpus, text).select(F.struct("doc_count", "mean_len")).scalar()
+    cut = corpus.select(F.explode(F.array_distinct(_tokens(text, tokens))).alias("token"))
+    frequency = cut.join(vocabulary, "token").groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    totals = corpus_totals(corpus, text, tokens).select(F.struct("doc_count", "mean_len")).scalar()
     n, held = F.col("_totals.doc_count"), F.col("df")
     weighed = terms.join(frequency, "token").withColumn("_totals", totals)
     weighed = weighed.withColumn("idf", F.log(F.lit(1.0) + (n - held + 0.5) / (held + 0.5)))
-    joined = inverted_index(df, id_col, text).join(weighed, "token")
+    joined = inverted_index(df, id_col, text, tokens).join(weighed, "token")
     part = _part(model, F.col("tf").cast("double"), F.col("doc_len"), F.col("_totals.mean_len"))
     found = joined.groupBy(query_id, id_col).agg(F.sum(F.col("idf") * F.col("weight") * part).alias("score"), F.count(F.lit(1)).alias("_held"))
     if all_terms:
@@ -454,6 +465,7 @@ def search_batch(
     term_limit: int = BATCH_TERM_LIMIT,
     query_limit: int = BATCH_QUERY_LIMIT,
     all_terms: bool = False,
+    tokens: Tokenizer = index_tokens,
 ) -> DataFrame:
     """The k best documents of every query: (query, rank, document, score). Ids are integers or strings.
 
@@ -462,7 +474,7 @@ def search_batch(
     before they are sent to the tasks; a larger set of queries is joined instead, with the same result.
     """
     query_type = _id_kind(queries, query_id)
-    terms = _query_terms(queries, query_id, query_text)
+    terms = _query_terms(queries, query_id, query_text, tokens)
     parts: list[tuple[DataFrame, DataFrame]] = []
     if filters is None or isinstance(filters, Mapping):
         parts.append((filter_documents(df, filters, resolve), terms))
@@ -478,9 +490,9 @@ def search_batch(
     for found, asked in parts:
         head = asked.limit(term_limit + 1).collect()
         if len(head) <= term_limit and len({row[query_id] for row in head}) <= query_limit:
-            scored.append(_batch_inside_scan(found, df, id_col, text, head, model, k, query_id, query_type, all_terms))
+            scored.append(_batch_inside_scan(found, df, id_col, text, head, model, k, query_id, query_type, all_terms, tokens))
         else:
-            scored.append(_batch_by_join(found, df, id_col, text, asked, model, query_id, all_terms))
+            scored.append(_batch_by_join(found, df, id_col, text, asked, model, query_id, all_terms, tokens))
     best = Window.partitionBy(query_id).orderBy(*_best_first("score", id_col))
     return reduce(DataFrame.unionByName, scored).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(
         F.col(query_id).cast(queries.schema[query_id].dataType), "rank", F.col(id_col).cast(df.schema[id_col].dataType), "score"
@@ -492,24 +504,35 @@ def search_batch(
 
 @dataclass(frozen=True)
 class SearchIndex:
+    """Document ids are unique. ``totals`` also has the mean idf of the vocabulary, the floor of negative ones."""
+
     postings: DataFrame
     vocabulary: DataFrame
     totals: DataFrame
     id_col: str
 
 
-def build_index(df: DataFrame, id_col: str, text: str) -> SearchIndex:
-    return SearchIndex(inverted_index(df, id_col, text), document_frequency(df, text), corpus_totals(df, text), id_col)
+def _with_mean_idf(totals: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    size = totals.select(F.col("doc_count").cast("double")).scalar()
+    mean = vocabulary.withColumn("_n", size).agg(F.avg(_okapi_raw(F.col("_n"), F.col("df")))).scalar()
+    return totals.withColumn("mean_idf", mean)
+
+
+def build_index(df: DataFrame, id_col: str, text: str, tokens: Tokenizer = index_tokens) -> SearchIndex:
+    vocabulary = document_frequency(df, text, tokens)
+    totals = _with_mean_idf(corpus_totals(df, text, tokens), vocabulary)
+    return SearchIndex(inverted_index(df, id_col, text, tokens), vocabulary, totals, id_col)
 
 
 def save_index(index: SearchIndex, path: str) -> None:
     """Postings ranged by (token, document): a frequent token spreads over several files."""
     ranged = index.postings.repartitionByRange("token", index.id_col).sortWithinPartitions("token", index.id_col)
     ranged.write.mode("overwrite").parquet(os.path.join(path, "postings"))
-    index.vocabulary.repartitionByRange("token").sortWithinPartitions("token").write.mode("overwrite").parquet(
-        os.path.join(path, "vocabulary")
-    )
-    index.totals.write.mode("overwrite").parquet(os.path.join(path, "totals"))
+    place = os.path.join(path, "vocabulary")
+    index.vocabulary.repartitionByRange("token").sortWithinPartitions("token").write.mode("overwrite").parquet(place)
+    # The mean is taken from the stored words, which are counted already.
+    stored = index.totals.sparkSession.read.parquet(place)
+    _with_mean_idf(index.totals.drop("mean_idf"), stored).write.mode("overwrite").parquet(os.path.join(path, "totals"))
 
 
 def load_index(spark: SparkSession, path: str, id_col: str) -> SearchIndex:
@@ -519,28 +542,69 @@ def load_index(spark: SparkSession, path: str, id_col: str) -> SearchIndex:
     )
 
 
-def score_with_index(index: SearchIndex, query: Sequence[str], model: Model = Okapi()) -> DataFrame:
-    """(document, score) of the documents that hold a query term; the others score as for no term."""
+def _scored_by_index(index: SearchIndex, query: Sequence[str], model: Model) -> DataFrame:
+    """(document, score, _matched) of the documents that hold a query term."""
     if isinstance(model, Plus):
         raise ValueError("this variant scores every document; use score()")
     wanted = Counter(term.lower().strip() for term in query)
     weight = F.lit(0.0)
     for term, count in wanted.items():
         weight = F.when(F.col("token") == term, F.lit(float(count))).otherwise(weight)
-    size = index.totals.select(F.col("doc_count").cast("double")).scalar()
-    vocabulary = index.vocabulary.withColumn("_n", size)
+    totals = index.totals.select(F.struct(F.col("doc_count").cast("double").alias("n"), "mean_len", "mean_idf")).scalar()
+    vocabulary = index.vocabulary.where(F.col("token").isin(list(wanted))).withColumn("_t", totals)
     if isinstance(model, Okapi):
-        raw = _okapi_raw(F.col("_n"), F.col("df"))
-        vocabulary = vocabulary.withColumn("_floor", vocabulary.agg(F.avg(raw)).scalar() * model.epsilon)
-        idf = F.when(raw < 0, F.col("_floor")).otherwise(raw)
+        raw = _okapi_raw(F.col("_t.n"), F.col("df"))
+        idf = F.when(raw < 0, F.col("_t.mean_idf") * model.epsilon).otherwise(raw)
     else:
-        idf = F.log(F.lit(1.0) + (F.col("_n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+        idf = F.log(F.lit(1.0) + (F.col("_t.n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     # At most one row per query term.
-    weights = vocabulary.where(F.col("token").isin(list(wanted))).select("token", (idf * weight).alias("_w"))
+    weights = vocabulary.select("token", (idf * weight).alias("_w"), F.col("_t.mean_len").alias("_mean"))
     hits = index.postings.where(F.col("token").isin(list(wanted))).join(F.broadcast(weights), "token")
-    sized = hits.withColumn("_mean", index.totals.select("mean_len").scalar())
     part = _part(model, F.col("tf").cast("double"), F.col("doc_len"), F.col("_mean"))
-    return sized.groupBy(index.id_col).agg(F.sum(F.col("_w") * part).alias("score"))
+    return hits.groupBy(index.id_col).agg(F.sum(F.col("_w") * part).alias("score"), F.count(F.lit(1)).alias("_matched"))
+
+
+def score_with_index(index: SearchIndex, query: Sequence[str], model: Model = Okapi()) -> DataFrame:
+    """(document, score) of the documents that hold a query term; the others score as for no term."""
+    return _scored_by_index(index, query, model).drop("_matched")
+
+
+def top_k_with_index(
+    index: SearchIndex,
+    df: DataFrame,
+    query: Sequence[str],
+    time: str,
+    k: int = 5,
+    topic_col: str | None = None,
+    topics: Sequence[int] | None = None,
+    start: Any = None,
+    end: Any = None,
+    model: Model = Okapi(),
+) -> DataFrame:
+    """As ``top_k`` for the indexed documents ``df``: ids are ranked, then k documents are read."""
+    ranked = df.select(index.id_col).join(score_with_index(index, query, model), index.id_col, "left").fillna(0.0, ["score"])
+    best = ranked.orderBy(*_best_first("score", index.id_col)).limit(k)
+    return _of_topics_and_dates(df.join(F.broadcast(best), index.id_col).select(*df.columns, "score"), index.id_col, time, topic_col, topics, start, end)
+
+
+def search_with_index(
+    index: SearchIndex,
+    df: DataFrame,
+    query: Sequence[str],
+    filters: FilterTerm | None = None,
+    k: int = 10,
+    all_terms: bool = False,
+    model: Okapi | Probabilistic = Probabilistic(),
+    resolve: Resolver = F.col,
+) -> DataFrame:
+    """As ``search`` with a query: the filter is met by ids before the ranking, then k documents are read."""
+    hits = _scored_by_index(index, query, model)
+    if all_terms:
+        hits = hits.where(F.col("_matched") == len({term.lower().strip() for term in query}))
+    if filters is not None:
+        hits = hits.join(filter_documents(df, filters, resolve).select(index.id_col), index.id_col, "left_semi")
+    best = hits.drop("_matched").orderBy(*_best_first("score", index.id_col)).limit(k)
+    return df.join(F.broadcast(best), index.id_col).select(*df.columns, "score").orderBy(*_best_first("score", index.id_col))
 
 
 # --- search with highlights -----------------------------------------------------------------------
@@ -555,8 +619,9 @@ def search_highlight(
     query_text: str,
     prefixes: Sequence[str],
     k: int = 5,
+    index: SearchIndex | None = None,
 ) -> DataFrame:
-    """Search, take the k best and mark prefixes and query words in the raw text."""
+    """Search, in a stored index if there is one, take the k best and mark prefixes and query words in the raw text."""
     query = query_text.lower().strip().replace("_", " ").split(" ")
-    best = top_k(df, id_col, text, query, time, k)
+    best = top_k(df, id_col, text, query, time, k) if index is None else top_k_with_index(index, df, query, time, k)
     return highlight(best, raw, [q for q in query if q], prefixes).withColumn("score", F.lit(0.5)).orderBy(time, id_col)

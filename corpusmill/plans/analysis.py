@@ -25,6 +25,7 @@ class Analysis:
     over_time: DataFrame
     peaks: DataFrame
     report: DataFrame
+    index: bm25.SearchIndex
 
 
 def prepare(
@@ -57,16 +58,19 @@ def appeals_analysis(
 ) -> Analysis:
     """The whole flow. Clustering reads its input many times, so the prepared rows are written first."""
     ready = cut_lineage(prepare(df, id_col, text, time, stopwords=stopwords, clip=clip))
-    featured = topics.text_features(ready, "silo", stopwords)
-    reduced = topics.vector_features(topics.reduce_dimensions(featured), "reduced", "_point")
+    # Fitting reads its input many times: the features are worked out once.
+    featured = cut_lineage(topics.text_features(ready, "silo", stopwords))
+    reduced = cut_lineage(topics.vector_features(topics.reduce_dimensions(featured), "reduced", "_point").drop("features", "reduced"))
     labelled = cut_lineage(
-        topics.topic_clusters(reduced, "_point", clusters, seed).drop("_point", "features", "reduced")
+        topics.topic_clusters(reduced, "_point", clusters, seed).drop("_point")
     )
     scores = topics.c_tf_idf(labelled, ["topic"], "silo", stopwords)
     words = topics.top_words(scores, ["topic"], 5)
     info = topics.topic_info(labelled, "topic", words)
     over_time = topics.topics_over_time(labelled, "topic", "silo", time, stopwords)
-    return Analysis(labelled, info, words, over_time, topics.peak_per_topic(over_time, "topic"), topics.topic_report(info, words, "topic"))
+    report = topics.topic_report(info, words, "topic")
+    by_date = appeals.sort_by_date(labelled, time, id_col)
+    return Analysis(by_date, info, words, over_time, topics.peak_per_topic(over_time, "topic"), report, bm25.build_index(labelled, id_col, "silo"))
 
 
 def topic_examples(
@@ -82,9 +86,13 @@ def topic_examples(
     start: Any = None,
     end: Any = None,
     k: int = 250,
+    index: bm25.SearchIndex | None = None,
 ) -> DataFrame:
-    """Highlighted examples of a topic for its name's words, in the date range."""
-    best = bm25.top_k(df, id_col, text, query, time, k, topic_col, [topic], start, end)
+    """Highlighted examples of a topic for its name's words, in the date range; ranked by a stored index if there is one."""
+    if index is None:
+        best = bm25.top_k(df, id_col, text, query, time, k, topic_col, [topic], start, end)
+    else:
+        best = bm25.top_k_with_index(index, df, query, time, k, topic_col, [topic], start, end)
     return highlight(best, raw, query, prefixes).withColumn("score", F.lit(0.5)).orderBy(time, id_col)
 
 

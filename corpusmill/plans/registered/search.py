@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.operators import bm25 as B
 from corpusmill.plans.analysis import topic_examples as examples_of_topic
-from corpusmill.plans.registered.registry import APPEALS_SQL, Tables, index_tokens_sql, iso, iso_sql, list_sql, query, r6
+from corpusmill.plans.registered.registry import APPEALS_SQL, ORACLE, Tables, index_tokens_sql, iso, iso_sql, list_sql, query, r6
 from corpusmill.session import scratch_folder
 
 TERMS = ["the", "with", "that", "la", "the", "thin"]
@@ -93,15 +94,26 @@ def bm25_top_k(t: Tables):
     return found.select("doc_id", "topic_id", iso("ts").alias("ts"), r6(F.col("score")).alias("score"))
 
 
+def _stored_index(t: Tables, docs: DataFrame) -> B.SearchIndex:
+    folder = scratch_folder(t.spark, "index")
+    B.save_index(B.build_index(docs, "doc_id", "text"), folder)
+    return B.load_index(t.spark, folder, "doc_id")
+
+
 @query(
     "bm25_stored_index",
     f"WITH {_CORPUS}, {_QUERY}, {_OKAPI}, {_SCORED} SELECT doc_id, round(score, 6) AS score FROM scored WHERE doc_id IN (SELECT doc_id FROM hit)",
 )
 def bm25_stored_index(t: Tables):
-    folder = scratch_folder(t.spark, "index")
-    B.save_index(B.build_index(t.texts, "doc_id", "text"), folder)
-    stored = B.load_index(t.spark, folder, "doc_id")
-    return B.score_with_index(stored, TERMS).select("doc_id", r6(F.col("score")).alias("score"))
+    return B.score_with_index(_stored_index(t, t.texts), TERMS).select("doc_id", r6(F.col("score")).alias("score"))
+
+
+@query("bm25_top_k_index", ORACLE["bm25_top_k"])
+def bm25_top_k_index(t: Tables):
+    """The same as bm25_top_k, from a stored index."""
+    low, high = (F.to_timestamp_ntz(F.lit(d)) for d in ("2024-01-01 02:00:00", "2024-01-28 00:00:00"))
+    found = B.top_k_with_index(_stored_index(t, t.appeals), t.appeals, TERMS, "ts", 100, "topic_id", [1, 2, 3, 5, 8, 13], low, high)
+    return found.select("doc_id", "topic_id", iso("ts").alias("ts"), r6(F.col("score")).alias("score"))
 
 
 _PROBABILISTIC = (
@@ -130,6 +142,18 @@ def search_all_terms(t: Tables):
     return found.select("doc_id", r6(F.col("score")).alias("score"))
 
 
+@query("search_prefilter_index", ORACLE["search_prefilter"])
+def search_prefilter_index(t: Tables):
+    found = B.search_with_index(_stored_index(t, t.texts), t.documents, TERMS, {"lang": "en", "n_chars": {"$gt": 300}}, 50)
+    return found.select("doc_id", r6(F.col("score")).alias("score"))
+
+
+@query("search_all_terms_index", ORACLE["search_all_terms"])
+def search_all_terms_index(t: Tables):
+    found = B.search_with_index(_stored_index(t, t.texts), t.documents, ["the", "with", "that"], None, 50, all_terms=True)
+    return found.select("doc_id", r6(F.col("score")).alias("score"))
+
+
 @query("filter_only_query", "SELECT doc_id, lang, source FROM documents WHERE source IN ('src2', 'src4') ORDER BY doc_id LIMIT 40")
 def filter_only_query(t: Tables):
     return B.search(t.texts, "doc_id", "text", None, {"source": ["src2", "src4"]}, 40).select("doc_id", "lang", "source")

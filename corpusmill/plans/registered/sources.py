@@ -83,3 +83,18 @@ def read_keyword_file(t: Tables):
 def snapshot_report(t: Tables):
     report = S.snapshot_report("thin", t.appeals.where("lang = 'en'"), "text", "topic_id", "ts")
     return report.select("query", F.md5("document").alias("document"), "score", iso("timestamp").alias("timestamp"))
+
+
+@query(
+    "document_store",
+    "SELECT CAST(doc_id AS VARCHAR) AS id, lang AS index, CASE WHEN lang = 'en' THEN 'v2' ELSE source END AS version, md5(text) AS digest "
+    "FROM documents WHERE lang <> 'en' OR n_chars > 100",
+)
+def document_store(t: Tables):
+    """Documents stored by index; one index is read, changed and put back."""
+    stored = t.stored.select("id", "index", "version", "content")
+    folder = scratch_folder(t.spark, "store")
+    S.save_documents(stored, folder)
+    own = S.load_documents(t.spark, folder, stored.schema, "en").where(F.length("content") > 100)
+    S.replace_index(own.withColumn("version", F.lit("v2")), folder)
+    return S.load_documents(t.spark, folder, stored.schema).select("id", "index", "version", F.md5("content").alias("digest"))

@@ -149,3 +149,22 @@ def keyword_lines(lines: DataFrame, value: str, order: str) -> DataFrame:
 def snapshot_report(query: str, documents: DataFrame, text: str, vote: str, time: str) -> DataFrame:
     """Report of a search: query, document, user vote, time."""
     return documents.select(F.lit(query).alias("query"), F.col(text).alias("document"), F.col(vote).alias("score"), F.col(time).alias("timestamp"))
+
+
+def save_documents(documents: DataFrame, path: str) -> None:
+    """Store documents as a Parquet table with a folder for each value of their column ``index``."""
+    documents.write.mode("overwrite").partitionBy("index").parquet(path)
+
+
+def load_documents(spark: SparkSession, path: str, schema: T.StructType, index: str | None = None) -> DataFrame:
+    """Stored documents, of one index only the files of its folder."""
+    found = spark.read.schema(schema).parquet(path)
+    return (found if index is None else found.where(F.col("index") == index)).select(*schema.names)
+
+
+def replace_index(documents: DataFrame, path: str) -> None:
+    """Put ``documents`` in the place of the stored ones of the same indexes; other indexes keep their files.
+
+    The new rows may come from the store itself: they are written elsewhere before anything is replaced."""
+    ready = cut_lineage(documents)
+    ready.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("index").parquet(path)

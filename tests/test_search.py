@@ -176,3 +176,33 @@ def test_no_shuffle_of_documents_when_scoring(docs):
     plan = B.score(docs, "t", ["tea"], B.Probabilistic())._jdf.queryExecution().executedPlan().toString()
     main = plan.split("Subquery")[0]
     assert "Exchange" not in main
+
+
+def by_comma(text):
+    return F.filter(F.split(F.lower(text), ","), lambda word: word != "")
+
+
+def test_stored_index_ranks_like_the_scan(spark, docs):
+    folder = scratch_folder(spark, "index")
+    B.save_index(B.build_index(docs, "id", "t"), folder)
+    index = B.load_index(spark, folder, "id")
+    asked = (QUERY, "ts", 8, "topic", [0, 1], 85, 98)
+    rows = [[(r["id"], r["topic"], round(r["score"], 9)) for r in df.collect()] for df in (B.top_k_with_index(index, docs, *asked), B.top_k(docs, "id", "t", *asked))]
+    assert rows[0] == rows[1]
+    # More than there are hits: documents without a query term follow, by id.
+    assert [r["id"] for r in B.top_k_with_index(index, docs, ["sugar"], "id", 1_000).collect()] == list(range(len(DOCS)))
+    for asked in ((["tea", "milk"], {"topic": 1}, 4), (["tea", "milk"], None, 50, True), (["absent"], None, 3)):
+        got = [(r["id"], round(r["score"], 9)) for r in B.search_with_index(index, docs, *asked).collect()]
+        assert got == [(r["id"], round(r["score"], 9)) for r in B.search(docs, "id", "t", *asked).collect()]
+
+
+def test_a_tokenizer_of_ones_own(spark):
+    df = spark.createDataFrame([(1, "Green Tea,milk"), (2, "tea,milk,milk"), (3, ","), (4, None)], "id bigint, t string")
+    index = B.build_index(df, "id", "t", by_comma)
+    assert {(r["token"], r["id"], r["tf"], r["doc_len"]) for r in index.postings.collect()} == {("green tea", 1, 1, 2), ("milk", 1, 1, 2), ("tea", 2, 1, 3), ("milk", 2, 2, 3)}
+    assert [r["id"] for r in B.search(df, "id", "t", ["green tea"], tokens=by_comma).collect()] == [1]
+    assert [r["id"] for r in B.search_with_index(index, df, ["green tea"]).collect()] == [1]
+    queries = spark.createDataFrame([(7, "green tea,tea")], "qid bigint, q string")
+    for limits in ({}, {"term_limit": 0}):
+        found = B.search_batch(df, "id", "t", queries, "qid", "q", tokens=by_comma, **limits).orderBy("rank").collect()
+        assert [r["id"] for r in found] == [1, 2]

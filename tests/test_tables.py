@@ -271,3 +271,21 @@ def test_lines_that_do_not_fit_are_handed_over(spark, tmp_path):
     assert {r["_line"] for r in rows} == {None, "2,y,z", "3"} and len(rows) == 3
     with pytest.raises(Exception, match="MALFORMED"):
         S.read_delimited(spark, str(tmp_path / "a.csv")).collect()
+
+
+def test_document_store_replaces_one_index(spark):
+    rows = [("1", "a", "x"), ("2", "b", "y"), ("3", "a", None), ("4", None, "z")]
+    df = spark.createDataFrame(rows, "id string, index string, content string")
+    path = scratch_folder(spark, "store")
+    S.save_documents(df, path)
+
+    def stored(index=None):
+        return sorted(tuple(r) for r in S.load_documents(spark, path, df.schema, index).collect())
+
+    assert stored() == sorted(rows)
+    assert stored("a") == [rows[0], rows[2]]
+    own = S.load_documents(spark, path, df.schema, "a")
+    S.replace_index(own.where("id = '1'").withColumn("content", F.lit("new")), path)
+    assert stored() == [("1", "a", "new"), rows[1], rows[3]]
+    S.replace_index(df.where("id = '9'"), path)
+    assert len(stored()) == 3
