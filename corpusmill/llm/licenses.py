@@ -2,8 +2,8 @@
 
 All word k-grams of all texts are hashed and joined to the places where the templates have them. A match of
 place p in a text and place t in a template votes for diagonal p - t. An undisturbed notice puts all its votes
-on one diagonal; words put in or left out spread them over neighbouring ones, which are merged. Each merged
-span is then compared with the words of its text.
+on one diagonal; words put in or left out spread them over neighbouring ones, which are merged. Diagonals tell
+where the whole notice would begin and end; of the stretches about there, the one most like it is its span.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ NOTICES = (
     ("apache-2", "licensed under the apache license version 2 0"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
     ("cc-by", "licensed under a creative commons attribution license"),
+    ("cc-by", "licensed under cc by 4 0"),
     ("cc-by-nc", "licensed under cc by nc 4 0"),
     ("cc-by-sa", "licensed under cc by sa 4 0"),
     ("gpl", "licensed under the gnu general public license version 3"),
@@ -30,9 +31,9 @@ NOTICES = (
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
     ("mpl-2", "subject to the terms of the mozilla public license version 2 0"),
 )
-#: Diagonals apart that still belong to one span; part of a notice's k-grams that must vote; likeness of a span.
+#: Diagonals apart that still belong to one span, and words that its ends may be off; likeness of a span. Changes
+#: that LIKENESS allows can leave any notice a single k-gram, so one vote is enough to compare it.
 REACH = 2
-VOTES = 0.5
 LIKENESS = 0.8
 #: Runs of these are words; A-Z are lower-cased afterwards.
 _WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -48,7 +49,7 @@ def _template_grams(spark: SparkSession, templates: list[tuple[str, str, bool]])
 
 
 def _spans(docs: DataFrame, templates: list[tuple[str, str, bool]]) -> DataFrame:
-    """doc_id, code (hash of the text), spans (template, start, stop, exact): where templates may stand."""
+    """doc_id, code (hash of the text), spans (template, start, stop): where whole templates would stand."""
     spark = docs.sparkSession
     words = F.regexp_extract_all(F.lower("text"), F.lit(_WORD), F.lit(0))
     held = docs.select("doc_id", "code", words.alias("w")).filter(F.size("w") >= K)
@@ -68,11 +69,16 @@ def _spans(docs: DataFrame, templates: list[tuple[str, str, bool]]) -> DataFrame
     low = F.expr("bit_count((votes & -votes) - 1)")
     high = F.floor(F.log2(F.col("votes").cast("double")) + 1e-9).cast("int")
     merged = numbered.groupBy("doc_id", "code", "template", "size", "base", "cluster").agg(
-        F.expr("bit_or(votes)").alias("all"), F.min(F.col("diagonal") + low).alias("start"), F.max(F.col("diagonal") + high + K).alias("stop"), F.min(F.col("diagonal")).alias("first")
+        F.expr("bit_or(votes)").alias("all"), F.min_by("diagonal", F.col("diagonal") + low).alias("first"), F.max_by("diagonal", F.col("diagonal") + high).alias("last"), F.collect_set("diagonal").alias("alone")
     )
-    share = F.expr("bit_count(all)") / (F.col("size") - K + 1)
-    enough = merged.filter(F.when(F.col("base"), share == 1).otherwise(share >= VOTES))
-    return enough.groupBy("doc_id", "code").agg(F.collect_list(F.struct("template", "start", "stop")).alias("spans"))
+    enough = merged.filter(~F.col("base") | (F.expr("bit_count(all)") == F.col("size") - K + 1))
+
+    def place(first: Column, last: Column) -> Column:
+        return F.struct("template", first.alias("start"), (last + F.col("size")).alias("stop"))
+
+    # From the first vote's diagonal to the last one's; and each diagonal alone, as votes merged may belong to two notices.
+    places = F.array_distinct(F.concat(F.array(place(F.col("first"), F.col("last"))), F.transform("alone", lambda d: place(d, d))))
+    return enough.groupBy("doc_id", "code").agg(F.flatten(F.collect_list(places)).alias("spans"))
 
 
 def scan_licenses(docs: DataFrame, phrases: tuple[tuple[str, str], ...] = PHRASES, notices: tuple[tuple[str, str], ...] = NOTICES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -99,15 +105,23 @@ def scan_licenses(docs: DataFrame, phrases: tuple[tuple[str, str], ...] = PHRASE
         return F.element_at(F.array(*[F.lit(v) for v in values]), template + 1)
 
     def verified(s: Column) -> Column:
-        phrase = of([p for _, p, _ in templates], s["template"])
-        stretch = F.translate(F.array_join(F.slice(F.col(words), s["start"] + 1, s["stop"] - s["start"]), " "), _UPPER, _LOWER)
-        longer = F.greatest(F.length(stretch), F.length(phrase))
-        return F.struct(
-            of([label for label, _, _ in templates], s["template"]).alias("label"), s["start"].cast("long").alias("start"), s["stop"].cast("long").alias("stop"),
-            (1 - F.levenshtein(stretch, phrase) / longer).alias("likeness"), of([b for _, _, b in templates], s["template"]).alias("base"),
-        )
-
-    fine = F.filter(F.transform(F.coalesce(F.col(spans), F.array().cast("array<struct<template: int, start: int, stop: int>>")), verified), lambda s: F.when(s["base"], s["likeness"] == 1).otherwise(s["likeness"] >= LIKENESS))
+        """The stretch most like the template, with ends up to REACH words from where they would be."""
+        phrase, base = of([p for _, p, _ in templates], s["template"]), of([b for _, _, b in templates], s["template"])
+        off = F.when(base, F.array(F.lit(0))).otherwise(F.array(*[F.lit(i) for i in range(-REACH, REACH + 1)]))
+        starts = F.array_distinct(F.transform(off, lambda i: F.greatest(s["start"] + i, F.lit(0))))
+        stops = F.array_distinct(F.transform(off, lambda i: F.least(s["stop"] + i, F.size(words))))
+        ends = F.filter(F.flatten(F.transform(starts, lambda a: F.transform(stops, lambda b: F.struct(a.alias("start"), b.alias("stop"))))), lambda e: e["start"] < e["stop"])
+
+        def likeness(e: Column) -> Column:
+            stretch = F.translate(F.array_join(F.slice(F.col(words), e["start"] + 1, e["stop"] - e["start"]), " "), _UPPER, _LOWER)
+            return 1 - F.levenshtein(stretch, phrase) / F.greatest(F.length(stretch), F.length(phrase))
+
+        best = F.array_max(F.transform(ends, lambda e: F.struct(likeness(e).alias("likeness"), e["start"].alias("start"), e["stop"].alias("stop"))))
+        label = of([label for label, _, _ in templates], s["template"])
+        return F.struct(label.alias("label"), best["start"].cast("long").alias("start"), best["stop"].cast("long").alias("stop"), best["likeness"].alias("likeness"), base.alias("base"))
+
+    held = F.coalesce(F.col(spans), F.array().cast("array<struct<template: int, start: int, stop: int>>"))
+    fine = F.array_distinct(F.filter(F.transform(held, verified), lambda s: F.when(s["base"], s["likeness"] == 1).otherwise(s["likeness"] >= LIKENESS)))
 
     def best_there(s: Column) -> Column:
         """Of notices that overlap, those that another one fits better go."""

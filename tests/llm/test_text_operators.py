@@ -322,6 +322,20 @@ def test_licenses(spark, mixed):
     assert "PythonUDF" not in found._jdf.queryExecution().toString()
 
 
+def test_licenses_changed_near_an_edge(spark):
+    """Whole notices of likeness 0.8 and more, whichever of their words are changed."""
+    cases = {
+        "Licensed under the CC BY-SA 4.0": "cc-by-sa", "licensed under GNU General Public License version 3": "gpl", "Licensed under CC BY 4.0": "cc-by",
+        "text: Licenced under the Apache Licence, version 2.0 and so on": "apache-2", "nothing of the kind, under the terms of the house": "",
+        "subject to these terms of that Mozilla Public License, v. 2.0": "mpl-2", "Permission is granted, free of charge, to any person obtaining copies of this software": "mit",
+    }
+    docs = spark.createDataFrame(list(enumerate(cases)), "doc_id bigint, text string")
+    assert {r["text"]: r["labels"] for r in licenses.scan_licenses(docs).collect()} == cases
+    twice = spark.createDataFrame([(1, "so: licensed under the CC BY-SA 4.0 and")], "doc_id bigint, text string")
+    (row,) = licenses.scan_licenses(twice).collect()
+    assert [(s["label"], s["start"], s["stop"]) for s in row["spans"]] == [("cc-by-sa", 1, 9)] and row["score"] > 0.8
+
+
 def test_licenses_of_nothing(empty):
     assert licenses.scan_licenses(empty).collect() == []
 
