@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,9 +37,11 @@ def written(df: DataFrame, compression: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
-def broadcast_if_small(df: DataFrame, row_bytes: int) -> DataFrame:
-    """Mark a written table for broadcast if its counted rows, ``row_bytes`` each at most, stay below the bound;
-    beyond it the join shuffles and gives the same rows."""
+def broadcast_if_small(df: DataFrame, row_bytes: int | Column) -> DataFrame:
+    """Mark a written table for broadcast if its rows stay below the bound; beyond it the join shuffles and gives
+    the same rows. A row has ``row_bytes`` at most; where rows differ without bound, a column gives each one's."""
+    if isinstance(row_bytes, Column):
+        return F.broadcast(df) if (df.agg(F.sum(row_bytes)).first()[0] or 0) <= BROADCAST_BYTES else df
     most = BROADCAST_BYTES // row_bytes
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 

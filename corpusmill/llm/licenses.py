@@ -97,7 +97,9 @@ def scan_licenses(docs: DataFrame, phrases: tuple[tuple[str, str], ...] = PHRASE
     own = docs.select(name.alias("doc_id"), F.xxhash64(text).alias("code"), text.alias("text")).filter("text is not null")
     found = written(_spans(own, templates))
     key, code, spans, words, real = (spare(docs, c) for c in ("_id", "_code", "_spans", "_words", "_real"))
-    found = broadcast_if_small(found.select(F.col("doc_id").alias(key), F.col("code").alias(code), F.col("spans").alias(spans)), 400)
+    # Bytes of a span in an array of rows, and of a row besides its spans and id.
+    size = 40 * F.size(spans) + F.coalesce(F.octet_length(F.col(key).cast("string")), F.lit(0)) + 100
+    found = broadcast_if_small(found.select(F.col("doc_id").alias(key), F.col("code").alias(code), F.col("spans").alias(spans)), size)
     rows = docs.join(found, name.eqNullSafe(F.col(key)) & (F.xxhash64(text) == F.col(code)), "left")
     rows = rows.withColumn(words, F.coalesce(F.regexp_extract_all(text, F.lit(_WORD), F.lit(0)), F.array().cast("array<string>")))
 

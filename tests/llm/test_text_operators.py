@@ -13,7 +13,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from corpusmill.llm import decontamination, language, licenses, packing, rollups, sharding, simhash, token_files
+from corpusmill.llm import common, decontamination, language, licenses, packing, rollups, sharding, simhash, token_files
 from corpusmill.llm.components import components
 from corpusmill.llm.tokens import TextEncoder
 from corpusmill.session import scratch_folder
@@ -336,6 +336,15 @@ def test_licenses_changed_near_an_edge(spark):
     assert [(s["label"], s["start"], s["stop"]) for s in row["spans"]] == [("cc-by-sa", 1, 9)] and row["score"] > 0.8
 
 
+def test_licenses_of_a_text_with_very_many_spans_are_not_broadcast(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "under the MIT License " * 400), (2, "under the MIT License")], "doc_id bigint, text string")
+    expected = sorted(map(tuple, licenses.scan_licenses(docs).collect()))
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 4_000)
+    found = licenses.scan_licenses(docs)
+    assert "strategy=broadcast" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, found.collect())) == expected and [r[3] for r in expected] == [400, 1]
+
+
 def test_licenses_of_nothing(empty):
     assert licenses.scan_licenses(empty).collect() == []
 
