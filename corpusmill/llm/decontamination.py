@@ -21,11 +21,12 @@ from corpusmill.llm.language import _letters
 
 Q = 9
 WINDOW = 96
-STRIDE = 48
+#: No more than the edits of a window: a copied part of WINDOW - STRIDE characters is then sure to be found.
+STRIDE = 8
 #: Edits allowed for each character of a window.
 EDITS = 0.085
 #: Characters of benchmark text looked for at a time; a larger benchmark is taken in blocks.
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 4_000_000 * STRIDE // 48
 _SLICE = 1 << 20
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _FILTER_BITS = 22

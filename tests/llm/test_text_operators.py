@@ -293,6 +293,17 @@ def test_decontamination_finds_exactly_the_windows_within_budget(spark):
         assert 0 <= r["start"] < r["end"] <= len(texts[r["doc_id"]])
 
 
+def test_decontamination_finds_a_copied_part_wherever_it_begins():
+    rnd = random.Random(12)
+    letters = "abcdefghijklmnop"
+    item = "".join(rnd.choice(letters) for _ in range(300))
+    noise = "".join(rnd.choice("qrstuvwxyz") for _ in range(200))
+    index = decontamination.index_windows([item])
+    for size in (88, 96, 112):
+        texts = [noise + item[a : a + size] + noise for a in range(len(item) - size + 1)]
+        assert all(decontamination.find_passages(texts, index)), size
+
+
 def test_decontamination_of_nothing(spark, empty, mixed):
     benchmark = spark.createDataFrame([(1, "under the mit license")], "item_id bigint, text string")
     assert decontamination.contaminated(empty, benchmark).collect() == []
