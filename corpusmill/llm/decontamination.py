@@ -14,9 +14,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusmill.llm.common import spare, with_row_key, written
 from corpusmill.llm.language import _letters
 
 Q = 9
@@ -25,7 +27,7 @@ WINDOW = 96
 STRIDE = 8
 #: Edits allowed for each character of a window.
 EDITS = 0.085
-#: Characters of benchmark text looked for at a time; a larger benchmark is taken in blocks.
+#: Characters of benchmark text looked for at a time, by driver and tasks; a larger benchmark is taken in blocks.
 BLOCK_CHARS = 4_000_000 * STRIDE // 48
 _SLICE = 1 << 20
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -216,10 +218,16 @@ def find_passages(texts: list[str | None], index: Windows) -> list[list[tuple[in
     return out
 
 
+def _sent(spark: SparkSession, items: list[int | None], benchmark: list[str], edits: float, q: int) -> Broadcast:
+    return spark.sparkContext.broadcast((items, index_windows(benchmark, edits, q)))
+
+
 def passages_column(spark: SparkSession, items: list[int | None], benchmark: list[str], text: Column, edits: float = EDITS, q: int = Q) -> Column:
     """For each text an array of item_id, start and end in the text, edits, windows."""
-    shared = spark.sparkContext.broadcast((items, index_windows(benchmark, edits, q)))
+    return _looked_for(_sent(spark, items, benchmark, edits, q), text)
+
 
+def _looked_for(shared: Broadcast, text: Column) -> Column:
     @F.arrow_udf(_FOUND)
     def find(texts: pa.Array) -> pa.Array:
         names, index = shared.value
@@ -236,10 +244,9 @@ def passages_column(spark: SparkSession, items: list[int | None], benchmark: lis
     return find(text)
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, most: int) -> Iterator[tuple[list, list[str]]]:
+def _blocks(rows: DataFrame, many: int, most: int) -> Iterator[tuple[list, list[str]]]:
     ids, texts, held = [], [], 0
-    rows = benchmark.select(F.col(f"`{item_col}`").cast("long").alias("item"), F.col(f"`{text_col}`").alias("text")).filter("text is not null")
-    for row in rows.toLocalIterator():
+    for row in (rows.repartition(many) if many > 1 else rows).toLocalIterator():
         ids.append(row["item"])
         texts.append(row["text"])
         held += len(row["text"])
@@ -253,15 +260,31 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, most: int) -> It
 def with_passages(docs: DataFrame, benchmark: DataFrame, name: str, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", edits: float = EDITS, q: int = Q, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """``docs`` with a column ``name``: an array of structs item_id, start, end, edits, windows.
 
-    The benchmark is the query set: it is sent to the tasks in blocks of bounded size, and all blocks look at a
-    text in the same pass. Items that are null, or shorter than q characters after normalizing, are not looked
-    for; a null or empty text holds nothing; repeated items are found each. Whole texts are read, and all other
-    columns and rows of ``docs`` stay as they are.
+    The benchmark is the query set: it is sent to the tasks. If it is larger than a block, each block's passages
+    are written before the next is read, so that driver and tasks hold one block at a time, and joined to the
+    rows at the end. Items that are null, or shorter than q characters after normalizing, are not looked for; a
+    null or empty text holds nothing; repeated items are found each. Whole texts are read, and all other columns
+    and rows of ``docs`` stay as they are.
     """
-    spark, found = docs.sparkSession, []
-    for ids, texts in _blocks(benchmark, item_col, item_text_col, block_chars):
-        found.append(passages_column(spark, ids, texts, F.col(f"`{text_col}`"), edits, q))
-    return docs.withColumn(name, F.concat(*found) if found else F.array().cast(_FOUND))
+    spark, text = docs.sparkSession, F.col(f"`{text_col}`")
+    rows = benchmark.select(F.col(f"`{item_col}`").cast("long").alias("item"), F.col(f"`{item_text_col}`").alias("text")).filter("text is not null")
+    counted = rows.agg(F.count("*").alias("rows"), F.sum(F.length("text")).alias("chars")).first()
+    many = min(counted["rows"], -(-(counted["chars"] or 0) // block_chars))
+    if many <= 1:
+        held = [(r["item"], r["text"]) for r in rows.toLocalIterator()]
+        found = passages_column(spark, [i for i, _ in held], [t for _, t in held], text, edits, q) if held else F.array().cast(_FOUND)
+        return docs.withColumn(name, found)
+    keyed, key = with_row_key(docs)
+    made = None
+    for ids, texts in _blocks(rows, many, block_chars):
+        shared = _sent(spark, ids, texts, edits, q)
+        part = written(keyed.select(*key, _looked_for(shared, text).alias("found")).filter(F.size("found") > 0))
+        shared.destroy()
+        made = part if made is None else made.unionByName(part)
+    other = [spare(keyed, c) for c in ("_k1", "_k2", "_found")]
+    made = made.groupBy(*key).agg(F.flatten(F.collect_list("found")).alias("found")).toDF(*other)
+    joined = keyed.join(made, (F.col(key[0]) == F.col(other[0])) & (F.col(key[1]) == F.col(other[1])), "left")
+    return joined.select(*[F.col(f"`{c}`") for c in docs.columns if c != name], F.coalesce(other[2], F.array().cast(_FOUND)).alias(name)).select(*[F.col(f"`{c}`") for c in [*docs.columns, *[name] * (name not in docs.columns)]])
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -304,6 +304,25 @@ def test_decontamination_finds_a_copied_part_wherever_it_begins():
         assert all(decontamination.find_passages(texts, index)), size
 
 
+def test_decontamination_holds_one_block_of_the_benchmark_at_a_time(spark, monkeypatch):
+    passages = [f"passage {c * 9} {c * 7} of the benchmark {c * 5}" for c in "abcdef"]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate([*passages, passages[0] + " and " + passages[3], None, "none", "none"])], "doc_id bigint, text string, found string")
+    benchmark = spark.createDataFrame(list(enumerate(passages)), "item_id bigint, text string")
+    whole = sorted((r["doc_id"], *sorted(map(tuple, r["found"]))) for r in decontamination.with_passages(docs, benchmark, "found").collect())
+    sent, build = [], decontamination.index_windows
+
+    def noted(texts, *args, **kwargs):
+        sent.append(len(texts))
+        return build(texts, *args, **kwargs)
+
+    monkeypatch.setattr(decontamination, "index_windows", noted)
+    made = decontamination.with_passages(docs, benchmark, "found", block_chars=50)
+    assert made.columns == docs.columns and sum(sent) == len(passages) and max(sent) <= 3
+    # Blocks are read from what was written, none is left in the plan.
+    assert "EvalPython" not in made._jdf.queryExecution().toString()
+    assert sorted((r["doc_id"], *sorted(map(tuple, r["found"]))) for r in made.collect()) == whole
+
+
 def test_decontamination_of_nothing(spark, empty, mixed):
     benchmark = spark.createDataFrame([(1, "under the mit license")], "item_id bigint, text string")
     assert decontamination.contaminated(empty, benchmark).collect() == []
