@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import decontamination, language, licenses, packing, rollups, sharding, simhash, token_files, top_k, warc
+from corpusmill.llm import decontamination, filter_audit, language, licenses, packing, periodic, quality, rollups, sharding, simhash, token_files, top_k, warc
 from corpusmill.llm.common import written
 from corpusmill.session import scratch_folder
 
@@ -126,3 +127,51 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.simhash_components(table(spark, folder, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query("op11_quality")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.score_quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query(
+    "op12_filter_audit",
+    r"""
+    WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS body FROM documents),
+    w AS (SELECT *, regexp_extract_all(body, '[^\x20\x09-\x0D]+') AS words, min(doc_id) OVER (PARTITION BY body) AS least FROM d),
+    l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+    f AS (SELECT part, len(words) < 200 AS a, 100 * len(list_distinct(words)) < 50 * len(words) AS b,
+      100 * (length(body) - length(regexp_replace(body, '[A-Z]', '', 'g'))) > 3 * length(body) AS c, regexp_matches(body, '[#$%&*|]') AS d,
+      coalesce(w.doc_id > least, false) AS e, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic FROM w LEFT JOIN l ON l.doc_id = w.doc_id),
+    m AS (SELECT part, map(['A', 'B', 'C', 'D', 'E'], [a, b, c, d, e]) AS fails, a::INT + b::INT + c::INT + d::INT + e::INT AS fail_count, good, toxic, count(*) AS n FROM f GROUP BY ALL),
+    x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+    o AS (SELECT p.x || q.x || r.x || s.x || t.x AS filter_order FROM x p, x q, x r, x s, x t WHERE len(list_distinct([p.x, q.x, r.x, s.x, t.x])) = 5),
+    st AS (SELECT filter_order, CAST(step AS INT) AS step, filter_order[step] AS letter FROM o, range(1, 6) g(step)),
+    h AS (SELECT m.*, filter_order, step, letter, fails[letter] AS now, len([y FOR y IN string_split(filter_order[1:step - 1], '') IF y <> '' AND fails[y]]) > 0 AS gone FROM m, st),
+    g AS (SELECT part, filter_order, step, letter, sum(n) FILTER (NOT gone AND NOT now) AS kept, sum(n) FILTER (now AND NOT gone) AS removed, sum(n) FILTER (now AND gone) AS redundant,
+      sum(n) FILTER (now AND fail_count = 1) AS unique_fails, sum(n) FILTER (now AND NOT gone AND good = 1) AS good_lost, sum(n) FILTER (now AND NOT gone AND toxic = 1) AS toxic_lost
+      FROM h GROUP BY part, filter_order, step, letter)
+    SELECT part, filter_order, step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed, CAST(coalesce(redundant, 0) AS BIGINT) AS redundant,
+      CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails, CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
+      CAST(sum(coalesce(removed, 0)) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley FROM g
+    """,
+)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    counts = filter_audit.failure_counts(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return filter_audit.audit_filters(counts, filter_audit.FIVE, ["good", "toxic"])
+
+
+def with_planted_period(name: int | None, words: list[bytes]) -> list[bytes]:
+    """A tenth of the documents, by the checksum of the id, repeat a phrase from some word on."""
+    checksum = 1 if name is None else zlib.crc32(str(name).encode())
+    n, g = len(words), checksum // 10
+    if checksum % 10 or not n:
+        return words
+    first = g % n
+    period = 1 + (n - first) // (3 + g % 8)
+    return [words[i if i < first else first + (i - first) % period] for i in range(n)]
+
+
+@query("op13_periodic_runs")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return periodic.run_digests(periodic.periodic_runs(table(spark, folder, "documents"), prepare=with_planted_period))
