@@ -8,7 +8,7 @@ the number of its n-grams with that bit, less those that a filter so full lets p
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
@@ -69,6 +69,8 @@ class LanguageFilter:
     slices: np.ndarray
     lookups: int
     gram: int
+    #: How many labelled documents each language has.
+    documents: list[int] = field(default_factory=list)
 
     @property
     def chance(self) -> np.ndarray:
@@ -107,13 +109,13 @@ class LanguageFilter:
 
 def learn(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", gram: int = GRAM, sample_docs: int = SAMPLE_DOCS, kept: int = GRAMS, positions: int = POSITIONS, lookups: int = LOOKUPS) -> LanguageFilter:
     """Learn a filter from whole texts of about ``sample_docs`` documents of each language, chosen by a hash of
-    the id: of each language the ``kept`` n-grams found in the most documents, in two at least. Rows with a
+    the id: of each language the ``kept`` n-grams found in the most documents. Rows with a
     null text or language teach nothing; without any row the filter knows no language. The languages are in
     order of their number of documents, then of the name, which decides ties."""
     rows = labelled.select(F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{id_col}`").alias("id")).filter("lang is not null and text is not null")
     counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()  # a row per language
     languages = [r["lang"] for r in counts]
-    out = LanguageFilter(languages, np.zeros((positions, max(1, -(-len(languages) // 64))), np.uint64), lookups, gram)
+    out = LanguageFilter(languages, np.zeros((positions, max(1, -(-len(languages) // 64))), np.uint64), lookups, gram, [r["count"] for r in counts])
     if not languages:
         return out
     rate = F.coalesce(*[F.when(F.col("lang") == r["lang"], F.lit(min(1.0, sample_docs / r["count"]))) for r in counts])
@@ -129,7 +131,7 @@ def learn(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", i
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(value)), pa.array(value.view(np.int64)), pa.array(n)], ["lang", "gram", "n"])
 
     # Written once; every language reads its own rows.
-    counted = written(chosen.mapInArrow(count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")).filter("n > 1"))
+    counted = written(chosen.mapInArrow(count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
     for i, lang in enumerate(languages):
         # Bounded by ``kept``; n-grams of the bounded sample only.
         best = counted.filter(F.col("lang") == lang).orderBy(F.desc("n"), "gram").limit(kept).select("gram").toPandas()["gram"]

@@ -32,7 +32,7 @@ def count_tokens(docs: DataFrame, tokenizers: Mapping[str, str], id_col: str = "
         for batch in batches:
             name, text, source, lang = batch.columns
             for version, path in paths.items():
-                counts = encoder(path).encode(text)[1]
+                counts = encoder(path).count(text)
                 yield pa.RecordBatch.from_arrays([name, source, lang, pa.array([version] * len(name), pa.string()), pa.array(counts, pa.int64())], ["doc_id", "source", "lang", "tokenizer", "n_tokens"])
 
     columns = [F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{source_col}`").cast("string").alias("source"), F.col(f"`{lang_col}`").cast("string").alias("lang")]
@@ -73,10 +73,12 @@ class TokenRollup:
     def commit(self, batch: str, events: DataFrame) -> bool:
         """Apply events once; False if the batch is committed already.
 
-        ``events`` has doc_id, tokenizer, op (``insert``, ``revise`` or ``delete``), source, lang, n_tokens and,
-        if a document may come more than once, ``seq``: the highest wins. Inserting a known document revises it;
-        deleting an unknown one does nothing. A null count is 0. Rows with a null id are counted each, and
-        cannot be found again to revise or delete. Other columns play no part; an empty batch is a batch.
+        ``events`` has doc_id, tokenizer, op (``insert``, ``revise`` or ``delete``; any other, or null, is an error),
+        source, lang, n_tokens and, if a document may come more than once in the batch, ``seq``: the highest of the
+        batch wins. Batches take effect in the order of their commits, whatever their ``seq``. Inserting a known
+        document revises it; deleting an unknown one does nothing. A null count is 0, a null tokenizer a version of
+        its own. Rows with a null id are counted each, and cannot be found again to revise or delete. Other columns
+        play no part; an empty batch is a batch.
         """
         if not re.fullmatch(r"[A-Za-z0-9_-]+", batch):
             raise ValueError("a batch is named by letters, digits, _ and -")
@@ -84,10 +86,14 @@ class TokenRollup:
             return False
         seq = F.col("seq").cast("long") if "seq" in events.columns else F.lit(0).cast("long")
         rows = events.select(F.col("doc_id").cast("long").alias("doc_id"), "tokenizer", F.col("op"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.coalesce(F.col("n_tokens").cast("long"), F.lit(0).cast("long")).alias("n_tokens"), seq.alias("seq"))
+        if rows.filter(~F.coalesce(F.col("op").isin("insert", "revise", "delete"), F.lit(False))).limit(1).count():
+            raise ValueError("an event is an insert, a revise or a delete")
         last = rows.filter("doc_id is not null").groupBy(*_KEY).agg(F.max(F.struct("seq", "op", "source", "lang", "n_tokens")).alias("e")).select(*_KEY, "e.op", "e.source", "e.lang", "e.n_tokens")
         now = last.unionByName(rows.filter("doc_id is null").drop("seq"))
         new = now.filter(F.col("op") != "delete").select(*_KEY, "source", "lang", "n_tokens", F.lit(1).alias("sign"))
-        old = self.state().join(last.select(*_KEY), _KEY, "left_semi").select(*_KEY, "source", "lang", "n_tokens", (-F.col("n")).cast("int").alias("sign"))
+        state, keys = self.state(), last.select(F.col("doc_id").alias("_id"), F.col("tokenizer").alias("_version"))
+        same = (F.col("doc_id") == F.col("_id")) & F.col("tokenizer").eqNullSafe(F.col("_version"))
+        old = state.join(keys, same, "left_semi").select(*_KEY, "source", "lang", "n_tokens", (-F.col("n")).cast("int").alias("sign"))
         place = f"{self.folder}/signed/batch={batch}"
         old.unionByName(new).write.mode("overwrite").option("compression", "zstd").parquet(place)
         signed = self.spark.read.schema(_SIGNED).parquet(place)

@@ -59,3 +59,21 @@ def test_stages_with_clashing_columns_and_empty_tables(spark):
         assert corpus_pipeline.one_of_each(spark, docs, folder).count() == len(set(data))
         assert corpus_pipeline.without_benchmark(spark, docs, folder).count() == len(data)
         assert (corpus_pipeline.packed(spark, docs, folder).count() > 0) == bool(data)
+
+
+def test_a_language_with_one_labelled_document_is_kept(spark):
+    rnd = random.Random(9)
+
+    def text(syllables: str) -> str:
+        return " ".join("".join(rnd.choice(syllables.split()) for _ in range(rnd.randint(1, 3))) for _ in range(80))
+
+    rows = [(i, text("ba be bi bo bu da de di"), "aa", "s", 1) for i in range(30)]
+    rare = [(100 + i, text("xyl xor quy qel zyx"), "bb" if i == 1 else None, "s", 1) for i in range(6)]
+    other = [(200, "日本語の文章はここでは学ばれていません", None, "s", 1), (201, "12 34", "aa", "s", 1), (202, None, "aa", "s", 1)]
+    docs = spark.createDataFrame(rows + rare + other, SCHEMA)
+    assert zlib.crc32(b"101") % 4 != 2
+    kept = {r["doc_id"] for r in corpus_pipeline.known_language(spark, docs, "").collect()}
+    assert kept >= {r[0] for r in rows + rare} and not kept & {201, 202}
+    many = spark.createDataFrame([(i + 300, *r[1:]) for i, r in enumerate(rows * 5)], SCHEMA)
+    kept = {r["doc_id"] for r in corpus_pipeline.known_language(spark, many.unionByName(spark.createDataFrame(other, SCHEMA)), "").collect()}
+    assert kept == {300 + i for i in range(150)}

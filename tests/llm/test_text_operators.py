@@ -13,7 +13,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from corpusmill.llm import common, decontamination, language, licenses, packing, rollups, sharding, simhash, token_files
+from corpusmill.llm import common, decontamination, language, licenses, packing, queries, rollups, sharding, simhash, token_files
 from corpusmill.llm.components import components
 from corpusmill.llm.tokens import TextEncoder
 from corpusmill.session import scratch_folder
@@ -404,3 +404,47 @@ def test_rollup(spark, mixed):
     assert Counter((r["doc_id"], r["tokenizer"], r["n_tokens"]) for r in counted.collect()) == Counter((r["doc_id"], k, len(t.encode(r["text"] or "", add_special_tokens=False).ids)) for r in mixed.collect() for k, t in tokenizers.items())
     with pytest.raises(ValueError):
         ledger.commit("../x", spark.createDataFrame([], schema))
+
+
+def test_rollup_of_a_null_tokenizer_and_of_unknown_events(spark):
+    ledger = rollups.TokenRollup(spark, scratch_folder(spark, "t"))
+    schema = "doc_id bigint, tokenizer string, op string, source string, lang string, n_tokens bigint"
+    ledger.commit("a", spark.createDataFrame([(1, None, "insert", "s", "en", 5), (1, "w", "insert", "s", "en", 4)], schema))
+    ledger.commit("b", spark.createDataFrame([(1, None, "delete", None, None, None)], schema))
+    assert [tuple(r) for r in ledger.totals().collect()] == [("s", "en", "w", 1, 4)]
+    for op in ("oops", None):
+        with pytest.raises(ValueError):
+            ledger.commit("c", spark.createDataFrame([(1, "w", op, "s", "en", 1)], schema))
+    assert ledger.batches() == ["a", "b"]
+
+
+def test_rollup_query(spark):
+    """The load, the deletes, the revisions and the batch sent twice, against a count by hand."""
+    folder = scratch_folder(spark, "planted")
+    texts = ODD[:8] + ["same text"] * 5 + ["other text", None]
+    rows = [(i, t, "en" if i % 2 else None, f"s{i % 3}") for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").write.parquet(f"{folder}/documents.parquet")
+    expected: Counter = Counter()
+    for i, text, lang, source in rows:
+        if not any((t or "") == (text or "") for _, t, *_ in rows[:i]):
+            for name, path in (("word_bpe_49k", WORD), ("byte_bpe_50k", BYTE)):
+                expected[source, lang, name, "n"] += 1
+                expected[source, lang, name, "tokens"] += len(encoded(path, text)) + 1
+    found = {}
+    for r in queries.op5(spark, folder).collect():
+        found[r["source"], r["lang"], r["tokenizer"], "n"] = r["documents"]
+        found[r["source"], r["lang"], r["tokenizer"], "tokens"] = r["tokens"]
+    assert found == expected
+
+
+def test_decontamination_of_items_with_a_common_beginning_and_of_periods():
+    rnd = random.Random(13)
+    words = ["".join(rnd.choice("abcdefghilmnoprstu") for _ in range(rnd.randint(2, 8))) for _ in range(300)]
+    beginning = " ".join(rnd.choice(words) for _ in range(25))
+    items = [beginning + " " + " ".join(rnd.choice(words) for _ in range(20)) for _ in range(60)] + ["ab " * 60, "ab " * 60]
+    index = decontamination.index_windows(items)
+    noise = " ".join(rnd.choice(words) for _ in range(50))
+    texts = [noise, beginning + " " + noise, noise + " " + items[7] + " " + noise, "x " + "ab " * 300]
+    found = decontamination.find_passages(texts, index)
+    assert [{f[0] for f in own} for own in found] == [set(), set(range(60)), set(range(60)), {60, 61}]
+    assert max(e - s for i, s, e, *_ in found[2] if i == 7) >= len(items[7]) - 8
