@@ -98,7 +98,8 @@ def inverted_index(df: DataFrame, id_col: str, text: str, tokens: Tokenizer = in
         size = F.size(words)
 
         def cut(first: Column) -> Column:
-            ends = F.concat(F.slice(first, 2, F.size(first)), F.array(size))
+            # As many ends as starts, also where there is none.
+            ends = F.slice(F.concat(F.slice(first, 2, F.size(first)), F.array(size)), 1, F.size(first))
             run = lambda start, end: F.struct(
                 F.get(words, start).alias("token"), (end - start).cast("bigint").alias("tf"), size.cast("bigint").alias("doc_len")
             )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.operators import blockmax
 from corpusmill.operators import bm25 as B
 from corpusmill.plans.analysis import topic_examples as examples_of_topic
 from corpusmill.plans.registered.registry import APPEALS_SQL, ORACLE, Tables, index_tokens_sql, iso, iso_sql, list_sql, query, r6
@@ -116,6 +117,20 @@ def bm25_top_k_index(t: Tables):
     return found.select("doc_id", "topic_id", iso("ts").alias("ts"), r6(F.col("score")).alias("score"))
 
 
+def _block_index(t: Tables, docs: DataFrame) -> blockmax.BlockIndex:
+    folder = scratch_folder(t.spark, "blocks")
+    blockmax.save_block_index(docs, "doc_id", "text", folder, block_docs=64)
+    return blockmax.load_block_index(t.spark, folder, "doc_id")
+
+
+@query("bm25_top_k_blocks", ORACLE["bm25_top_k"])
+def bm25_top_k_blocks(t: Tables):
+    """The same as bm25_top_k, reading only the blocks of the index that can hold one of the best."""
+    low, high = (F.to_timestamp_ntz(F.lit(d)) for d in ("2024-01-01 02:00:00", "2024-01-28 00:00:00"))
+    found = blockmax.top_k_by_blocks(_block_index(t, t.appeals), t.appeals, TERMS, "ts", 100, "topic_id", [1, 2, 3, 5, 8, 13], low, high)
+    return found.select("doc_id", "topic_id", iso("ts").alias("ts"), r6(F.col("score")).alias("score"))
+
+
 _PROBABILISTIC = (
     "sums AS (SELECT doc_id, sum(w * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean_len))) AS score, "
     "count(DISTINCT token) AS terms FROM post JOIN q USING (token) JOIN freq USING (token) JOIN lens USING (doc_id), tot GROUP BY doc_id)"

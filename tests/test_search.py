@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from corpusmill.operators import blockmax
 from corpusmill.operators import bm25 as B
 from corpusmill.operators import vectors as V
 from corpusmill.session import scratch_folder
@@ -206,3 +207,23 @@ def test_a_tokenizer_of_ones_own(spark):
     for limits in ({}, {"term_limit": 0}):
         found = B.search_batch(df, "id", "t", queries, "qid", "q", tokens=by_comma, **limits).orderBy("rank").collect()
         assert [r["id"] for r in found] == [1, 2]
+
+
+def test_search_by_blocks_reads_few_and_finds_the_same(spark):
+    rnd = random.Random(3)
+    rows = [(i, " ".join(rnd.choice(["tea", "milk", *"abcdefgh"]) for _ in range(rnd.randint(0, 30))), i % 4) for i in range(400)]
+    rows += [(1_000 + i, "tea " * 9 + "sugar", i) for i in range(3)] + [(2_000, None, 1), (2_001, "", 2)]
+    df = spark.createDataFrame(rows, "id bigint, t string, topic int")
+    folder = scratch_folder(spark, "blocks")
+    blockmax.save_block_index(df, "id", "t", folder, block_docs=8)
+    blocks = blockmax.load_block_index(spark, folder, "id")
+    shown = lambda found: [(r["id"], round(r["score"], 9)) for r in found.collect()]
+    for query in (["tea"], ["tea", "sugar", "tea"], ["milk", "a", "zzz"], ["sugar"], ["zzz"], []):
+        for k in (1, 3, 10, 500):
+            for model in (B.Okapi(), B.Probabilistic()):
+                assert sorted(shown(blockmax.top_k_by_blocks(blocks, df, query, "id", k, model=model))) == sorted(shown(B.top_k(df, "id", "t", query, "id", k, model=model))), (query, k)
+    found = blockmax.best_documents(blocks, ["tea", "sugar"], 3)
+    assert {r["id"] for r in found.best.collect()} == {1_000, 1_001, 1_002}
+    assert found.blocks > 40 and found.read <= 3
+    at_two = blockmax.top_k_by_blocks(blocks, df, ["tea"], "id", 50, "topic", [2])
+    assert shown(at_two) == shown(B.top_k(df, "id", "t", ["tea"], "id", 50, "topic", [2]))
