@@ -6,8 +6,9 @@ ASCII letters, digits and the underscore unless extended, so letters of other sc
 
 Without ``case_sensitive``, characters are folded one by one, so places in a text stay the same.
 
-Small dictionaries become one regular expression, evaluated inside the scan. The size is checked
-first; larger ones are joined on the first word of each keyword, with the same result.
+Small dictionaries become one regular expression, evaluated inside the scan. Larger ones become an
+automaton that is sent to the tasks, if its table stays below a bound that is checked first; beyond it
+keywords are joined on their first word. All three ways have the same result.
 """
 
 from __future__ import annotations
@@ -21,10 +22,14 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions.arrays import running_sums
 from corpusmill.functions.text import let, ngrams, strip
+from corpusmill.operators import automaton
 from corpusmill.session import cut_lineage
 
 # Dictionaries up to this many keywords are matched by one regular expression.
 PATTERN_LIMIT = 400
+# Dictionaries whose automaton has at most this many bytes are sent to the tasks; no more keywords than that many are read.
+AUTOMATON_BYTES = 64 << 20
+AUTOMATON_LIMIT = 1_000_000
 # Fixed value: the default word characters.
 WORD_CHARACTERS = "A-Za-z0-9_"
 # The characters outside ASCII that fold to an ASCII letter: they are word characters as well.
@@ -267,6 +272,38 @@ def spans_by_join(
     return _leftmost_longest(candidates, id_col)
 
 
+def _automaton(entries: DataFrame, case_sensitive: bool, most_bytes: int) -> automaton.Automaton | None:
+    """The automaton of a dictionary, or none if its table would be larger than ``most_bytes``."""
+    keyed = _matched_entries(entries, case_sensitive, F.max)
+    signs = keyed.select(F.explode(F.array_distinct(F.regexp_extract_all("keyword", F.lit("(?s)."), F.lit(0)))).alias("c")).agg(F.count_distinct("c")).scalar()
+    size = keyed.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.length("keyword")), F.lit(0)).alias("chars")).withColumn("signs", signs).first()
+    if size["rows"] > AUTOMATON_LIMIT or 4 * (1 + size["chars"]) * (1 + size["signs"]) > most_bytes:
+        return None
+    return automaton.build({r["keyword"]: r["clean_name"] for r in keyed.toLocalIterator()})
+
+
+def _word_signs(extra: str, case_sensitive: bool) -> str:
+    ascii_signs = "".join(chr(c) for c in range(128) if chr(c).isalnum() or chr(c) == "_")
+    return ascii_signs + extra + ("" if case_sensitive else _FOLDED_TO_ASCII)
+
+
+def _spans_of(
+    df: DataFrame, id_col: str, text: str, entries: DataFrame, case_sensitive: bool, extra: str, pattern_limit: int, automaton_bytes: int
+) -> DataFrame:
+    """(id, hit_no, span) for every hit, by the way that fits the size of the dictionary."""
+    head = _matched_entries(entries, case_sensitive, F.max).limit(pattern_limit + 1).collect()
+    if len(head) <= pattern_limit:
+        words = dictionary([(r[0], r[1]) for r in head], case_sensitive, extra)
+        # Exploded as an expression: for a column the optimizer adds a filter that repeats its work.
+        return df.select(id_col, F.posexplode(spans(F.col(text), words)).alias("hit_no", "_s"))
+    made = _automaton(entries, case_sensitive, automaton_bytes)
+    if made is not None:
+        column = automaton.spans_column(df.sparkSession, made, F.col(text), _word_signs(extra, case_sensitive), None if case_sensitive else _fold)
+        return df.select(id_col, column.alias("_all")).select(id_col, F.posexplode("_all").alias("hit_no", "_s"))
+    found = spans_by_join(df, id_col, text, entries, case_sensitive, extra)
+    return found.select(id_col, F.posexplode_outer("spans").alias("hit_no", "_s")).where(F.col("_s").isNotNull())
+
+
 def keyword_spans(
     df: DataFrame,
     id_col: str,
@@ -275,26 +312,22 @@ def keyword_spans(
     case_sensitive: bool = False,
     extra: str = "",
     pattern_limit: int = PATTERN_LIMIT,
+    automaton_bytes: int = AUTOMATON_BYTES,
 ) -> DataFrame:
     """(id, hit_no, clean_name, lo, hi) for every hit; ``hit_no`` counts from 0 in text order.
 
     Of entries for one keyword the greatest clean name counts; ``dictionary_table`` keeps the later one.
     """
-    head = _matched_entries(entries, case_sensitive, F.max).limit(pattern_limit + 1).collect()
-    if len(head) <= pattern_limit:
-        words = dictionary([(r[0], r[1]) for r in head], case_sensitive, extra)
-        # Exploded as an expression: for a column the optimizer adds a filter that repeats its work.
-        hits = df.select(id_col, F.posexplode(spans(F.col(text), words)).alias("hit_no", "_s"))
-    else:
-        found = spans_by_join(df, id_col, text, entries, case_sensitive, extra)
-        hits = found.select(id_col, F.posexplode_outer("spans").alias("hit_no", "_s")).where(F.col("_s").isNotNull())
+    hits = _spans_of(df, id_col, text, entries, case_sensitive, extra, pattern_limit, automaton_bytes)
     return hits.select(
         id_col, "hit_no", F.col("_s.clean_name").alias("clean_name"), F.col("_s.lo").alias("lo"), F.col("_s.hi").alias("hi")
     )
 
 
-def keyword_extract(df: DataFrame, id_col: str, text: str, words: Dictionary) -> DataFrame:
-    """(id, hit_no, clean_name) for every hit of a small dictionary."""
+def keyword_extract(df: DataFrame, id_col: str, text: str, words: Dictionary | DataFrame, case_sensitive: bool = False) -> DataFrame:
+    """(id, hit_no, clean_name) for every hit of a dictionary, or of a table (keyword, clean_name) of any length."""
+    if isinstance(words, DataFrame):
+        return keyword_spans(df, id_col, text, words, case_sensitive).select(id_col, "hit_no", "clean_name")
     return df.select(id_col, F.posexplode(clean_names(F.col(text), words)).alias("hit_no", "clean_name"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.operators import keywords as K
 from corpusmill.plans.registered.registry import Tables, query
+from corpusmill.session import cut_lineage
 
 PAIRS = [
     ("the", None),
@@ -83,6 +84,19 @@ def keyword_extract(t: Tables):
     return K.keyword_extract(t.texts, "doc_id", "text", K.dictionary(PAIRS))
 
 
+@query(
+    "keyword_extract_large",
+    "WITH w AS (SELECT doc_id, lower(unnest(x)) AS word, generate_subscripts(x, 1) AS place FROM (SELECT doc_id, regexp_extract_all(text, '[A-Za-z0-9_]+') AS x FROM documents)), "
+    "k AS (SELECT word FROM w WHERE length(word) >= 4 GROUP BY word) "
+    "SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY place) - 1 AS INTEGER) AS hit_no, upper(word) AS clean_name FROM w JOIN k USING (word)",
+)
+def keyword_extract_large(t: Tables):
+    """Every word of four letters or more in any document is a keyword: tens of thousands."""
+    words = t.texts.select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z0-9_]+"), F.lit(0))).alias("w")).select(F.lower("w").alias("keyword"))
+    entries = words.where(F.length("keyword") >= 4).distinct().withColumn("clean_name", F.upper("keyword"))
+    return K.keyword_extract(t.texts, "doc_id", "text", cut_lineage(entries))
+
+
 @query(
     "keyword_boundaries",
     # A separator is doubled first, because the SQL dialect has no look-behind.

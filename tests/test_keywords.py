@@ -2,9 +2,11 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from corpusmill.operators import automaton
 from corpusmill.operators import keywords as K
 from corpusmill.operators.timelines import jaro_winkler
 
@@ -163,3 +165,28 @@ def test_jaro_winkler():
     assert jaro_winkler("martha", "marhta") == pytest.approx(0.9611, abs=1e-4)
     assert jaro_winkler("dixon", "dicksonx") == pytest.approx(0.8133, abs=1e-4)
     assert jaro_winkler("abc", "xyz") == 0.0
+
+
+def test_automaton_equals_pattern_and_join(spark):
+    rnd = random.Random(21)
+    signs = ["a", "b", "B", "c", " ", " ", "/", "-", "_", "é", "É", "İ", "ı", "ς", "Σ", "K", "ß", "1", "\U0001f600", "\n"]
+    made = lambda most: "".join(rnd.choice(signs) for _ in range(rnd.randint(1, most)))
+    for case_sensitive in (False, True):
+        pairs = [(made(5), rnd.choice([None, "", f"n{i}"])) for i in range(80)] + [(None, "x"), ("", "y")]
+        texts = [None, "", *[made(60) for _ in range(150)], "a b " * 2000]
+        entries = spark.createDataFrame(pairs, "keyword string, clean_name string")
+        df = spark.createDataFrame(list(enumerate(texts)), "id bigint, t string")
+        ways = ((400, 0), (0, 1 << 26), (0, 0))
+        found = [sorted(tuple(r) for r in K.keyword_spans(df, "id", "t", entries, case_sensitive, "-", limit, most).collect()) for limit, most in ways]
+        assert found[0] == found[1] == found[2] and len(found[0]) > 50
+
+
+def test_walk_finds_every_keyword_across_stretches():
+    rnd = random.Random(22)
+    words = {"".join(rnd.choice("ab") for _ in range(rnd.randint(1, 9))) for _ in range(40)}
+    built = automaton.build({w: w for w in words})
+    text = "".join(rnd.choice("abx") for _ in range(3 * automaton.STRETCH + 17))
+    ends, which = automaton.walk(np.array([ord(c) for c in text], np.uint32), built)
+    expected = {(e, w) for w in words for e in range(len(w), len(text) + 1) if text.startswith(w, e - len(w))}
+    got = [(int(e), built.names[k]) for e, k in zip(ends, which)]
+    assert set(got) == expected and len(got) == len(expected)
