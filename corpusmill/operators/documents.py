@@ -7,9 +7,12 @@ table and returns the new table; the caller writes it.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from functools import lru_cache
 from typing import Any
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -358,6 +361,61 @@ def update_embeddings(
     return joined.withColumn("embedding", chosen).select(*documents.columns)
 
 
+Encoder = Callable[[list[str]], Any]
+
+
+@lru_cache(maxsize=1)
+def _loaded(load: Callable[[], Encoder]) -> Encoder:
+    return load()
+
+
+def encoded(text: Column, load: Callable[[], Encoder], batch_size: int = 64) -> Column:
+    """The vector that a model gives for each text; null for a null text, which the model does not see.
+
+    ``load`` gives the model, a function from a list of texts to as many vectors. A worker calls it once, and again
+    only for another ``load``; one that workers import by name stays loaded from task to task. The model is given
+    texts of about equal length together, ``batch_size`` at a time.
+    """
+
+    @F.pandas_udf("array<double>")
+    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = None
+        for texts in batches:
+            out: list[Any] = [None] * len(texts)
+            there = sorted((i for i, t in enumerate(texts) if t is not None), key=lambda i: len(texts.iat[i]))
+            for start in range(0, len(there), batch_size):
+                model = model or _loaded(load)
+                places = there[start : start + batch_size]
+                for place, vector in zip(places, model([texts.iat[i] for i in places]), strict=True):
+                    out[place] = np.asarray(vector, np.float64)
+            yield pd.Series(out)
+
+    return encode(text)
+
+
+def encode_embeddings(
+    documents: DataFrame,
+    text: str,
+    load: Callable[[], Encoder],
+    filters: FilterTerm | None = None,
+    similarity: str = "cosine",
+    only_missing: bool = False,
+    batch_size: int = 64,
+    resolve: Resolver = F.col,
+) -> DataFrame:
+    """New vectors from a model for the documents that pass the filter and have a text; see ``encoded``.
+
+    The filter comes first: the model sees no other text. With ``only_missing`` vectors that are there stay. Vectors
+    are of unit length when the similarity is cosine. The table is read once and nothing is shuffled.
+    """
+    there = F.col("embedding") if "embedding" in documents.columns else F.lit(None)
+    there = there.cast("array<double>")
+    chosen = compile_filter(filters, resolve) & (there.isNull() if only_missing else F.lit(True))
+    found = documents.withColumn("_new", encoded(F.when(chosen, F.col(text)), load, batch_size))
+    vector = vectors.l2_normalize(F.col("_new")) if similarity == "cosine" else F.col("_new")
+    return found.withColumn("embedding", F.when(F.col("_new").isNotNull(), vector).otherwise(there)).drop("_new")
+
+
 def fill_missing_embeddings(documents: DataFrame, dim: int, key: str, seed: int = 42) -> DataFrame:
     """A repeatable placeholder in [-1, 1) for every document without a vector, flagged as such."""
 

@@ -1,7 +1,8 @@
 """The nested filter language, compiled once on the driver to a Spark ``Column``.
 
 A filter is a dictionary. Keys are ``$and``, ``$or``, ``$not`` or field names; a field takes a value
-(equality), a list (membership) or a dictionary of comparisons. A field without a value fails every
+(equality), a list (membership) or a dictionary of comparisons. The list of ``$in`` and ``$nin`` may be a
+table, whose first column is meant; a null in it equals nothing. A field without a value fails every
 comparison, ``$ne`` and ``$nin`` included, so the logic has two values: each comparison is written as
 "present and ...", which the parquet reader can still push down.
 """
@@ -31,6 +32,11 @@ def _equals(field: Column, value: Any) -> Column:
 
 
 def _member(field: Column, value: Any) -> Column:
+    if isinstance(value, DataFrame):
+        # An existence join on equality: the list may have any length, and stands anywhere in the tree.
+        # Under a name of its own; behind the alias the field cannot be taken for a column of the list.
+        listed = value.select(F.col(f"`{value.columns[0]}`").alias("_listed")).alias("_list")
+        return listed.where(F.col("_listed") == field.outer()).exists()
     if not isinstance(value, (list, tuple, set)):
         raise ValueError("$in and $nin take a list")
     # A null in the list equals nothing; left in, it would make the whole test null.
@@ -88,7 +94,7 @@ def _conditions(term: FilterTerm, resolve: Resolver) -> list[Column]:
             elif isinstance(value, Mapping):
                 found.extend(compare(resolve(key), op, operand) for op, operand in value.items())
             else:
-                default = "$in" if isinstance(value, (list, tuple, set)) else "$eq"
+                default = "$in" if isinstance(value, (list, tuple, set, DataFrame)) else "$eq"
                 found.append(compare(resolve(key), default, value))
     return found
 

@@ -479,6 +479,28 @@ def update_embeddings(t: Tables):
     return done.select("doc_id", r6(F.get(v, 0)).alias("first"), r6(F.get(v, 63)).alias("last"))
 
 
+def _vowel_counts():
+    """A model as a user gives it: it counts vowels."""
+    return lambda texts: [[float(t.count(v)) for v in "aeiou"] for t in texts]
+
+
+@query(
+    "encode_embeddings",
+    "WITH c AS (SELECT d.doc_id, lang = 'en' AND n_chars > 300 AND d.text IS NOT NULL AS chosen, e.embedding AS v, "
+    "[CAST(length(text) - length(replace(text, x, '')) AS DOUBLE) FOR x IN ['a', 'e', 'i', 'o', 'u']] AS u FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id), "
+    "z AS (SELECT *, sqrt(list_sum([x * x FOR x IN u])) AS s FROM c) "
+    "SELECT doc_id, CAST(CASE WHEN chosen THEN 5 ELSE coalesce(len(v), 0) END AS INTEGER) AS size, "
+    "round(CASE WHEN chosen THEN CASE WHEN s = 0 THEN 0 ELSE u[1] / s END ELSE CAST(v[1] AS DOUBLE) END, 6) AS first, "
+    "round(CASE WHEN chosen THEN CASE WHEN s = 0 THEN 0 ELSE u[5] / s END ELSE CAST(v[5] AS DOUBLE) END, 6) AS fifth FROM z",
+)
+def encode_embeddings(t: Tables):
+    vectors = t.embeddings.select(F.col("vec_id").alias("doc_id"), "embedding")
+    docs = D.attach_embeddings(t.documents, vectors, "doc_id")
+    done = D.encode_embeddings(docs, "text", _vowel_counts, {"lang": "en", "n_chars": {"$gt": 300}})
+    v = F.col("embedding")
+    return done.select("doc_id", F.coalesce(F.size(v), F.lit(0)).alias("size"), r6(F.get(v, 0)).alias("first"), r6(F.get(v, 4)).alias("fifth"))
+
+
 @query("fill_missing_embeddings")
 def fill_missing_embeddings(t: Tables):
     vectors = t.embeddings.select(F.col("vec_id").alias("doc_id"), "embedding")

@@ -89,3 +89,16 @@ def filter_date_bound(t: Tables):
     low, high = (F.to_timestamp_ntz(F.lit(d)) for d in ("2024-01-01 06:00:00", "2024-01-20 00:00:00"))
     found = t.appeals.where(F.col("ts").between(low, high))
     return L.within_dates(found, "ts", topic_col="topic_id", topic=5).select("doc_id", "topic_id", iso("ts").alias("ts"))
+
+
+@query(
+    "filter_in_table",
+    f"WITH {WITH_META_SQL}, good AS (SELECT doc_id FROM labels WHERE quality = 1), frequent AS (SELECT source FROM documents GROUP BY source HAVING count(*) > 10) "
+    f"SELECT {_FIELDS} FROM with_meta WHERE (doc_id IN (SELECT doc_id FROM good) OR lang = 'fr') AND NOT (source NOT IN (SELECT source FROM frequent) OR toxic = 1 AND toxic IS NOT NULL)",
+)
+def filter_in_table(t: Tables):
+    """Lists that are tables, under $or and $not."""
+    good = t.labels.where("quality = 1").select("doc_id")
+    frequent = t.documents.groupBy("source").count().where("count > 10").select("source")
+    term = {"$or": {"doc_id": {"$in": good}, "lang": "fr"}, "$not": {"source": {"$nin": frequent}, "toxic": 1}}
+    return L.filter_documents(t.with_meta, term).select(*_FIELDS.split(", "))

@@ -129,3 +129,14 @@ def test_null_operands_keep_two_values(spark):
     assert kept({"$not": {"x": {"$eq": None}}}) == [1, 2, None]
     assert kept({"$not": {"x": {"$in": [7, None]}}}) == [1, 2, None]
     assert kept({"$not": {"x": {"$gt": None}}}) == [1, 2, None]
+
+
+def test_a_list_may_be_a_table(spark):
+    df = spark.createDataFrame(ROWS, "id int, kind string, num int")
+    for values in (["a"], ["a", "a", "c"], [], [None], [None, "b"]):
+        table = spark.createDataFrame([(v,) for v in values], "kind string")
+        for made in (lambda x: {"kind": {"$in": x}}, lambda x: {"kind": {"$nin": x}}, lambda x: {"$or": {"kind": {"$nin": x}, "num": 1}}, lambda x: {"$not": {"kind": {"$in": x}, "num": {"$gt": 2}}}, lambda x: {"kind": x}):
+            ids = lambda x: sorted(r["id"] for r in L.filter_documents(df, made(x)).collect())  # noqa: E731, B023
+            assert ids(table) == ids(values), values
+    plan = L.filter_documents(df, {"$or": {"kind": {"$nin": spark.createDataFrame([("a",)], "v string")}, "num": 1}})
+    assert "NestedLoop" not in plan._jdf.queryExecution().toString()

@@ -289,3 +289,27 @@ def test_document_store_replaces_one_index(spark):
     assert stored() == [("1", "a", "new"), rows[1], rows[3]]
     S.replace_index(df.where("id = '9'"), path)
     assert len(stored()) == 3
+
+
+def test_a_model_encodes_only_what_the_filter_lets_through(spark):
+    rows = [(i, "x" * (i % 7), "en" if i % 2 else "fr", [9.0, 9.0] if i % 3 == 0 else None) for i in range(60)] + [(60, None, "en", None), (61, "", "en", None)]
+    df = spark.createDataFrame(rows, "id int, t string, lang string, embedding array<double>")
+
+    def load():
+        def model(texts):
+            assert len(texts) <= 4 and all(t is not None for t in texts) and max(map(len, texts)) - min(map(len, texts)) <= 6
+            return np.array([[len(t), 1.0] for t in texts])
+
+        return model
+
+    def plain(row, only_missing):
+        _, text, lang, old = row
+        return old if lang != "en" or text is None or only_missing and old is not None else [float(len(text)), 1.0]
+
+    for only_missing in (False, True):
+        found = D.encode_embeddings(df, "t", load, {"lang": "en"}, "dot_product", only_missing, 4)
+        assert found.columns == df.columns
+        assert {r["id"]: r["embedding"] for r in found.collect()} == {row[0]: plain(row, only_missing) for row in rows}
+    unit = D.encode_embeddings(df.drop("embedding"), "t", load, batch_size=4).where("id = 3").first()["embedding"]
+    assert unit == pytest.approx([3 / 10**0.5, 1 / 10**0.5])
+    assert D.encode_embeddings(df.limit(0), "t", load).collect() == []
