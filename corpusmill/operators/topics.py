@@ -10,6 +10,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusmill.functions.arrays import halved_sums
 from corpusmill.functions.text import vocab_tokens
 from corpusmill.session import cut_lineage, small_side
 
@@ -111,6 +112,57 @@ def topics_over_time(
     )
 
 
+def tuned_word_scores(df: DataFrame, topic: str, text: str, time: str, words: Sequence[str] = (), bins: int = 20) -> DataFrame:
+    """(topic, bin, word, score): the words of every topic in every bin that has documents of it, tuned.
+
+    A cell's scores, as shares of their absolute sum, are averaged with those of the whole topic, and from the
+    topic's second bin on with the tuned ones of its bin before. So words that a bin lacks for once keep a part of
+    their weight. The texts are read once; the topic's own scores are added up from the counts of its cells. A row
+    before the fold is a word of a topic with at most ``bins`` cells.
+    """
+    cell = [topic, "bin"]
+    binned = with_time_bins(df, time, bins)
+    size = cut_lineage(binned.groupBy(*cell).agg(F.count(F.lit(1)).alias("_docs")))
+    documents = size.agg(F.sum("_docs").cast("double")).scalar()
+    cells = cut_lineage(c_tf_idf(binned, cell, text, words, documents=documents))
+    counts = cells.groupBy(topic, "word").agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("bin", "score"))).alias("_cells"))
+    counts = cut_lineage(counts)
+    tokens = small_side(cut_lineage(counts.groupBy(topic).agg(F.sum("n").alias("_tokens"))))
+    everywhere = counts.groupBy("word").agg(F.sum("n").alias("_word"))
+    own = F.col("n") / F.col("_tokens") * F.log(F.col("_m") / F.col("_word"))
+    scored = cut_lineage(counts.join(everywhere, "word").join(tokens, topic).withColumn("_m", documents).select(topic, "word", "_cells", own.alias("_own")))
+    of_cells = cells.groupBy(*cell).agg(F.sum(F.abs("score")).alias("_sum"))
+    sums = of_cells.groupBy(topic).agg(F.map_from_entries(F.collect_list(F.struct("bin", "_sum"))).alias("_sums"))
+    bins_of = size.groupBy(topic).agg(F.array_sort(F.collect_list("bin")).alias("_bins"))
+    totals = scored.groupBy(topic).agg(F.sum(F.abs("_own")).alias("_all"))
+    # A row for each topic.
+    per_topic = small_side(cut_lineage(bins_of.join(sums, topic).join(totals, topic)))
+
+    def share(value: Column, whole: Column) -> Column:
+        return F.when(whole > 0, value / whole).otherwise(0.0)
+
+    def both(at: Column) -> Column:
+        here = share(F.coalesce(F.try_element_at("_cells", at), F.lit(0.0)), F.coalesce(F.try_element_at("_sums", at), F.lit(0.0)))
+        return (here + share(F.col("_own"), F.col("_all"))) / 2
+
+    folded = halved_sums(F.transform("_bins", both))
+    rows = scored.join(per_topic, topic).select(topic, "word", F.explode(F.arrays_zip(F.col("_bins").alias("bin"), folded.alias("score"))).alias("_f"))
+    return rows.select(topic, F.col("_f.bin").alias("bin"), "word", F.round("_f.score", 9).alias("score"))
+
+
+def tuned_topics_over_time(
+    df: DataFrame, topic: str, text: str, time: str, words: Sequence[str] = (), bins: int = 20, top: int = 5
+) -> DataFrame:
+    """As ``topics_over_time``, with tuned scores, and ``weight``, the sum of the best words' scores."""
+    cell = [topic, "bin"]
+    frequency = with_time_bins(df, time, bins).groupBy(*cell).agg(F.count(F.lit(1)).alias("frequency"), F.min(time).alias("first_time"))
+    rows = F.array_sort(F.collect_list(F.struct("rank", "word")))
+    best = top_words(tuned_word_scores(df, topic, text, time, words, bins), cell, top).groupBy(*cell).agg(
+        F.array_join(F.transform(rows, lambda r: r["word"]), ", ").alias("words"), F.sum("score").alias("weight")
+    )
+    return frequency.join(best, cell, "left").select(*cell, "first_time", "frequency", "words", "weight")
+
+
 def peak_per_topic(over_time: DataFrame, topic: str) -> DataFrame:
     """The bin with most documents of each topic; the later one on a tie."""
     row = F.struct("frequency", "bin", "first_time", "words")

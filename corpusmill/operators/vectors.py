@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import vectors as V
 from corpusmill.operators.filters import FilterTerm, Resolver, filter_documents
+from corpusmill.session import cut_lineage
 
 # Scores that agree to this many places are ties, decided by id.
 TIE_PLACES = 9
@@ -64,10 +65,13 @@ def _block_top_k(
     df: DataFrame, id_col: str, vector: str, ids: np.ndarray, matrix: np.ndarray, query_id: str, k: int, similarity: str
 ) -> DataFrame:
     sign = -1.0 if similarity == "l2" else 1.0
-    size = np.linalg.norm(matrix, axis=1)
+    shared = df.sparkSession.sparkContext.broadcast((ids, matrix))
+    width = matrix.shape[1]
     slice_rows = max(1, 2_000_000 // max(len(ids), 1))
 
     def best_per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, matrix = shared.value
+        size = np.linalg.norm(matrix, axis=1)
         kept_q, kept_d, kept_s = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
         floor = np.full(len(ids), -np.inf)
         for batch in batches:
@@ -96,7 +100,7 @@ def _block_top_k(
                 [pa.array(ids[kept_q]), pa.array(kept_d), pa.array(kept_s)], names=[query_id, id_col, "score"]
             )
 
-    narrow = df.where(F.col(vector).isNotNull()).select(F.col(id_col).cast("bigint"), _of_length(vector, F.lit(matrix.shape[1])).alias(vector))
+    narrow = df.where(F.col(vector).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint"), _of_length(vector, F.lit(width)).alias(vector))
     return narrow.mapInArrow(best_per_task, f"`{query_id}` bigint, `{id_col}` bigint, score double")
 
 
@@ -114,26 +118,32 @@ def vector_top_k_batch(
     block_cells: int = BATCH_CELLS,
 ) -> DataFrame:
     """The k nearest documents of every query: (query, rank, document, score). Ids are integers. Documents without
-    a vector are not found; a vector of another length than the queries' is an error.
+    a vector or an id are not found, queries without one are not asked; a vector of another length than the queries'
+    is an error. No query gives no rows.
 
     Queries go to the tasks as a matrix of checked size. A larger set is taken block by block; each
-    block is one more pass over the documents and every block is exact by itself.
+    block is one more pass over the documents, written before the next is read, and exact by itself.
     """
     found = filter_documents(df, filters, resolve)
     asked = queries.select(F.col(query_id).cast("bigint").alias(query_id), F.col(query_vector).cast("array<double>").alias("_v"))
+    asked = asked.where(F.col(query_id).isNotNull() & F.col("_v").isNotNull())
     dim = asked.select(F.size("_v").alias("dim")).limit(1).collect()
     rounded = F.round("score", TIE_PLACES)
     best = Window.partitionBy(query_id).orderBy(rounded.asc() if similarity == "l2" else rounded.desc(), F.col(id_col))
+    if not dim:
+        return df.sparkSession.createDataFrame([], f"`{query_id}` bigint, rank int, `{id_col}` bigint, score double")
     scored = None
-    last, rows_per_block = None, max(1, block_cells // max(dim[0]["dim"], 1)) if dim else 1
+    last, rows_per_block = None, max(1, block_cells // max(dim[0]["dim"], 1))
     while True:
         rest = asked if last is None else asked.where(F.col(query_id) > last)
         block = rest.orderBy(query_id).limit(rows_per_block).collect()
         if not block and scored is not None:
             break
         ids = np.array([row[query_id] for row in block], dtype=np.int64)
-        matrix = np.array([row["_v"] for row in block], dtype=float).reshape(len(block), dim[0]["dim"] if dim else 0)
+        matrix = np.array([row["_v"] for row in block], dtype=float).reshape(len(block), dim[0]["dim"])
         part = _block_top_k(found, id_col, vector, ids, matrix, query_id, k, similarity)
+        if len(block) == rows_per_block:
+            part = cut_lineage(part)
         scored = part if scored is None else scored.unionByName(part)
         if len(block) < rows_per_block:
             break

@@ -84,6 +84,25 @@ def topics_over_time(t: Tables):
     return course.withColumn("first_time", iso("first_time"))
 
 
+@query(
+    "topics_over_time_tuned",
+    # The fold as one sum: a bin counts half of what the next one does, the first twice that.
+    f"WITH {APPEALS_SQL}, {_TIME}, tn AS (SELECT topic_id, sum(n) AS total FROM c GROUP BY 1), o AS (SELECT topic_id, word, sum(n) AS n FROM c GROUP BY 1, 2), "
+    "ow AS (SELECT topic_id, word, o.n / tn.total * ln((SELECT count(*) FROM appeals)::DOUBLE / everywhere) AS s FROM o JOIN tn USING (topic_id) JOIN a USING (word)), "
+    "os AS (SELECT topic_id, word, s / sum(abs(s)) OVER (PARTITION BY topic_id) AS s FROM ow), "
+    "cs AS (SELECT topic_id, bin, word, score / sum(abs(score)) OVER (PARTITION BY topic_id, bin) AS s FROM scores), "
+    "r AS (SELECT topic_id, bin, row_number() OVER (PARTITION BY topic_id ORDER BY bin) - 1 AS r FROM freq), "
+    "f AS (SELECT os.topic_id, os.word, r.bin, r.r, (coalesce(cs.s, 0) + os.s) / 2 AS g FROM os JOIN r ON r.topic_id = os.topic_id LEFT JOIN cs ON cs.topic_id = os.topic_id AND cs.word = os.word AND cs.bin = r.bin), "
+    "t AS (SELECT topic_id, bin, word, round(sum(g * pow(2, r) * CASE r WHEN 0 THEN 1 ELSE 0.5 END) OVER (PARTITION BY topic_id, word ORDER BY r) / pow(2, r), 9) AS score FROM f), "
+    "tb AS (SELECT *, row_number() OVER (PARTITION BY topic_id, bin ORDER BY score DESC, word) AS rank FROM t QUALIFY rank <= 5) "
+    f"SELECT topic_id, bin, any_value(frequency) AS frequency, {iso_sql('any_value(first_time)')} AS first_time, string_agg(word, ', ' ORDER BY rank) AS words, round(sum(score), 6) AS weight "
+    "FROM freq LEFT JOIN tb USING (topic_id, bin) GROUP BY 1, 2",
+)
+def topics_over_time_tuned(t: Tables):
+    course = T.tuned_topics_over_time(t.appeals, "topic_id", "text", "ts", STOPWORDS)
+    return course.withColumn("first_time", iso("first_time")).withColumn("weight", r6(F.col("weight")))
+
+
 @query(
     "peak_per_topic",
     f"WITH {APPEALS_SQL}, {_TIME} SELECT topic_id, bin, frequency, {iso_sql('first_time')} AS first_time, words FROM over_time "

@@ -227,3 +227,14 @@ def test_search_by_blocks_reads_few_and_finds_the_same(spark):
     assert found.blocks > 40 and found.read <= 3
     at_two = blockmax.top_k_by_blocks(blocks, df, ["tea"], "id", 50, "topic", [2])
     assert shown(at_two) == shown(B.top_k(df, "id", "t", ["tea"], "id", 50, "topic", [2]))
+
+
+def test_batch_of_vectors_without_queries_ids_or_vectors(spark):
+    docs = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (None, [1.0, 0.0]), (4, None)], "id bigint, v array<double>")
+    asked = spark.createDataFrame([(7, [1.0, 0.1]), (None, [1.0, 0.0]), (9, None)], "q bigint, v array<double>")
+    found = V.vector_top_k_batch(docs, "id", "v", asked, "q", "v", 5)
+    assert [(r["q"], r["rank"], r["id"]) for r in found.orderBy("q", "rank").collect()] == [(7, 1, 1), (7, 2, 2)]
+    none = V.vector_top_k_batch(docs, "id", "v", asked.limit(0), "q", "v", 5)
+    assert none.collect() == [] and none.columns == found.columns
+    one_by_one = V.vector_top_k_batch(docs, "id", "v", spark.createDataFrame([(i, [float(i), 1.0]) for i in range(5)], "q bigint, v array<double>"), "q", "v", 1, block_cells=2)
+    assert one_by_one.count() == 5

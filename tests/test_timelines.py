@@ -117,3 +117,41 @@ def test_paragraphs(spark):
     df = spark.createDataFrame([(2, "c  d"), (1, " a b\n"), (3, "  ")], "id int, t string")
     got = sorted((r["paragraph_id"], r["id"], r["content"]) for r in A.paragraphs(df, "id", "t").collect())
     assert got == [(0, 1, "a"), (1, 1, "b"), (2, 2, "c"), (3, 2, "d")]
+
+
+def test_tuned_topics_follow_the_bin_before(spark):
+    """Against the fold, word by word."""
+    import datetime
+    import math
+    from collections import Counter, defaultdict
+
+    from corpusmill.operators import topics as T
+
+    rnd = random.Random(17)
+    day = lambda i: datetime.datetime(2024, 1, 1) + datetime.timedelta(days=i)
+    rows = [(i, rnd.choice([0, 1]), " ".join(rnd.choice(["alpha", "beta", "gamma", "delta", "omega"]) for _ in range(rnd.randint(0, 6))), day(rnd.choice([0, 3, 9, 10]))) for i in range(60)]
+    rows += [(90, 0, "alpha", day(0)), (91, 1, "beta", day(10)), (92, 2, "lonely words", day(4))]
+    df = spark.createDataFrame(rows, "id int, topic int, t string, at timestamp_ntz")
+    found = {(r["topic"], r["bin"], r["word"]): r["score"] for r in T.tuned_word_scores(df, "topic", "t", "at", bins=5).collect()}
+    counts, everywhere = defaultdict(Counter), Counter()
+    for _, topic, text, at in rows:
+        cell = (topic, min(int((at - day(0)).days * 5 / 10), 4))
+        counts[cell].update(text.split())
+        everywhere.update(text.split())
+
+    def shares(own: Counter) -> dict[str, float]:
+        score = {w: n / sum(own.values()) * math.log(len(rows) / everywhere[w]) for w, n in own.items()}
+        whole = sum(map(abs, score.values()))
+        return {w: s / whole for w, s in score.items()} if whole else {}
+
+    expected = {}
+    for topic in (0, 1, 2):
+        bins = sorted(b for t, b in counts if t == topic)
+        own = shares(sum((counts[topic, b] for b in bins), Counter()))
+        before: dict[str, float] | None = None
+        for b in bins:
+            here = shares(counts[topic, b])
+            both = {w: (here.get(w, 0) + s) / 2 for w, s in own.items()}
+            before = both if before is None else {w: (both[w] + before[w]) / 2 for w in own}
+            expected |= {(topic, b, w): s for w, s in before.items()}
+    assert found.keys() == expected.keys() and all(abs(found[k] - expected[k]) < 1e-8 for k in found)
