@@ -73,6 +73,8 @@ class TextEncoder:
     def _word(self, word: str) -> bytes:
         if word.isascii() and word.isalnum():
             written = word
+        elif word[0] == " " and word.isascii() and word[1:].isalnum():
+            written = self.letters[0x20] + word[1:]
         else:
             written = word.encode().decode("latin-1").translate(self.letters)
         ids = array("I", [t.id for t in self.model.tokenize(written)]).tobytes()
