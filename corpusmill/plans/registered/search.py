@@ -16,16 +16,16 @@ TERMS = ["the", "with", "that", "la", "the", "thin"]
 PREFIXES = ["user:", "assistant:", "system:", "tool:"]
 
 _CORPUS = (
-    f"corpus AS (SELECT doc_id, {index_tokens_sql('text')} AS tk FROM documents), "
+    f"corpus AS MATERIALIZED (SELECT doc_id, {index_tokens_sql('text')} AS tk FROM documents), "
     "tokens AS (SELECT doc_id, unnest(tk) AS token FROM corpus), "
     "lens AS (SELECT doc_id, len(tk) AS dl FROM corpus), "
     "post AS (SELECT doc_id, token, count(*) AS tf FROM tokens GROUP BY 1, 2), "
-    "freq AS (SELECT token, count(*) AS df FROM post GROUP BY 1), "
+    "freq AS MATERIALIZED (SELECT token, count(*) AS df FROM post GROUP BY 1), "
     "tot AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(dl) AS mean_len FROM lens)"
 )
 _QUERY = "q AS (SELECT token, count(*) AS w FROM (SELECT unnest([" + ", ".join(f"'{x}'" for x in TERMS) + "]) AS token) GROUP BY 1)"
 _OKAPI = (
-    "raw AS (SELECT token, df, ln(n - df + 0.5) - ln(df + 0.5) AS x FROM freq, tot), "
+    "raw AS MATERIALIZED (SELECT token, df, ln(n - df + 0.5) - ln(df + 0.5) AS x FROM freq, tot), "
     "idf AS (SELECT token, df, CASE WHEN x < 0 THEN 0.25 * (SELECT avg(x) FROM raw) ELSE x END AS idf FROM raw)"
 )
 _SCORED = (
