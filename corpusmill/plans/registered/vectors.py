@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusmill.functions import vectors as V
+from corpusmill.operators import lsh
 from corpusmill.operators import topics as T
 from corpusmill.operators import vectors as N
 from corpusmill.plans.registered.registry import Tables, query, r6
@@ -98,6 +99,15 @@ def vector_top_k_batch(t: Tables):
     return found.select("query_id", "rank", "vec_id", r6(F.col("score")).alias("score"))
 
 
+@query("vector_top_k_buckets")
+def vector_top_k_buckets(t: Tables):
+    buckets = lsh.build_buckets(t.embeddings, "vec_id", "embedding", bucket_rows=100)
+    probes = lsh.tuned_probes(buckets, t.embeddings, "vec_id", "embedding")
+    queries = t.embeddings.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("v"))
+    found = lsh.bucket_top_k(buckets, "vec_id", queries, "query_id", "v", 10, probes)
+    return found.select("query_id", "rank", "vec_id", r6(F.col("score")).alias("score"))
+
+
 @query("reduce_dimensions")
 def reduce_dimensions(t: Tables):
     return T.reduce_dimensions(T.vector_features(t.embeddings, "embedding")).select("vec_id", "label", "reduced")
