@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import IDF, PCA, HashingTF, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -173,20 +175,42 @@ def peak_per_topic(over_time: DataFrame, topic: str) -> DataFrame:
 # --- similarity -----------------------------------------------------------------------------------
 
 
-def topic_similarity(scores: DataFrame, topic: str) -> DataFrame:
+def _products(scores: DataFrame, topics: int, block_topics: int) -> DataFrame:
+    """(left_topic, right_topic, product) of the topics that share words, from (t, word, s).
+
+    A word's topics come in blocks of about ``block_topics``, and two blocks of a word meet in one task, so no
+    task multiplies a word of very many topics alone. Products are added up per task before the shuffle.
+    """
+    blocks = max(1, -(-topics // block_topics))
+    block = F.pmod(F.xxhash64("t"), F.lit(blocks)) if blocks > 1 else F.lit(0)
+    cells = F.array_sort(F.collect_list(F.struct("t", "s")))
+    held = scores.groupBy("word", block.alias("block")).agg(cells.alias("cells"))
+    if blocks == 1:
+        met = held.select(F.col("cells").alias("left"), F.col("cells").alias("right"))
+    else:
+        held = cut_lineage(held)
+        other = held.select("word", F.col("block").alias("other"), F.col("cells").alias("right"))
+        met = held.withColumnRenamed("cells", "left").join(other, "word").where(F.col("block") <= F.col("other"))
+    lefts = met.select("right", F.explode("left").alias("l"))
+    pairs = lefts.select("l", F.explode("right").alias("r"))
+    # Two topics of one block meet twice, in both orders; of two blocks they meet once, in either order.
+    once = pairs.where(F.col("l.t") < F.col("r.t"))
+    if blocks > 1:
+        apart = F.pmod(F.xxhash64("l.t"), F.lit(blocks)) != F.pmod(F.xxhash64("r.t"), F.lit(blocks))
+        once = pairs.where((F.col("l.t") < F.col("r.t")) | (apart & (F.col("l.t") > F.col("r.t"))))
+    low, high = F.least("l.t", "r.t"), F.greatest("l.t", "r.t")
+    return once.groupBy(low.alias("left_topic"), high.alias("right_topic")).agg(F.sum(F.col("l.s") * F.col("r.s")).alias("product"))
+
+
+def topic_similarity(scores: DataFrame, topic: str, block_topics: int = 256) -> DataFrame:
     """Cosine between the word scores of topics: (left_topic, right_topic, similarity), left < right.
 
-    A word gives a row for each two of its own topics; those are added up per task before the shuffle, so
-    what is shuffled follows the pairs of topics, which are the result, and not the vocabulary.
+    What is shuffled follows the pairs of topics, which are the result, and not the vocabulary.
     """
     scores = cut_lineage(scores.select(F.col(topic).alias("t"), "word", F.col("score").alias("s")))
-    per_word = scores.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("t", "s"))).alias("cells"))
-    lefts = per_word.select("cells", F.posexplode("cells").alias("at", "left"))
-    pairs = lefts.select("left", F.explode(F.slice("cells", F.col("at") + 2, F.size("cells"))).alias("right"))
-    product = F.sum(F.col("left.s") * F.col("right.s")).alias("product")
-    products = pairs.groupBy(F.col("left.t").alias("left_topic"), F.col("right.t").alias("right_topic")).agg(product)
-    # One row per topic from here on.
+    # One row per topic.
     norms = cut_lineage(scores.groupBy("t").agg(F.sqrt(F.sum(F.col("s") * F.col("s"))).alias("size")))
+    products = _products(scores, norms.count(), block_topics)
     left = norms.withColumnsRenamed({"t": "left_topic", "size": "_l"})
     right = norms.withColumnsRenamed({"t": "right_topic", "size": "_r"})
     every = left.join(right, F.col("left_topic") < F.col("right_topic"))
@@ -195,6 +219,72 @@ def topic_similarity(scores: DataFrame, topic: str) -> DataFrame:
     return every.join(products, ["left_topic", "right_topic"], "left").select("left_topic", "right_topic", similarity.alias("similarity"))
 
 
+def _similarity_rows(similarity: DataFrame, places: DataFrame) -> DataFrame:
+    """(place, others, values): a row per topic with its similarities, its own of 1 included, by place."""
+    both = F.array(*[F.struct(F.col(a).alias("t"), F.col(b).alias("o"), "similarity") for a, b in (("left_topic", "right_topic"), ("right_topic", "left_topic"))])
+    cells = similarity.select(F.explode(both).alias("_c")).select("_c.*").union(places.select("t", F.col("t").alias("o"), F.lit(1.0)))
+    other = places.select(F.col("t").alias("o"), F.col("place").alias("other"))
+    held = cells.join(small_side(places), "t").join(small_side(other), "o").groupBy("place").agg(F.collect_list(F.struct("other", "similarity")).alias("_c"))
+    return held.select("place", F.col("_c.other").alias("others"), F.col("_c.similarity").alias("values"))
+
+
+def topic_map(
+    similarity: DataFrame, sizes: DataFrame, topic: str, dims: int = 2, rounds: int = 100, extra: int = 10, seed: int = 42
+) -> DataFrame:
+    """(topic, x, y, size): topics as points whose distances follow ``sqrt(2 - 2 * similarity)``, by classical scaling.
+
+    ``similarity`` is as from ``topic_similarity``, ``sizes`` has a row (topic, size) for every topic; topics
+    without a similarity have none to any other, a null topic has no place. The similarities stay in tasks, a row
+    per topic; a round multiplies them with a few columns and brings back that many numbers per topic. Centring
+    the columns before and after is centring the matrix. Rounds end when the leading values stand still. The
+    widest coordinate of an axis is positive. One topic lies at 0; with other ``dims`` the axes are x1, x2 and on.
+    """
+    spark = similarity.sparkSession
+    known = [r[0] for r in sizes.select(topic).where(F.col(topic).isNotNull()).distinct().orderBy(topic).collect()]
+    names = ["x", "y"] if dims == 2 else [f"x{i + 1}" for i in range(dims)]
+    kind = sizes.schema[topic].dataType.simpleString()
+    schema = f"`{topic}` {kind}, " + ", ".join(f"{n} double" for n in names)
+    points = np.zeros((len(known), dims))
+    if len(known) > 1:
+        places = spark.createDataFrame(list(zip(known, range(len(known)))), f"t {kind}, place int")
+        matrix = cut_lineage(_similarity_rows(similarity, places))
+        points = _leading_axes(matrix, len(known), dims, rounds, extra, seed)
+    rows = [(t, *map(float, p)) for t, p in zip(known, points)]
+    return spark.createDataFrame(rows, schema).join(sizes.select(topic, "size"), topic)
+
+
+def _times(matrix: DataFrame, columns: np.ndarray) -> np.ndarray:
+    """The centred matrix times the columns."""
+    centred = columns - columns.mean(axis=0)
+
+    def multiplied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for place, others, values in zip(*(c.to_numpy(zero_copy_only=False) for c in batch.columns)):
+                yield pa.RecordBatch.from_arrays([pa.array([place], pa.int32()), pa.array([values @ centred[others]], pa.list_(pa.float64()))], names=["place", "row"])
+
+    got = matrix.select("place", "others", "values").mapInArrow(multiplied, "place int, row array<double>").collect()
+    product = np.array([r["row"] for r in sorted(got, key=lambda r: r["place"])])
+    return product - product.mean(axis=0)
+
+
+def _leading_axes(matrix: DataFrame, size: int, dims: int, rounds: int, extra: int, seed: int) -> np.ndarray:
+    """Coordinates on the leading axes of a symmetric matrix, by rounds of multiplying a few columns with it."""
+    width = min(size, dims + extra)
+    columns = np.linalg.qr(np.random.default_rng(seed).standard_normal((size, width)))[0]
+    before = None
+    for _ in range(rounds):
+        product = _times(matrix, columns)
+        values, turns = np.linalg.eigh((columns.T @ product + product.T @ columns) / 2)
+        values, axes = values[::-1][:dims], (columns @ turns)[:, ::-1][:, :dims]
+        if before is not None and np.allclose(values, before, rtol=1e-10, atol=1e-12):
+            break
+        before, columns = values, np.linalg.qr(product)[0]
+    found = np.zeros((size, dims))
+    found[:, : len(values)] = axes * np.sqrt(np.maximum(values, 0))
+    widest = np.abs(np.round(found, 9)).argmax(axis=0)
+    return found * np.where(found[widest, range(dims)] < 0, -1, 1)
+
+
 # --- features and clusters ------------------------------------------------------------------------
 
 

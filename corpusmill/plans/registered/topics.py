@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpusmill.operators import topics as T
 from corpusmill.plans.analysis import appeals_analysis as analyse
 from corpusmill.plans.registered.registry import APPEALS_SQL, STOPWORDS, Tables, iso, iso_sql, query, r6, vocab_sql
+from corpusmill.session import cut_lineage
 
 _SCORES = (
     f"w AS (SELECT topic_id, unnest({vocab_sql('text', STOPWORDS)}) AS word FROM appeals), "
@@ -125,6 +126,13 @@ def topic_similarity(t: Tables):
     return T.topic_similarity(_scores(t), "topic_id").withColumn("similarity", r6(F.col("similarity")))
 
 
+@query("topic_map")
+def topic_map(t: Tables):
+    similarity = cut_lineage(T.topic_similarity(_scores(t), "topic_id"))
+    placed = T.topic_map(similarity, T.topic_sizes(t.appeals, "topic_id"), "topic_id")
+    return placed.select("topic_id", r6(F.col("x")).alias("x"), r6(F.col("y")).alias("y"), "size")
+
+
 @query("text_features")
 def text_features(t: Tables):
     from pyspark.ml.functions import vector_to_array
