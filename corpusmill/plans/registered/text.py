@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as X
-from corpusmill.functions.dates import date_text, parse_date
+from corpusmill.functions.dates import date_text, parse_date, unread_share, with_free_dates
 from corpusmill.operators import appeals as A
 from corpusmill.operators.text_tables import remove_listed_words, sentence_chunks
 from corpusmill.plans.registered.registry import (
@@ -102,6 +102,32 @@ def parse_dates(t: Tables):
     )
 
 
+_GERMAN = "Januar Februar März April Mai Juni Juli August September Oktober November Dezember".split()
+# Spellings by event_id modulo their number; the last one has no date.
+_SPELLINGS = (
+    "d/M/yyyy HH:mm", "MMMM d, yyyy h:mm a", "EEE, d MMM yyyy HH:mm:ss '+0200'", "yyyy-MM-dd'T'HH:mm:ss'Z'",
+    "dd.MM.yy", "yyyy MMMM d", "yyyyMMdd", "'no date'",
+)
+
+
+@query(
+    "parse_dates_free",
+    "WITH r AS (SELECT event_id, CASE event_id % 9 WHEN 0 THEN date_trunc('minute', ts) WHEN 1 THEN date_trunc('minute', ts) WHEN 2 THEN date_trunc('second', ts) "
+    "WHEN 3 THEN date_trunc('second', ts) WHEN 7 THEN NULL WHEN 8 THEN date_trunc('hour', ts) ELSE date_trunc('day', ts) END AS t FROM events) "
+    "SELECT event_id, strftime(t, '%d/%m/%Y %H:%M:%S') AS read, round((SELECT count(*) FILTER (event_id % 9 = 7) / count(*) FROM events), 6) AS unread_share FROM r",
+)
+def parse_dates_free(t: Tables):
+    """Spellings made from the times of the events; of the first, day and month are told apart by the whole column."""
+    german = F.element_at(F.array(*[F.lit(m) for m in _GERMAN]), F.month("ts"))
+    spelling = F.concat_ws(" ", F.date_format("ts", "d."), german, F.date_format("ts", "yyyy 'um' HH 'h'"))
+    spelling = F.concat(F.substring_index(spelling, " h", 1), F.lit(":00 Uhr"))
+    for number, pattern in enumerate(_SPELLINGS):
+        spelling = F.when(F.col("event_id") % 9 == number, F.date_format("ts", pattern)).otherwise(spelling)
+    dated = with_free_dates(t.events.select("event_id", spelling.alias("text")), "text", "date")
+    share = unread_share(dated, "text", "date").select("share").scalar()
+    return dated.select("event_id", date_text(F.col("date")).alias("read"), F.round(share, 6).alias("unread_share"))
+
+
 @query(
     "vocab_tokens",
     f"WITH t AS (SELECT doc_id, {vocab_sql('text', STOPWORDS)} AS tk FROM documents) "

@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as X
-from corpusmill.functions.dates import date_text, parse_date, rfc3339
+from corpusmill.functions.dates import date_text, free_date, parse_date, rfc3339, unread_share, with_free_dates
 from corpusmill.operators.text_tables import remove_listed_words, sentence_chunks
 
 STOP = ("the", "of", "и")
@@ -93,6 +93,62 @@ def test_dates(spark):
     ]
 
 
+FREE = {
+    "2024-03-05": "05/03/2024 00:00:00",
+    "2024-03-05T10:20:30Z": "05/03/2024 10:20:30",
+    "5 March 2024": "05/03/2024 00:00:00",
+    "March 5th, 2024 3:07 pm": "05/03/2024 15:07:00",
+    "Tue, 5 Mar 2024 10:20:30 +0100": "05/03/2024 10:20:30",
+    "5. März 2024 um 14:30 Uhr": "05/03/2024 14:30:00",
+    "5 de marzo de 2024": "05/03/2024 00:00:00",
+    "5 марта 2024 г.": "05/03/2024 00:00:00",
+    "05.03.2024 10:00": "05/03/2024 10:00:00",
+    "12.25.2024": "25/12/2024 00:00:00",
+    "05/03/2024": "03/05/2024 00:00:00",
+    "25/12/23": "25/12/2023 00:00:00",
+    "20240305": "05/03/2024 00:00:00",
+    "1709633400": "05/03/2024 10:10:00",
+    "1709633400000": "05/03/2024 10:10:00",
+    "Mar 2024": "01/03/2024 00:00:00",
+    "12:00 am 1 jan 2000": "01/01/2000 00:00:00",
+    "12 pm 1 jan 2000": "01/01/2000 12:00:00",
+    "le 14 juillet 1999 à 14h30": "14/07/1999 14:30:00",
+    "sept. 3, 98": "03/09/1998 00:00:00",
+    "5 may": None,
+    "31 Feb 2024": None,
+    "jui 5 2024": None,
+    "5 mar 2024 13 pm": None,
+    "2024-03-05 25:00": None,
+    "5*5*2024": None,
+    "login 5 may 2024": None,
+    "99999999999999999999": None,
+    "": None,
+    None: None,
+}
+
+
+def test_freely_spelled_dates(spark):
+    assert dict(zip(FREE, values(spark, list(FREE), lambda c: date_text(free_date(c))))) == FREE
+    assert values(spark, ["5 may", "05/03/2024"], lambda c: date_text(free_date(c, True, 2020))) == ["05/05/2020 00:00:00", "05/03/2024 00:00:00"]
+
+
+def test_order_of_day_and_month_is_that_of_the_column(spark):
+    def read(texts):
+        df = spark.createDataFrame([(t,) for t in texts], "t string")
+        return [r["d"] for r in with_free_dates(df, "t", "d").select(date_text(F.col("d")).alias("d")).collect()]
+
+    assert read(["05/03/2024", "25/12/2024", "13/01/2024", "01/31/2024"])[0] == "05/03/2024 00:00:00"
+    assert read(["05/03/2024", "12/25/2024", None, ""])[0] == "03/05/2024 00:00:00"
+    assert read(["05/03/2024"]) == ["03/05/2024 00:00:00"]
+    assert read([]) == []
+
+
+def test_share_of_unread_dates(spark):
+    df = spark.createDataFrame([(t,) for t in ["2024-03-05", "never", " ", None, "x"]], "t string")
+    assert unread_share(df.withColumn("d", free_date(F.col("t"))), "t", "d").first() == (3, 2, 2 / 3)
+    assert unread_share(df.where("false").withColumn("d", free_date(F.col("t"))), "t", "d").first() == (0, 0, 0.0)
+
+
 def test_rfc3339(spark):
     texts = ["2021-03-04", "2021-03-04T05:06", "2021-03-04 05:06:07.5", "2021-03-04T05:06:07+03:00", "2021-13-04", "x"]
     assert values(spark, texts, rfc3339) == [
