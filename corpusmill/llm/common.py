@@ -73,8 +73,10 @@ def with_row_key(df: DataFrame) -> tuple[DataFrame, list[str]]:
     """``df`` with two columns that tell its rows apart, equal rows too, and their names. A table read from
     files has them in the place of the row; any other is written first."""
     try:
-        df.select("_metadata.row_index")
+        df.select(df.metadataColumn("_metadata")["row_index"])
     except AnalysisException:
         df = written(df)
+    # Asked for by its own call, as a column of the table may have the same name.
+    place = df.metadataColumn("_metadata")
     file, row = spare(df, "_file"), spare(df, "_row")
-    return df.select("*", F.xxhash64("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(row)), [file, row]
+    return df.select("*", F.xxhash64(place["file_path"]).alias(file), place["row_index"].alias(row)), [file, row]

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusmill.llm.common import spare, written
+from corpusmill.llm.common import spare, with_row_key, written
 
 SHARDS = 40
 #: Bytes counted for each row beside its text.
@@ -29,41 +29,46 @@ TOLERANCE = 0.002
 PARTS = 4
 PROBES = 64
 
-Key = tuple[int, int]
+# Hash of the text, id, hash of the row's place.
+Key = tuple[int, int, int]
 _LOWEST = -(1 << 63)
 _HIGHEST = (1 << 63) - 1
 
 
 def _between(low: Key, high: Key, n: int) -> list[Key]:
-    """Up to n keys above low and at most high: even steps of the hash, or of the id within one hash."""
-    at = 0 if low[0] != high[0] else 1
+    """Up to n keys above low and at most high: even steps of the first part of the key that differs."""
+    at = next((i for i in range(2) if low[i] != high[i]), 2)
     a, b = low[at], high[at]
     steps = sorted({a + (b - a) * i // n for i in range(1, n + 1)} - {a})
-    if at:
-        return [(low[0], s) for s in steps]
-    return [(s, _LOWEST) for s in steps] + [high]
+    keys = [(*low[:at], s, *[_LOWEST] * (2 - at)) for s in steps]
+    return keys if at == 2 else [*keys, high]
+
+
+def _after(key: Key) -> Key:
+    """The next key."""
+    at = next((i for i in (2, 1) if key[i] < _HIGHEST), 0)
+    return (*key[:at], key[at] + 1, *[_LOWEST] * (2 - at))
 
 
 def _count(keys: DataFrame, probes: list[Key]) -> dict[int, tuple]:
     """For interval i, of keys from probe i - 1 up to but without probe i: bytes, rows, lowest and highest key."""
-    shared = keys.sparkSession.sparkContext.broadcast((np.array([p[0] for p in probes], np.int64), np.array([p[1] for p in probes], np.int64)))
+    shared = keys.sparkSession.sparkContext.broadcast([np.array([p[i] for p in probes], np.int64) for i in range(3)])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, ids = shared.value
         found: dict[int, list] = {}
         for batch in batches:
-            h, d, size = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            for i, rows in _by_interval(_places(hashes, ids, h, d)):
-                order = rows[np.lexsort((d[rows], h[rows]))[[0, -1]]] if len(rows) > 1 else rows[[0, 0]]
-                low, high = ((int(h[r]), int(d[r])) for r in order)
+            *key, size = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            for i, rows in _by_interval(_places(shared.value, key)):
+                order = rows[np.lexsort([part[rows] for part in key[::-1]])[[0, -1]]] if len(rows) > 1 else rows[[0, 0]]
+                low, high = (tuple(int(part[r]) for part in key) for r in order)
                 own = found.setdefault(i, [0, 0, low, high])
                 found[i] = [own[0] + int(size[rows].sum()), own[1] + len(rows), min(own[2], low), max(own[3], high)]
-        rows = [(i, b, n, low[0], low[1], high[0], high[1]) for i, (b, n, low, high) in found.items()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * 7)], ["i", "b", "n", "lh", "ld", "hh", "hd"])
+        rows = [(i, b, n, *low, *high) for i, (b, n, low, high) in found.items()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * 9)], ["i", "b", "n", "lh", "ld", "lr", "hh", "hd", "hr"])
 
-    counted = keys.select("_h", "_d", "_size").mapInArrow(count, "i bigint, b bigint, n bigint, lh bigint, ld bigint, hh bigint, hd bigint")
+    counted = keys.select("_h", "_d", "_r", "_size").mapInArrow(count, "i bigint, b bigint, n bigint, lh bigint, ld bigint, lr bigint, hh bigint, hd bigint, hr bigint")
     # As many rows as there are probes at most.
-    merged = counted.groupBy("i").agg(F.sum("b").alias("b"), F.sum("n").alias("n"), F.min(F.struct("lh", "ld")).alias("low"), F.max(F.struct("hh", "hd")).alias("high"))
+    merged = counted.groupBy("i").agg(F.sum("b").alias("b"), F.sum("n").alias("n"), F.min(F.struct("lh", "ld", "lr")).alias("low"), F.max(F.struct("hh", "hd", "hr")).alias("high"))
     return {r["i"]: (r["b"], r["n"], tuple(r["low"]), tuple(r["high"])) for r in merged.collect()}
 
 
@@ -74,23 +79,27 @@ def _by_interval(places: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield int(places[order[a]]), order[a:b]
 
 
-def _places(hashes: np.ndarray, ids: np.ndarray, h: np.ndarray, d: np.ndarray) -> np.ndarray:
-    """How many probes are at most (h, d)."""
-    left, right = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
+def _places(probes: list[np.ndarray], key: list[np.ndarray]) -> np.ndarray:
+    """How many probes are at most the key. Both are given by the parts of the key."""
+    left, right = np.searchsorted(probes[0], key[0], "left"), np.searchsorted(probes[0], key[0], "right")
     for row in np.flatnonzero(right > left):
-        left[row] += np.searchsorted(ids[left[row] : right[row]], d[row], "right")
+        a, b = left[row], right[row]
+        for part, own in zip(probes[1:], key[1:]):
+            low, high = np.searchsorted(part[a:b], [own[row]], "left")[0], np.searchsorted(part[a:b], [own[row]], "right")[0]
+            a, b = a + low, a + high
+        left[row] = b
     return left
 
 
 def find_splitters(keys: DataFrame, ways: int, tolerance: float) -> tuple[list[Key], list[int]]:
-    """ways - 1 keys that part the bytes evenly, and the rows below each. ``keys`` has _h, _d, _size."""
+    """ways - 1 keys that part the bytes evenly, and the rows below each. ``keys`` has _h, _d, _r, _size."""
     whole = _count(keys, [])
     if not whole:
-        return [(_HIGHEST, _HIGHEST)] * (ways - 1), [0] * (ways - 1)
+        return [(_HIGHEST,) * 3] * (ways - 1), [0] * (ways - 1)
     total, rows, lowest, highest = whole[0]
     slack = total / ways * tolerance
     targets = [total * i / ways for i in range(1, ways)]
-    end = (highest[0], highest[1] + 1) if highest[1] < _HIGHEST else (highest[0] + 1, _LOWEST)
+    end = _after(highest)
     # Of each splitter: the keys around it, and the bytes and rows below them.
     low = [(lowest, 0, 0)] * (ways - 1)
     high = [(end, total, rows)] * (ways - 1)
@@ -121,7 +130,7 @@ def find_splitters(keys: DataFrame, ways: int, tolerance: float) -> tuple[list[K
                 if inside:  # only keys that rows have
                     first, last = inside[2], inside[3]
                     low[i] = (max(first, low[i][0]), *low[i][1:])
-                    after = (last[0], last[1] + 1) if last[1] < _HIGHEST else (last[0] + 1, _LOWEST)
+                    after = _after(last)
                     if after < high[i][0]:
                         high[i] = (after, *high[i][1:])
     return [x[0] for x in done if x], [x[1] for x in done if x]
@@ -131,24 +140,25 @@ def write_shards(docs: DataFrame, folder: str, shards: int = SHARDS, tolerance:
     """Write all rows with all their columns, and ``shard`` and ``slot``, below ``folder``, one folder per shard.
 
     A row counts as the bytes of its text (null: none) plus 16. Shards hold equal bytes up to the tolerance
-    and one row. Equal texts share a shard but where a splitter has to part them. A null id counts as the
-    lowest one; a null text is one more text; repeated rows all stay. Of an empty table nothing is written but
-    the schema. Columns named shard, slot and the like keep their names; the new ones get underscores.
+    and one row. Equal texts share a shard but where a splitter has to part them: between two ids, and of rows with
+    one id, or none, between their places in the files. A null id counts as the lowest one; a null text is one more
+    text; repeated rows all stay. Of an empty table nothing is written but the schema. Columns named shard, slot and the like keep their names; the new ones get underscores.
     """
-    h, d, size, part, row, shard, slot = (spare(docs, c) for c in ("_h", "_d", "_size", "_part", "_row", "shard", "slot"))
+    h, d, r, size, part, row, shard, slot = (spare(docs, c) for c in ("_h", "_d", "_r", "_size", "_part", "_place", "shard", "slot"))
     text, name = F.col(f"`{text_col}`"), F.col(f"`{id_col}`")
-    keyed = docs.withColumns({h: F.coalesce(F.xxhash64(text), F.lit(0)), d: F.coalesce(name.cast("long"), F.lit(_LOWEST)), size: F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + ROW_BYTES})
-    keys = written(keyed.select(F.col(h).alias("_h"), F.col(d).alias("_d"), F.col(size).alias("_size")))
+    docs, places = with_row_key(docs)
+    keyed = docs.withColumn(r, F.xxhash64(*places)).drop(*places).withColumns({h: F.coalesce(F.xxhash64(text), F.lit(0)), d: F.coalesce(name.cast("long"), F.lit(_LOWEST)), size: F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + ROW_BYTES})
+    keys = written(keyed.select(F.col(h).alias("_h"), F.col(d).alias("_d"), F.col(r).alias("_r"), F.col(size).alias("_size")))
     splitters, below = find_splitters(keys, shards * parts, tolerance)
     # Rows in the shard before a part begins.
     starts = [0, *below]
     starts = [s - starts[i - i % parts] for i, s in enumerate(starts)]
-    place = _place_column(splitters, F.struct(F.col(h).alias("a"), F.col(d).alias("b")))
-    moved = keyed.withColumn(part, place).repartitionById(shards * parts, F.col(part)).sortWithinPartitions(h, d, text)
+    place = _place_column(splitters, F.struct(F.col(h).alias("a"), F.col(d).alias("b"), F.col(r).alias("c")))
+    moved = keyed.withColumn(part, place).repartitionById(shards * parts, F.col(part)).sortWithinPartitions(h, d, text, r)
     # The low bits of this id count the rows of a partition.
     placed = moved.withColumn(row, F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
     before = F.element_at(F.array(*[F.lit(s).cast("long") for s in starts]), F.col(part) + 1)
-    full = placed.withColumns({slot: F.col(row) + before, shard: F.floor(F.col(part) / parts).cast("int")}).drop(h, d, size, part, row)
+    full = placed.withColumns({slot: F.col(row) + before, shard: F.floor(F.col(part) / parts).cast("int")}).drop(h, d, r, size, part, row)
     full.write.mode("overwrite").option("compression", "zstd").partitionBy(shard).parquet(folder)
 
 
@@ -159,7 +169,7 @@ def _place_column(splitters: list[Key], key: Column) -> Column:
         if a == b:
             return F.lit(a)
         m = (a + b) // 2
-        at = F.struct(F.lit(splitters[m][0]).cast("long").alias("a"), F.lit(splitters[m][1]).cast("long").alias("b"))
+        at = F.struct(*[F.lit(v).cast("long").alias(c) for v, c in zip(splitters[m], "abc")])
         return F.when(key < at, tree(a, m)).otherwise(tree(m + 1, b))
 
     return tree(0, len(splitters)).cast("int")

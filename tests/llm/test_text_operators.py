@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from corpusmill.llm import common, decontamination, language, licenses, packing, queries, rollups, sharding, simhash, token_files
@@ -176,6 +177,25 @@ def test_sharding_is_even_with_a_hot_group(spark):
     assert sum(len(v) > 1 for v in groups.values()) == 1
 
 
+@pytest.mark.parametrize("doc_id", [None, 7])
+def test_sharding_parts_rows_of_one_text_and_id(spark, doc_id):
+    rows = [(doc_id if i % 2 else i, "the same text" if i % 2 else f"text {i}", None, None, None, None, None) for i in range(4000)]
+    found = shard_rows(spark, spark.createDataFrame(rows, SCHEMA), shards=8).groupBy("_shard").agg(F.sum(F.length("text") + 16).alias("bytes"), F.count("*").alias("n"), F.countDistinct("slot").alias("slots"), F.max("slot").alias("last")).collect()
+    mean = sum(r["bytes"] for r in found) / 8
+    assert len(found) == 8 and sum(r["n"] for r in found) == 4000
+    assert max(abs(r["bytes"] - mean) for r in found) <= 0.01 * mean + 100
+    assert all(r["slots"] == r["n"] == r["last"] + 1 for r in found)
+
+
+def test_row_keys_beside_a_column_of_that_name(spark):
+    docs = spark.createDataFrame([(1, "a"), (1, "a"), (2, None)], "doc_id bigint, _metadata string")
+    for table in (docs, common.written(docs)):
+        keyed, key = common.with_row_key(table)
+        assert [c for c in keyed.columns if c not in key] == docs.columns
+        assert keyed.select(key).distinct().count() == 3
+        assert sorted(map(str, keyed.select("doc_id", "_metadata").collect())) == sorted(map(str, docs.collect()))
+
+
 def test_sharding_of_nothing(spark, empty):
     assert shard_rows(spark, empty, shards=3).collect() == []
 
