@@ -8,7 +8,7 @@ Without ``case_sensitive``, characters are folded one by one, so places in a tex
 
 Small dictionaries become one regular expression, evaluated inside the scan. Larger ones become an
 automaton that is sent to the tasks, if its table stays below a bound that is checked first; beyond it
-keywords are joined on their first word. All three ways have the same result.
+keywords are joined with the distinct words of chunks of texts. All three ways have the same result.
 """
 
 from __future__ import annotations
@@ -17,8 +17,11 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import lru_cache
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusmill.functions.arrays import running_sums
 from corpusmill.functions.text import let, ngrams, strip
@@ -30,6 +33,8 @@ PATTERN_LIMIT = 400
 # Dictionaries whose automaton has at most this many bytes are sent to the tasks; no more keywords than that many are read.
 AUTOMATON_BYTES = 64 << 20
 AUTOMATON_LIMIT = 1_000_000
+# Beyond that texts meet the dictionary in chunks of 2 ** CHUNK_BITS.
+CHUNK_BITS = 10
 # Fixed value: the default word characters.
 WORD_CHARACTERS = "A-Za-z0-9_"
 # The characters outside ASCII that fold to an ASCII letter: they are word characters as well.
@@ -208,68 +213,57 @@ def highlight(df: DataFrame, raw: str, query: Sequence[str], prefixes: Sequence[
 # --- matching by join -----------------------------------------------------------------------------
 
 
-def _word_windows(df: DataFrame, id_col: str, text: str, width: Column, word: str, others: bool) -> DataFrame:
-    """Every word start of every text with the ``width`` characters from there: (id, lo, window). With ``others``
-    also every other character that does not follow a word character."""
-
-    def windows(chars: Column) -> Column:
-        # A word begins at a word character that does not follow another one.
-        starts = lambda flags: F.filter(
-            F.sequence(F.lit(0), F.size(flags) - 1), lambda i: (F.lit(others) | F.get(flags, i)) & ~((i > 0) & F.coalesce(F.get(flags, i - 1), F.lit(False)))
-        )
-        cut = lambda i: F.struct(i.alias("lo"), F.array_join(F.slice(chars, i + 1, F.col("_width")), "").alias("window"))
-        return F.transform(let(F.transform(chars, lambda c: c.rlike(f"^{word}$")), starts), cut)
-
-    exploded = df.where(F.length(text) > 0).withColumn("_width", width).select(
-        id_col, F.explode(let(F.regexp_extract_all(F.col(text), F.lit("(?s)."), F.lit(0)), windows)).alias("_w")
-    )
-    return exploded.select(id_col, F.col("_w.lo").alias("lo"), F.col("_w.window").alias("window"))
-
-
-def _leftmost_longest(candidates: DataFrame, id_col: str) -> DataFrame:
-    """Of overlapping candidates of one text keep the leftmost, then the longest.
-
-    One group is the candidates of one text, bounded by its length.
-    """
-    rank = F.struct("lo", (-F.col("hi")).alias("neg_hi"), "clean_name")
-    grouped = candidates.groupBy(id_col).agg(F.array_sort(F.collect_list(rank)).alias("_all"))
-    empty = F.array().cast("array<struct<clean_name:string,lo:int,hi:int>>")
-
-    def step(state: Column, item: Column) -> Column:
-        hit = F.struct(item["clean_name"].alias("clean_name"), item["lo"].alias("lo"), (-item["neg_hi"]).alias("hi"))
-        taken = F.struct((-item["neg_hi"]).alias("at"), F.concat(state["found"], F.array(hit)).alias("found"))
-        return F.when(item["lo"] >= state["at"], taken).otherwise(state)
-
-    start = F.struct(F.lit(0).alias("at"), empty.alias("found"))
-    return grouped.select(id_col, F.aggregate("_all", start, step, lambda state: state["found"]).alias("spans"))
+def _rarest_run(keyword: Column, word: str, others: Column) -> Column:
+    """What a keyword is looked up by: its longest run of word characters, or as many first characters as ``others``."""
+    runs = F.regexp_extract_all(keyword, F.lit(f"{word}+"), F.lit(0))
+    longest = F.array_max(F.transform(runs, lambda run: F.struct(F.length(run), run.alias("run"))))
+    return F.when(F.size(runs) > 0, longest["run"]).otherwise(F.substr(keyword, F.lit(1), others))
 
 
 def spans_by_join(
-    df: DataFrame, id_col: str, text: str, entries: DataFrame, case_sensitive: bool = False, extra: str = ""
+    df: DataFrame, id_col: str, text: str, entries: DataFrame, case_sensitive: bool = False, extra: str = "", part_bytes: int | None = None
 ) -> DataFrame:
-    """(id, spans) of the texts with hits, for a dictionary of any size.
+    """(id, spans) of the texts with hits, for a dictionary of any size; a row for each text, also where ids repeat.
 
-    Keywords are found by their first word. Those that begin with another character are found by as many
-    characters as the shortest of them has.
+    Texts are numbered and cut into chunks of ``2 ** CHUNK_BITS``. The distinct runs of word characters of a chunk are
+    joined with the dictionary, each keyword by its longest run; keywords without word characters are found by as
+    many characters as the shortest of them has. So a frequent word is joined once for a chunk, and a task holds one
+    chunk with the keywords that can be in it. Other word characters than ASCII ones only cut runs.
     """
-    word = f"[{_class_of(extra, case_sensitive)}]"
-    in_word = lambda name: F.col(name).rlike(f"^{word}")
-    keyed = _matched_entries(entries, case_sensitive, F.max).withColumnRenamed("keyword", "_kw")
-    lengths = keyed.agg(F.coalesce(F.max(F.length("_kw")), F.lit(0)), F.min(F.when(~in_word("_kw"), F.length("_kw")))).first()
-    longest, shortest_other = lengths
-
-    def first(name: str) -> Column:
-        return F.when(in_word(name), F.regexp_extract(name, f"^{word}+", 0)).otherwise(F.substring(name, 1, shortest_other or 1))
-
-    windows = _word_windows(df, id_col, text, F.lit(longest + 1), word, shortest_other is not None)
-    seen = windows if case_sensitive else windows.withColumn("window", folded(F.col("window")))
-    # The whole first word, or its cut at the window's end, which is longer than any keyword.
-    size = F.length("_kw")
-    after = F.substr(F.col("window"), size + 1, F.lit(1))
-    fits = F.startswith(F.col("window"), F.col("_kw")) & ~after.rlike(f"^{word}$")
-    hits = seen.withColumn("_first", first("window")).join(keyed.withColumn("_first", first("_kw")), "_first").where(fits)
-    candidates = hits.select(id_col, "lo", (F.col("lo") + size).alias("hi"), "clean_name")
-    return _leftmost_longest(candidates, id_col)
+    word = f"[{_class_of('', case_sensitive)}]"
+    keyed = cut_lineage(_matched_entries(entries, case_sensitive, F.max))
+    plain = keyed.withColumn("_word", F.col("keyword").rlike(word))
+    least = plain.where("NOT _word").agg(F.min(F.length("keyword"))).first()[0]
+    keyed = keyed.withColumn("_run", _rarest_run(F.col("keyword"), word, F.lit(least or 1)))
+    row = F.shiftright(F.monotonically_increasing_id(), CHUNK_BITS)
+    # Written, so that both readers see the same chunks.
+    texts = cut_lineage(df.where(F.length(text) > 0).select(F.col(id_col).alias("_id"), F.col(text).alias("_text"), row.alias("_chunk")))
+    fold = (lambda c: c) if case_sensitive else folded
+    runs = F.regexp_extract_all("_text", F.lit(f"{word}+"), F.lit(0))
+    if least is not None:
+        starts = F.regexp_extract_all("_text", F.lit(f"(?s)(?=([^{word[1:-1]}]{{{least}}}))"), F.lit(1))
+        runs = F.concat(runs, F.array_distinct(starts))
+    held = texts.select("_chunk", F.explode(F.array_distinct(runs)).alias("_seen")).select("_chunk", fold(F.col("_seen")).alias("_run")).distinct()
+    wanted = held.join(keyed, "_run").select(F.col("_chunk").alias("_of"), "keyword", "clean_name")
+    kind = T.ArrayType(T.StructType([T.StructField("clean_name", T.StringType()), T.StructField("lo", T.IntegerType()), T.StructField("hi", T.IntegerType())]))
+    schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), T.StructField("spans", kind)])
+    signs, fold_one = _word_signs(extra, case_sensitive), None if case_sensitive else _fold
+    most = AUTOMATON_BYTES if part_bytes is None else part_bytes
+
+    def matched(left: pa.Table, right: pa.Table) -> pa.Table:
+        parts = automaton.parts_of(right["keyword"].combine_chunks(), right["clean_name"].combine_chunks(), f"^[{WORD_CHARACTERS}]+$", most)
+        ids, found = [], []
+        for batch in left.to_batches(max_chunksize=256) if len(right) else []:
+            spans = automaton.spans(batch.column("_text"), parts, signs, fold_one)
+            some = pc.greater(pc.list_value_length(spans), 0)
+            ids.append(batch.column("_id").filter(some))
+            found.append(spans.filter(some))
+        names = [id_col, "spans"]
+        if not ids:
+            return pa.Table.from_arrays([left["_id"].slice(0, 0), pa.array([], automaton.SPANS)], names=names)
+        return pa.Table.from_arrays([pa.chunked_array(ids), pa.chunked_array(found)], names=names)
+
+    return texts.groupBy("_chunk").cogroup(wanted.groupBy("_of")).applyInArrow(matched, schema)
 
 
 def _automaton(entries: DataFrame, case_sensitive: bool, most_bytes: int) -> automaton.Automaton | None:
@@ -301,7 +295,7 @@ def _spans_of(
         column = automaton.spans_column(df.sparkSession, made, F.col(text), _word_signs(extra, case_sensitive), None if case_sensitive else _fold)
         return df.select(id_col, column.alias("_all")).select(id_col, F.posexplode("_all").alias("hit_no", "_s"))
     found = spans_by_join(df, id_col, text, entries, case_sensitive, extra)
-    return found.select(id_col, F.posexplode_outer("spans").alias("hit_no", "_s")).where(F.col("_s").isNotNull())
+    return found.select(id_col, F.posexplode("spans").alias("hit_no", "_s"))
 
 
 def keyword_spans(
@@ -342,7 +336,7 @@ def keyword_replace(df: DataFrame, id_col: str, text: str, entries: DataFrame |
 
 
 def replace_by_join(df: DataFrame, id_col: str, text: str, entries: DataFrame, case_sensitive: bool = False) -> DataFrame:
-    found = spans_by_join(df, id_col, text, entries, case_sensitive)
+    found = spans_by_join(df, id_col, text, entries, case_sensitive).dropDuplicates([id_col])
     joined = df.join(found, id_col, "left")
     source = F.col(text)
 

@@ -190,3 +190,50 @@ def test_walk_finds_every_keyword_across_stretches():
     expected = {(e, w) for w in words for e in range(len(w), len(text) + 1) if text.startswith(w, e - len(w))}
     got = [(int(e), built.names[k]) for e, k in zip(ends, which)]
     assert set(got) == expected and len(got) == len(expected)
+
+
+def test_large_dictionary_meets_chunks_of_texts(spark, monkeypatch):
+    rnd = random.Random(23)
+    words = [f"w{i}x" for i in range(300)]
+    texts = [" ".join(rnd.choices(words, k=rnd.randint(1, 80))) for _ in range(300)]
+    df = spark.createDataFrame([(i // 2, t) for i, t in enumerate([*texts, None, ""])], "id bigint, t string").coalesce(2)
+    pairs = [(w, w.upper()) for w in words[:200]] + [(f"{a} {b}", f"{a}+{b}") for a in words[::9] for b in words[::7]] + [("x w1", "no"), ("é", "e")]
+    entries = spark.createDataFrame(pairs, "keyword string, clean_name string")
+    rows = lambda d: sorted(map(tuple, d.collect()))
+    # Ids repeat: each text has its own hits, as by the automaton.
+    expected = rows(K.keyword_spans(df, "id", "t", entries, pattern_limit=0))
+    monkeypatch.setattr(K, "CHUNK_BITS", 4)
+    assert rows(K.keyword_spans(df, "id", "t", entries, pattern_limit=0, automaton_bytes=0)) == expected and len(expected) > 5000
+    # Automata of few keywords each, one after the other.
+    parts = K.spans_by_join(df, "id", "t", entries, part_bytes=20_000).selectExpr("id", "posexplode(spans) AS (n, s)").select("id", "n", "s.*")
+    assert rows(parts) == expected
+
+
+def test_hits_of_a_batch_are_columns(monkeypatch):
+    """A batch of many hits must hold no object for each: at 6 GB its lists took more than the memory of a worker."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    monkeypatch.setattr(automaton, "_SLICE", 1 << 14)
+    built = automaton.build({"ab": "AB", "cd": "CD"})
+    texts = pa.array(["ab cd " * 500] * 200 + [None, ""])
+    automaton.spans(texts.slice(0, 1), lambda: [built], "abcd")
+    tracemalloc.start()
+    found = automaton.spans(texts, lambda: [built], "abcd")
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found.value_lengths().to_pylist() == [1000] * 200 + [0, 0]
+    assert found[7].as_py()[:2] == [{"clean_name": "AB", "lo": 0, "hi": 2}, {"clean_name": "CD", "lo": 3, "hi": 5}]
+    assert most < 100 * 200_000
+
+
+def test_overlaps_leave_the_leftmost_then_the_longest():
+    rnd = np.random.default_rng(24)
+    for _ in range(200):
+        spans = sorted(((int(s), int(s + n)) for s, n in zip(rnd.integers(0, 30, 12), rnd.integers(1, 8, 12))), key=lambda x: (x[0], -x[1]))
+        done, expected = 0, []
+        for s, e in spans:
+            expected.append(s >= done)
+            done = e if s >= done else done
+        assert automaton.leftmost_longest(*np.array(spans).T).tolist() == expected
