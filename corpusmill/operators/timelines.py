@@ -24,39 +24,54 @@ HEAD = 256
 # --- ranked words ---------------------------------------------------------------------------------
 
 
+def _sentence_words(sentence: Column) -> Column:
+    return F.regexp_extract_all(sentence, F.lit(WORDS), F.lit(0))
+
+
 def _word_counts(df: DataFrame, text: str, window: int) -> DataFrame:
-    """(pair, a, b, n, firsts, heads): words by sentence number, and neighbours (left, right).
+    """(word, sentence, n, firsts, heads, lefts, rights): words by sentence number.
 
-    One scan and one shuffle count both; equal rows are added up before the shuffle. ``firsts`` counts
-    the sentences that hold the word, ``heads`` those that begin with it.
+    ``firsts`` counts the sentences that hold the word, ``heads`` those that begin with it, ``lefts`` and ``rights``
+    its neighbours on either side.
     """
 
-    def entry(pair: bool, b: Column, first: Column, head: Column) -> Column:
-        return F.struct(
-            F.lit(pair).alias("pair"), b.alias("b"), first.cast("int").alias("first"), head.cast("int").alias("head")
-        )
-
     def places(words: Column) -> Column:
         return F.transform(
             words,
             lambda word, i: F.struct(
-                word.alias("a"),
-                (i == 0).alias("head"),
-                (F.array_position(words, word) == i + 1).alias("first"),
-                *[F.get(words, i + apart).alias(f"next{apart}") for apart in range(1, window + 1)],
+                word.alias("word"),
+                (F.array_position(words, word) == i + 1).cast("int").alias("first"),
+                (i == 0).cast("int").alias("head"),
+                F.least(i, F.lit(window)).alias("left"),
+                F.least(F.size(words) - 1 - i, F.lit(window)).alias("right"),
             ),
         )
 
     parts = df.select(F.posexplode(sentences(F.lower(text))).alias("sentence", "_s"))
-    words = F.regexp_extract_all("_s", F.lit(WORDS), F.lit(0))
-    tokens = parts.select("sentence", F.explode(let(words, places)).alias("_t")).select("sentence", "_t.*")
-    no = F.lit(False)
-    entries = [entry(False, F.col("sentence").cast("string"), F.col("first"), F.col("head"))]
-    entries += [entry(True, F.col(f"next{apart}"), no, no) for apart in range(1, window + 1)]
-    rows = tokens.select("a", F.explode(F.array(*entries)).alias("_e")).select("_e.pair", "a", "_e.b", "_e.first", "_e.head")
-    return rows.where(F.col("b").isNotNull()).groupBy("pair", "a", "b").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("first").alias("firsts"), F.sum("head").alias("heads")
-    )
+    tokens = parts.select("sentence", F.explode(let(_sentence_words(F.col("_s")), places)).alias("_t")).select("sentence", "_t.*")
+    sums = [F.sum(c).alias(f"{c}s") for c in ("first", "head", "left", "right")]
+    return tokens.groupBy("word", "sentence").agg(F.count(F.lit(1)).alias("n"), *sums)
+
+
+def _neighbours(df: DataFrame, text: str, window: int) -> DataFrame:
+    """(word, lefts, rights): how many different words stand beside each word.
+
+    A pair of neighbours is one string, dropped where it comes again in its text, then in its task, and then shuffled
+    once; nothing is counted with it and no pair is written. Words hold no space.
+    """
+
+    def beside(words: Column) -> Column:
+        def at(apart: int) -> Column:
+            followed = F.slice(words, 1, F.greatest(F.size(words) - apart, F.lit(0)))
+            return F.transform(followed, lambda word, i: F.concat(word, F.lit(" "), F.get(words, i + apart)))
+
+        return F.concat(*[at(apart) for apart in range(1, window + 1)])
+
+    met = F.flatten(F.transform(sentences(F.lower(text)), lambda sentence: let(_sentence_words(sentence), beside)))
+    pairs = df.select(F.explode(F.array_distinct(met)).alias("_pair")).distinct()
+    sides = F.arrays_zip(F.split("_pair", " ").alias("word"), F.array(F.lit(False), F.lit(True)).alias("second"))
+    ends = pairs.select(F.explode(sides).alias("_e")).select("_e.word", "_e.second")
+    return ends.groupBy("word").agg(F.count_if("second").alias("_lefts"), F.count_if(~F.col("second")).alias("_rights"))
 
 
 def word_features(df: DataFrame, text: str, stopwords: Sequence[str] = (), window: int = 2) -> DataFrame:
@@ -66,34 +81,33 @@ def word_features(df: DataFrame, text: str, stopwords: Sequence[str] = (), windo
     a word occurs, in how many sentences, how early in its text, and how varied its neighbours are.
     Texts are lowered, so the feature about capital letters is 0.
     """
-    counted = cut_lineage(_word_counts(df, text, window))
     ranked = ~F.col("word").rlike(DIGITS_ONLY)
     if stopwords:
         ranked = ranked & ~F.col("word").isin(list(stopwords))
 
     # Places in a text are bounded by the longest text.
-    place = F.col("b").cast("int")
-    frequency = counted.where("NOT pair").groupBy(F.col("a").alias("word")).agg(
-        F.sum("n").alias("tf"), F.sum("firsts").alias("in_sentences"), F.percentile(place, F.lit(0.5), F.col("firsts")).alias("_median")
+    counted = _word_counts(df, text, window).groupBy("word").agg(
+        F.sum("n").alias("tf"),
+        F.sum("firsts").alias("in_sentences"),
+        F.percentile("sentence", F.lit(0.5), F.col("firsts")).alias("_median"),
+        *[F.sum(c).alias(c) for c in ("heads", "lefts", "rights")],
     )
-    near = counted.where("pair")
-    variety = F.count(F.lit(1)) / F.sum("n")
-    rights = near.groupBy(F.col("a").alias("word")).agg(variety.alias("_right"))
-    lefts = near.groupBy(F.col("b").alias("word")).agg(variety.alias("_left"))
-    sentence_count = counted.agg(F.sum("heads")).scalar()
+    # A row for each word.
+    frequency = cut_lineage(counted)
+    sentence_count = frequency.agg(F.sum("heads")).scalar()
 
     numbers = frequency.where(ranked).agg(
         F.struct(F.avg("tf").alias("mean"), F.stddev_pop("tf").alias("std"), F.max("tf").alias("top"))
     ).scalar()
     joined = (
         frequency.where(ranked)
-        .join(lefts, "word", "left")
-        .join(rights, "word", "left")
+        .join(_neighbours(df, text, window), "word", "left")
         .withColumn("_c", numbers)
         .withColumn("_sentences", sentence_count)
     )
     tf = F.col("tf")
-    side = F.coalesce("_left", F.lit(0.0)) + F.coalesce("_right", F.lit(0.0))
+    variety = lambda name: F.when(F.col(name) > 0, F.col(f"_{name}") / F.col(name)).otherwise(0.0)
+    side = variety("lefts") + variety("rights")
     features = joined.select(
         "word",
         "tf",

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import datetime as dt
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -155,3 +156,26 @@ def test_tuned_topics_follow_the_bin_before(spark):
             before = both if before is None else {w: (both[w] + before[w]) / 2 for w in own}
             expected |= {(topic, b, w): s for w, s in before.items()}
     assert found.keys() == expected.keys() and all(abs(found[k] - expected[k]) < 1e-8 for k in found)
+
+
+def test_word_features_write_a_row_for_each_word_and_no_pairs(spark, monkeypatch):
+    """Pairs of neighbours were a table of their own, written and shuffled again for each side."""
+    rnd = random.Random(31)
+    words = [f"w{i}" for i in range(40)]
+    texts = [". ".join(" ".join(rnd.choices(words, k=rnd.randint(1, 9))) for _ in range(rnd.randint(1, 6))) for _ in range(80)]
+    df = spark.createDataFrame([(t,) for t in [*texts, "", None, "alone"]], "t string")
+    written = []
+    cut = L.cut_lineage
+    monkeypatch.setattr(L, "cut_lineage", lambda d: (written.append(cut(d)), written[-1])[1])
+    for window in (1, 2, 3):
+        written.clear()
+        found = {r["word"]: r for r in L.word_features(df, "t", window=window).collect()}
+        assert sum(d.count() for d in written) == len(found) == 41
+        lists = [re.findall(r"\w+", s) for t in texts for s in t.split(". ")] + [["alone"]]
+        top = max(r["tf"] for r in found.values())
+        for word in [*words, "alone"]:
+            rights = [ws[i + a] for ws in lists for i, w in enumerate(ws) if w == word for a in range(1, window + 1) if i + a < len(ws)]
+            lefts = [ws[i - a] for ws in lists for i, w in enumerate(ws) if w == word for a in range(1, window + 1) if i >= a]
+            side = sum(len(set(x)) / len(x) for x in (lefts, rights) if x)
+            tf = sum(ws.count(word) for ws in lists)
+            assert found[word]["tf"] == tf and abs(found[word]["relatedness"] - (1 + side * tf / top)) < 1e-9
