@@ -1,8 +1,8 @@
 """Ranked search that reads only the blocks of a stored index that can hold one of the k best documents.
 
-Documents are numbered in the order of their ids and cut into blocks. Beside the postings stands a table with a
-row for each (token, block): the greatest count and the smallest document length there, which bound what the token
-can add to any document of the block, and the first and last id. A query first scores the blocks with the greatest
+Documents are numbered in the order of their ids and cut into blocks. The postings are stored as a
+row for each (token, block), with the greatest count and the smallest document length there, which bound what the
+token can add to any document of the block, and the first and last id. A query first scores the blocks with the greatest
 bounds, which gives a score that the k-th best document has at least; then it reads the blocks whose bound reaches
 that score, and no others. The result is that of scoring everything.
 """
@@ -47,24 +47,31 @@ def save_block_index(df: DataFrame, id_col: str, text: str, path: str, tokens: B
     keyed = docs.select(F.struct(F.col(id_col).alias("id"), block.alias("block")).alias("_doc"), "_text")
     postings = B.inverted_index(keyed, "_doc", "_text", tokens)
     flat = postings.select("token", F.col("_doc.block").alias("block"), F.col("_doc.id").alias(id_col), "tf", "doc_len")
-    ranged = flat.repartitionByRange("token", "block").sortWithinPartitions("token", "block", id_col)
-    ranged.write.mode("overwrite").parquet(os.path.join(path, "postings"))
-    stored = df.sparkSession.read.parquet(os.path.join(path, "postings"))
-    bounds = stored.groupBy("token", "block").agg(
-        F.max("tf").alias("most"), F.min("doc_len").alias("shortest"), F.min(id_col).alias("first_id"), F.max(id_col).alias("last_id"), F.count(F.lit(1)).alias("docs")
+    # Ranges hold whole (token, block) groups: these are put together without another shuffle.
+    ranged = flat.repartitionByRange("token", "block")
+    packed = ranged.groupBy("token", "block").agg(
+        F.max("tf").alias("most"),
+        F.min("doc_len").alias("shortest"),
+        F.min(id_col).alias("first_id"),
+        F.max(id_col).alias("last_id"),
+        F.count(F.lit(1)).alias("docs"),
+        F.sum("tf").alias("n"),
+        F.array_sort(F.collect_list(F.struct(id_col, "tf", "doc_len"))).alias("rows"),
     )
-    ordered = bounds.repartitionByRange("token", "block").sortWithinPartitions("token", "block")
-    ordered.write.mode("overwrite").parquet(os.path.join(path, "blocks"))
-    # The words of a text are counted where its postings are: only the totals read the texts again.
-    words = df.sparkSession.read.parquet(os.path.join(path, "blocks")).groupBy("token").agg(F.sum("docs").alias("df"))
-    words.repartitionByRange("token").sortWithinPartitions("token").write.mode("overwrite").parquet(os.path.join(path, "vocabulary"))
-    vocabulary = df.sparkSession.read.parquet(os.path.join(path, "vocabulary"))
-    totals = B._with_mean_idf(B.corpus_totals(df, text, tokens), vocabulary)
-    totals.write.mode("overwrite").parquet(os.path.join(path, "totals"))
+    packed.sortWithinPartitions("token", "block").write.mode("overwrite").parquet(os.path.join(path, "postings"))
+    stored = df.sparkSession.read.parquet(os.path.join(path, "postings"))
+    words = stored.groupBy("token").agg(F.sum("docs").alias("df"), F.sum("n").alias("n"))
+    ids = placed.agg(F.count(F.lit(1)).alias("doc_count"), F.count_distinct(id_col).alias("ids")).first()
+    unique = ids["doc_count"] == ids["ids"]
+    # Of unique ids every text is counted where its postings are; else the texts are read again.
+    B._save_numbers(words, df.agg(F.count(F.lit(1)).alias("doc_count")) if unique else B.corpus_totals(df, text, tokens), path)
 
 
 def load_block_index(spark: SparkSession, path: str, id_col: str) -> BlockIndex:
-    return BlockIndex(B.load_index(spark, path, id_col), spark.read.parquet(os.path.join(path, "blocks")))
+    """A stored row is a (token, block) with its bounds and its postings; a reader of bounds reads no postings."""
+    index = B.load_index(spark, path, id_col)
+    postings = index.postings.select("token", "block", F.explode("rows").alias("_row")).select("token", "block", "_row.*")
+    return BlockIndex(B.SearchIndex(postings, index.vocabulary, index.totals, id_col), index.postings.drop("n", "rows"))
 
 
 def _weights(index: B.SearchIndex, query: Sequence[str], model: B.Okapi | B.Probabilistic) -> tuple[dict[str, float], float]:
@@ -160,5 +167,5 @@ def top_k_by_blocks(
     if found < k:
         rest = df.select(id_col).join(small_side(above), id_col, "left_anti").orderBy(id_col).limit(k - found)
         above = cut_lineage(above.unionByName(rest.withColumn("score", F.lit(0.0))))
-    joined = df.join(small_side(above), id_col).select(*df.columns, "score")
+    joined = B.with_scores(df, above, id_col)
     return B._of_topics_and_dates(joined, id_col, time, topic_col, topics, start, end)

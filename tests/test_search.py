@@ -238,3 +238,29 @@ def test_batch_of_vectors_without_queries_ids_or_vectors(spark):
     assert none.collect() == [] and none.columns == found.columns
     one_by_one = V.vector_top_k_batch(docs, "id", "v", spark.createDataFrame([(i, [float(i), 1.0]) for i in range(5)], "q bigint, v array<double>"), "q", "v", 1, block_cells=2)
     assert one_by_one.count() == 5
+
+
+def test_a_stored_index_is_counted_from_its_postings(spark, monkeypatch):
+    """Vocabulary, mean length and the found documents read the texts again before, and shuffled them below a join."""
+    texts = ["tea and tea", "milk", "", None, "tea with milk", "sugar"]
+    left = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)], "id bigint, t string, topic int")
+    df = left.join(spark.createDataFrame([(i, i) for i in range(6)], "id bigint, ts bigint"), "id")
+    expected = B.corpus_totals(df, "t").first()
+    folder = scratch_folder(spark, "index")
+    built = B.build_index(df, "id", "t")
+    # A vocabulary that is read from the texts once more fails here.
+    failing = spark.range(1).select(F.raise_error(F.lit("texts read again")).cast("string").alias("token"), F.lit(1).cast("bigint").alias("df"))
+    B.save_index(B.SearchIndex(built.postings, failing, built.totals, "id"), folder)
+    index = B.load_index(spark, folder, "id")
+    stored = index.totals.first()
+    assert (stored["doc_count"], stored["token_count"], stored["mean_len"]) == tuple(expected)
+    assert index.vocabulary.columns == ["token", "df"]
+    assert sorted(map(tuple, index.vocabulary.collect())) == sorted(map(tuple, B.document_frequency(df, "t").collect()))
+    found = B.top_k_with_index(index, df, ["tea", "sugar"], "ts", 3)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, B.top_k(df, "id", "t", ["tea", "sugar"], "ts", 3).collect()))
+    # The ids found are a filter below the join, on both of its sides.
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(" IN ") + plan.count(" INSET ") >= 2
+    blocks = scratch_folder(spark, "blocks")
+    blockmax.save_block_index(df, "id", "t", blocks, block_docs=2)
+    assert {"rows", "most", "docs"} <= set(spark.read.parquet(f"{blocks}/postings").columns)
