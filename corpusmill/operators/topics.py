@@ -7,7 +7,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import IDF, PCA, HashingTF, Normalizer
+from pyspark.ml.feature import IDF, PCA, HashingTF, IDFModel, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,6 +28,14 @@ def cluster_count(asked: int | None) -> int:
 # --- words per topic ------------------------------------------------------------------------------
 
 
+def word_counts(
+    df: DataFrame, group: Sequence[str], text: str, words: Sequence[str] = (), ngram_range: tuple[int, int] = (1, 1)
+) -> DataFrame:
+    """(group, word, n). Tokens are counted per task before the shuffle; the table is written, so the texts are read once."""
+    tokens = df.select(*group, F.explode(vocab_tokens(F.col(text), words, ngram_range)).alias("word"))
+    return cut_lineage(tokens.groupBy(*group, "word").agg(F.count(F.lit(1)).alias("n")))
+
+
 def c_tf_idf(
     df: DataFrame,
     group: Sequence[str],
@@ -35,15 +43,18 @@ def c_tf_idf(
     words: Sequence[str] = (),
     ngram_range: tuple[int, int] = (1, 1),
     documents: Column | None = None,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """(group, word, n, score): share of the word in the group times ``ln(documents / count of the word)``.
 
-    Tokens are counted per (group, word) before the shuffle and that table is written, so the texts are
-    read once. The groups that hold one word are as many as there are topics (or topic and time cells).
+    The groups that hold one word are as many as there are topics (or topic and time cells). ``counts`` are those of
+    ``word_counts`` for the same texts, words and n-grams by these groups or by finer ones, which are added up.
     """
     group = list(group)
-    tokens = df.select(*group, F.explode(vocab_tokens(F.col(text), words, ngram_range)).alias("word"))
-    counts = cut_lineage(tokens.groupBy(*group, "word").agg(F.count(F.lit(1)).alias("n")))
+    if counts is None:
+        counts = word_counts(df, group, text, words, ngram_range)
+    elif set(counts.columns) != {*group, "word", "n"}:
+        counts = cut_lineage(counts.groupBy(*group, "word").agg(F.sum("n").alias("n")))
     size = cut_lineage(counts.groupBy(*group).agg(F.sum("n").alias("_group")))
     m = df.agg(F.count(F.lit(1)).cast("double")).scalar() if documents is None else documents
     everywhere = counts.withColumn("_word", F.sum("n").over(Window.partitionBy("word")))
@@ -102,13 +113,14 @@ def with_time_bins(df: DataFrame, time: str, bins: int = 20, name: str = "bin")
 
 
 def topics_over_time(
-    df: DataFrame, topic: str, text: str, time: str, words: Sequence[str] = (), bins: int = 20, top: int = 5
+    df: DataFrame, topic: str, text: str, time: str, words: Sequence[str] = (), bins: int = 20, top: int = 5, counts: DataFrame | None = None
 ) -> DataFrame:
-    """Documents and best words of every topic in every time bin."""
+    """Documents and best words of every topic in every time bin. ``counts`` are those of ``word_counts`` by topic and
+    ``bin``, of the rows of ``with_time_bins``, where they are known."""
     binned = with_time_bins(df, time, bins)
     cell = [topic, "bin"]
     frequency = binned.groupBy(*cell).agg(F.count(F.lit(1)).alias("frequency"), F.min(time).alias("first_time"))
-    best = top_words(c_tf_idf(binned, cell, text, words), cell, top)
+    best = top_words(c_tf_idf(binned, cell, text, words, counts=counts), cell, top)
     return frequency.join(_words_in_order(best, cell, ", ", "words"), cell, "left").select(
         *cell, "first_time", "frequency", "words"
     )
@@ -288,12 +300,31 @@ def _leading_axes(matrix: DataFrame, size: int, dims: int, rounds: int, extra: i
 # --- features and clusters ------------------------------------------------------------------------
 
 
-def text_features(df: DataFrame, text: str, words: Sequence[str] = (), size: int = 512, output: str = "features") -> DataFrame:
-    """Hashed word counts weighed by rarity, unit length. A user's model can fill the column instead."""
+def hashed_counts(df: DataFrame, text: str, words: Sequence[str] = (), size: int = 512) -> DataFrame:
+    """Add ``_tf``, the word counts of every row in ``size`` hashed places."""
     tokens = df.withColumn("_tokens", vocab_tokens(F.col(text), words))
-    counted = HashingTF(numFeatures=size, inputCol="_tokens", outputCol="_tf").transform(tokens)
-    weighed = IDF(inputCol="_tf", outputCol="_idf").fit(counted).transform(counted)
-    return Normalizer(inputCol="_idf", outputCol=output).transform(weighed).drop("_tokens", "_tf", "_idf")
+    return HashingTF(numFeatures=size, inputCol="_tokens", outputCol="_tf").transform(tokens).drop("_tokens")
+
+
+def word_rarity(counted: DataFrame) -> IDFModel:
+    """What weighs the counts: the rarity of each hashed place over all rows of ``_tf``."""
+    return IDF(inputCol="_tf", outputCol="_idf").fit(counted)
+
+
+def weigh_counts(counted: DataFrame, rarity: IDFModel, output: str = "features") -> DataFrame:
+    """The counts weighed by rarity, unit length, in place of ``_tf``."""
+    return Normalizer(inputCol="_idf", outputCol=output).transform(rarity.transform(counted)).drop("_tf", "_idf")
+
+
+def text_features(
+    df: DataFrame, text: str, words: Sequence[str] = (), size: int = 512, output: str = "features", rarity: IDFModel | None = None
+) -> DataFrame:
+    """Hashed word counts weighed by rarity, unit length. A user's model can fill the column instead.
+
+    ``rarity`` is that of the same texts where it is known; otherwise it is learned here by a reading of its own.
+    """
+    counted = hashed_counts(df, text, words, size)
+    return weigh_counts(counted, word_rarity(counted) if rarity is None else rarity, output)
 
 
 def vector_features(df: DataFrame, vector: str, output: str = "features") -> DataFrame:
@@ -301,8 +332,11 @@ def vector_features(df: DataFrame, vector: str, output: str = "features") -> Dat
     return df.withColumn(output, array_to_vector(F.col(vector).cast("array<double>")))
 
 
-def reduce_dimensions(df: DataFrame, features: str = "features", dims: int = 5, output: str = "reduced") -> DataFrame:
-    model = PCA(k=dims, inputCol=features, outputCol="_pca").fit(df)
+def reduce_dimensions(
+    df: DataFrame, features: str = "features", dims: int = 5, output: str = "reduced", learned_from: DataFrame | None = None
+) -> DataFrame:
+    """The leading components. ``learned_from`` holds the features of the same rows where they are cheaper to read."""
+    model = PCA(k=dims, inputCol=features, outputCol="_pca").fit(df if learned_from is None else learned_from)
     return model.transform(df).withColumn(output, vector_to_array("_pca")).drop("_pca")
 
 

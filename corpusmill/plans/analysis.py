@@ -56,18 +56,23 @@ def appeals_analysis(
     clip: int | None = None,
     seed: int = 42,
 ) -> Analysis:
-    """The whole flow. Clustering reads its input many times, so the prepared rows are written first."""
+    """The whole flow. Models read their input many times, so it is written first: the prepared rows, the word counts
+    that the models of the features learn from, without texts, and the rows with their points for the clustering.
+    """
     ready = cut_lineage(prepare(df, id_col, text, time, stopwords=stopwords, clip=clip))
-    # Fitting reads its input many times: the features are worked out once.
-    featured = cut_lineage(topics.text_features(ready, "silo", stopwords))
-    reduced = cut_lineage(topics.vector_features(topics.reduce_dimensions(featured), "reduced", "_point").drop("features", "reduced"))
-    labelled = cut_lineage(
-        topics.topic_clusters(reduced, "_point", clusters, seed).drop("_point")
-    )
-    scores = topics.c_tf_idf(labelled, ["topic"], "silo", stopwords)
+    counted = cut_lineage(topics.hashed_counts(ready, "silo", stopwords).select("_tf"))
+    rarity = topics.word_rarity(counted)
+    featured = topics.text_features(ready, "silo", stopwords, rarity=rarity)
+    placed = topics.reduce_dimensions(featured, learned_from=topics.weigh_counts(counted, rarity))
+    reduced = cut_lineage(topics.vector_features(placed, "reduced", "_point").drop("features", "reduced"))
+    # The nearest of a few centres is found again wherever the topic is read; that takes less than another copy of the texts.
+    labelled = topics.topic_clusters(reduced, "_point", clusters, seed).drop("_point")
+    # Counted once for both: the words of a topic are those of its time cells.
+    cells = topics.word_counts(topics.with_time_bins(labelled, time), ["topic", "bin"], "silo", stopwords)
+    scores = topics.c_tf_idf(labelled, ["topic"], "silo", stopwords, counts=cells)
     words = topics.top_words(scores, ["topic"], 5)
     info = topics.topic_info(labelled, "topic", words)
-    over_time = topics.topics_over_time(labelled, "topic", "silo", time, stopwords)
+    over_time = topics.topics_over_time(labelled, "topic", "silo", time, stopwords, counts=cells)
     report = topics.topic_report(info, words, "topic")
     by_date = appeals.sort_by_date(labelled, time, id_col)
     return Analysis(by_date, info, words, over_time, topics.peak_per_topic(over_time, "topic"), report, bm25.build_index(labelled, id_col, "silo"))
